@@ -82,10 +82,11 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
+    """Differing bits of fingerprints of one or more words (last axis)."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
 
 
-def _split(sample: np.ndarray, rng: np.random.Generator) -> tuple[np.uint64, int] | None:
+def _split(sample: np.ndarray, rng: np.random.Generator, radius: int = 2) -> tuple[np.ndarray, int] | None:
     """Vantage point and threshold that cut the sample near its middle with the fewest rows at the cut; None if nothing cuts."""
     best = None
     for vp in sample[rng.integers(0, len(sample), 8)]:
@@ -94,7 +95,7 @@ def _split(sample: np.ndarray, rng: np.random.Generator) -> tuple[np.uint64, int
         for m in (mu, mu - 1):
             inside = (d <= m).mean()
             if 0.1 <= inside <= 0.9:
-                cost = (np.abs(d.astype(int) - m) <= 2).mean() + abs(inside - 0.5)
+                cost = (np.abs(d - m) <= radius).mean() + abs(inside - 0.5)
                 if best is None or cost < best[0]:
                     best = (cost, vp, m)
     return best and (best[1], best[2])
@@ -124,7 +125,7 @@ def route(tree, fps: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray,
             yield node, members, guests
             return
         vp, mu, inside, outside = node
-        dm, dg = distance(fps[members], vp).astype(int), distance(fps[guests], vp).astype(int)
+        dm, dg = distance(fps[members], vp), distance(fps[guests], vp)
         # A pair across the cut is found inside, where its outer half is a guest.
         yield from down(inside, members[dm <= mu], np.concatenate([guests[dg <= mu + radius], members[(dm > mu) & (dm <= mu + radius)]]))
         yield from down(outside, members[dm > mu], guests[dg > mu - radius])
@@ -132,41 +133,50 @@ def route(tree, fps: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray,
     yield from down(tree, np.arange(len(fps)), np.zeros(0, dtype=np.int64))
 
 
-def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Joins the classes of the pairs (a, b); parent is flat before and after."""
+def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray, links: list | None = None) -> None:
+    """Joins the classes of the pairs (a, b); parent is flat before and after. links gets the pairs that joined two."""
     while len(a):
         pa_, pb = parent[a], parent[b]
         apart = pa_ != pb
         a, b, pa_, pb = a[apart], b[apart], pa_[apart], pb[apart]
         if not len(a):
             return
-        np.minimum.at(parent, np.maximum(pa_, pb), np.minimum(pa_, pb))
+        high, low = np.maximum(pa_, pb), np.minimum(pa_, pb)
+        # Each class is hung below one other at a time, by the first pair that offers the least.
+        order = np.lexsort((low, high))
+        once = order[np.concatenate([[True], high[order][1:] != high[order][:-1]])]
+        parent[high[once]] = low[once]
+        if links is not None:
+            links.append((a[once], b[once]))
         while not np.array_equal(up := parent[parent], parent):
             parent[:] = up
 
 
-def link_shard(fps: np.ndarray, members: np.ndarray, guests: np.ndarray, radius: int, seed: int = 7) -> np.ndarray:
-    """parent[i] for fps: a spanning forest of all links between members, and of members and guests."""
-    parent, rng = np.arange(len(fps)), np.random.default_rng(seed)
+def link_shard(fps: np.ndarray, members: np.ndarray, guests: np.ndarray, radius: int, seed: int = 7, links: list | None = None, parent: np.ndarray | None = None) -> np.ndarray:
+    """parent[i] for fps: the classes of all links between members, and of members and guests; links gets a forest of them."""
+    parent, rng = np.arange(len(fps)) if parent is None else parent, np.random.default_rng(seed)
 
     def direct(m: np.ndarray, g: np.ndarray) -> None:
         both = np.concatenate([m, g])
         for i in range(0, len(m), 256):
             for j in range(i, len(both), 8192):
-                x, y = np.nonzero(distance(fps[m[i : i + 256]][:, None], fps[both[j : j + 8192]][None, :]) <= radius)
+                near = np.zeros((len(m[i : i + 256]), len(both[j : j + 8192])), dtype=np.int16)
+                for k in range(fps.shape[1]):
+                    near += np.bitwise_count(fps[m[i : i + 256], k][:, None] ^ fps[both[j : j + 8192], k][None, :])
+                x, y = np.nonzero(near <= radius)
                 x, y = m[i + x], both[j + y]
                 apart = x != y
-                _union(parent, x[apart], y[apart])
+                _union(parent, x[apart], y[apart], links)
 
     todo = [(members, guests)]
     while todo:
         m, g = todo.pop()
-        cut = _split(fps[m[rng.integers(0, len(m), 2048)]], rng) if len(m) > BLOCK else None
+        cut = _split(fps[m[rng.integers(0, len(m), 2048)]], rng, radius) if len(m) > BLOCK else None
         if cut is None:
             direct(m, g)
             continue
         vp, mu = cut
-        dm, dg = distance(fps[m], vp).astype(int), distance(fps[g], vp).astype(int)
+        dm, dg = distance(fps[m], vp), distance(fps[g], vp)
         todo.append((m[dm <= mu], np.concatenate([g[dg <= mu + radius], m[(dm > mu) & (dm <= mu + radius)]])))
         todo.append((m[dm > mu], g[dg > mu - radius]))
     return parent
@@ -177,12 +187,12 @@ def fingerprint_links(distinct: DataFrame, radius: int) -> DataFrame:
     n = distinct.count()
     share = min(1.0, INDEX_SAMPLE / max(n, 1))
     picked = distinct.where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))).select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    tree = build_tree(np.sort(picked), max(0, int(np.ceil(np.log2(max(1, n / SHARD_MEMBERS))))))
+    tree = build_tree(np.sort(picked)[:, None], max(0, int(np.ceil(np.log2(max(1, n / SHARD_MEMBERS))))))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for shard, members, guests in route(tree, fps, radius):
+            for shard, members, guests in route(tree, fps[:, None], radius):
                 who = np.concatenate([members, guests])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), shard, np.int32)), pa.array(signed(fps[who])), pa.array(np.arange(len(who)) < len(members))], names=["shard", "fp", "member"])
 
@@ -191,7 +201,7 @@ def fingerprint_links(distinct: DataFrame, radius: int) -> DataFrame:
         member = table.column("member").to_numpy()
         order = np.lexsort((fps, ~member))
         fps, n_members = fps[order], int(member.sum())
-        parent = link_shard(fps, np.arange(n_members), np.arange(n_members, len(fps)), radius)
+        parent = link_shard(fps[:, None], np.arange(n_members), np.arange(n_members, len(fps)), radius)
         low = np.flatnonzero(parent != np.arange(len(fps)))
         return pa.table({"a": signed(fps[parent[low]]), "b": signed(fps[low])})
 
@@ -234,11 +244,112 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return attach(rows, groups, ["fp"], [key, ROW_HASH]).select(key, ROW_HASH, "fp", F.coalesce("component_id", key).alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
-    """docs with one document, that of the smallest key, of each group; all columns kept.
+#: Near duplicates by similarity: words of a shingle, words of a fingerprint, min-hashes, and search radii in bits.
+SHINGLE_WORDS, FINGERPRINT_WORDS, MIN_HASHES, RADII, SIMILARITY = 5, 4, 6, (16, 32, 50), 0.8
+#: Odd multipliers that make further hashes of a shingle from its first.
+_MULTIPLIERS = np.array([2 * int.from_bytes(xxhash.xxh64_digest(bytes([k]), 1)) % (1 << 64) | 1 for k in range(16)], dtype=np.uint64)
+
+
+def _remixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th further hash of each shingle hash."""
+    x = hashes * _MULTIPLIERS[k]
+    x = (x ^ (x >> np.uint64(32))) * _MULTIPLIERS[15 - k]
+    return x ^ (x >> np.uint64(29))
+
+
+def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
+    """key, row hash, node, fingerprint (FINGERPRINT_WORDS longs, as bytes) and min-hashes of every row with words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(np.array(shingle_hashes(t, words), dtype=np.uint64)) for t in text_bytes(batch.column(2))]
+            sizes = np.array([len(h) for h in found], dtype=np.int64)
+            full = np.flatnonzero(sizes)
+            flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]]).astype(np.int64) if len(full) else np.zeros(0, np.int64)
+            fps = np.stack([majority_bits(_remixed(flat, k), sizes[full]) for k in range(FINGERPRINT_WORDS)], axis=1) if len(full) else np.zeros((0, FINGERPRINT_WORDS), np.uint64)
+            mins = [np.minimum.reduceat(_remixed(flat, 4 + k), starts) if len(full) else np.zeros(0, np.uint64) for k in range(MIN_HASHES)]
+            rows = batch.take(pa.array(full))
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(0), rows.column(1), pa.array([r.tobytes() for r in fps], pa.binary()), pa.array(list(signed(np.stack(mins, axis=1))) if len(full) else [], pa.list_(pa.int64()))],
+                names=[key, ROW_HASH, "fp", "mins"],
+            )
+
+    kept = with_row_hash(docs.select(key, text), text).select(key, ROW_HASH, text)
+    return kept.mapInArrow(run, ddl(kept.select(key, ROW_HASH), "fp binary", "mins array<long>")).withColumn("node", F.xxhash64(key, ROW_HASH))
+
+
+def sketch_links(rows: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes with near fingerprints that share two min-hashes: of each shard the shortest spanning forest.
+
+    Two texts of similarity s share a given min-hash with probability s; a shard is made by a pair of them, so that a
+    passage in very many texts does not make one shard of all. Within a shard pairs are linked by growing radius.
+    """
+    pairs = [(i, j) for i in range(MIN_HASHES) for j in range(i)]
+    shards = F.array(*(F.xxhash64(F.lit(i), F.lit(j), F.col("mins")[i], F.col("mins")[j]) for i, j in pairs))
+    dealt = rows.select("node", "fp", F.explode(shards).alias("shard")).repartition("shard")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b["shard"].to_numpy(), b["node"].to_numpy(), np.frombuffer(b"".join(b["fp"].to_pylist()), np.uint64).reshape(-1, FINGERPRINT_WORDS)) for b in batches]
+        if not parts:
+            return
+        shard, node, fps = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        order = np.lexsort((node, shard))
+        cuts = np.flatnonzero(np.diff(shard[order])) + 1
+        found_a, found_b = [], []
+        for a, b in zip([0, *cuts], [*cuts, len(order)], strict=True):
+            if b - a < 2:
+                continue
+            who = order[a:b]
+            links: list = []
+            if b - a == 2:
+                if distance(fps[who[0]], fps[who[1]]) <= RADII[-1]:
+                    links.append((np.array([0]), np.array([1])))
+            else:
+                parent, everyone = np.arange(b - a), np.arange(b - a)
+                for radius in RADII:
+                    parent = link_shard(fps[who], everyone, everyone[:0], radius, links=links, parent=parent)
+            for x, y in links:
+                found_a.append(node[who[x]])
+                found_b.append(node[who[y]])
+        if found_a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
+
+    # Rows of a task are narrow, and are searched together shard by shard.
+    found = dealt.mapInArrow(search, "a long, b long")
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+
+
+def verified_links(docs: DataFrame, links: DataFrame, key: str, text: str, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS) -> DataFrame:
+    """Links whose texts' sets of word shingles have a Jaccard similarity of at least `similarity`; only linked texts are read out."""
+    nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    linked = with_row_hash(docs.select(key, text), text).withColumn("node", F.xxhash64(key, ROW_HASH)).join(nodes.hint("shuffle_hash"), "node", "left_semi").select("node", text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [signed(np.unique(np.array(shingle_hashes(t, words), dtype=np.uint64))) for t in text_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    sets = materialize(linked.mapInArrow(run, "node long, shingles array<long>"), "shingle-sets").dropDuplicates(["node"])
+    both = links.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, row hash, node and component_id of the rows that are in a group of near duplicates with another row."""
+    rows = materialize(sketches(docs, key, text), "sketches")
+    links = materialize(sketch_links(rows), "sketch-links")
+    comps = connected_components(verified_links(docs, links, key, text))
+    named = rows.select(key, ROW_HASH, "node").join(comps, "node")
+    return named.join(named.groupBy("comp").agg(F.min(key).alias("component_id")), "comp").select(key, ROW_HASH, "node", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one document, that of the smallest key, of each group linked by five-word shingles at SIMILARITY; all columns kept.
 
     Rows of that key in the group all stay: exact dedup is another operator.
     """
-    groups = near_duplicates(docs, key, text, **parameters)
+    groups = similar_groups(docs, key, text)
     lost = materialize(groups.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(key, ROW_HASH).distinct(), "near-copies")
     return matching(docs, lost, key, text, "left_anti")
