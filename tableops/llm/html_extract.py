@@ -50,6 +50,12 @@ def _is_boilerplate(name: str, attributes: str, in_main: int) -> bool:
     return any(w.lower() in _BOILERPLATE for found in _CLASS.findall(attributes) for value in found for w in _WORD.findall(value))
 
 
+def _closes_first(name: str, page: str, at: int) -> bool:
+    """Whether the small element opened before `at` is closed before another of its name opens."""
+    found = re.compile(rf"<(/?){name}\b", re.I).search(page, at)
+    return bool(found and found[1])
+
+
 def page_lines(page: str) -> list[tuple[str, int, bool]]:
     """(text, length that counts, in the article) of each line; boilerplate lines count zero."""
     lines: list[tuple[str, int, bool]] = []
@@ -107,7 +113,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         elif not closing and name not in ("p", "li", "b", "i", "a", "span", "em", "strong") and _is_boilerplate(name, found[3], in_main):
             skip, depth = name, 1
             lines.extend([("", 0, False)] * WINDOW)
-        elif not closing and name in ("p", "li", "span", "a") and found[3] and _is_boilerplate(name, found[3], in_main) and _RAW_CLOSE(name, page, at):
+        elif not closing and name in ("p", "li", "span", "a") and found[3] and _is_boilerplate(name, found[3], in_main) and _closes_first(name, page, at):
             end_line()
             skip, depth = name, 1
             lines.extend([("", 0, False)] * WINDOW)
@@ -124,12 +130,6 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
     return lines
 
 
-def _RAW_CLOSE(name: str, page: str, at: int) -> bool:
-    """Whether the small element opened before `at` is closed before another of its name opens."""
-    found = re.compile(rf"<(/?){name}\b", re.I).search(page, at)
-    return bool(found and found[1])
-
-
 def text_blocks(lengths: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int]]:
     """(surge, dive, summit) of each block: lines [surge, dive) and their highest window sum."""
     if not len(lengths):

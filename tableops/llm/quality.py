@@ -33,9 +33,10 @@ FUNCTION_WORDS = frozenset(
     ).split()
 )
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-MEASURES = (*BASE, "n_lines", "n_function", "n_letters", "n_upper", "n_with_letter")
+MEASURES = (*BASE, "n_lines", "n_function", "n_letters", "n_upper")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_FOLD = bytes(range(256))
+_ASCII_UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_ASCII_LETTERS = _ASCII_UPPER + _ASCII_UPPER.lower()
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -81,14 +82,9 @@ def measure(raw: bytes) -> tuple[int, ...]:
         sum(map(FUNCTION_WORDS.__contains__, raw.lower().split())),
         n_letters,
         n_upper,
-        0,
     )
 
 
-_ASCII_UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_ASCII_LETTERS = _ASCII_UPPER + _ASCII_UPPER.lower()
-
-
 def measures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and MEASURES of every row."""
 
@@ -136,7 +132,7 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[fl
     for _ in range(rounds):
         good = posterior(patterns, prior, table)
         for c, share in ((1, good * counts), (0, (1 - good) * counts)):
-            seen = np.einsum("p,prv->rv", share, onehot) + (1.0 if c else 1.0)
+            seen = np.einsum("p,prv->rv", share, onehot) + 1.0
             table[c] = seen / seen.sum(axis=1, keepdims=True)
         new = float((good * counts).sum() + 1) / float(counts.sum() + 2)
         if abs(new - prior) < 1e-9:
