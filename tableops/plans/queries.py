@@ -578,7 +578,7 @@ def _change_log(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_LOG = "day AS (SELECT user_id, event_type, arg_max(value, event_id) AS value, CAST(datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS v, arg_max(event_id % 9 = 0, event_id) AS gone FROM events GROUP BY 1, 2 + 1e-7, 4)"
+_LOG = "day AS (SELECT user_id, event_type, arg_max(value, event_id) AS value, CAST(datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS v, arg_max(event_id % 9 = 0, event_id) AS gone FROM events GROUP BY 1, 2, 4)"
 _AT = "SELECT user_id, event_type, value FROM (SELECT user_id, event_type, arg_max(value, v) AS value, arg_max(gone, v) AS gone FROM day {where} GROUP BY 1, 2) WHERE NOT gone"
 
 
