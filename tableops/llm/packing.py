@@ -19,7 +19,7 @@ import zlib
 from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -45,15 +45,15 @@ def _encoding(path: str) -> tiktoken.Encoding:
 
     Tokens in the file spell bytes as printable characters: those that are printable stand for
     themselves, the rest for 256, 257, ... in order. Ids of such a file are also its merge ranks.
-    Strings of special tokens in a text are ordinary text.
+    A special token spelt out in a text is that token, as it is for the file's own tokenizer.
     """
     with open(path, encoding="utf-8") as file:
         model = json.load(file)
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     spelt = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
-    special = {t["content"] for t in model["added_tokens"] if t["special"]}
+    special = {t["content"]: t["id"] for t in model["added_tokens"]}
     ranks = {bytes(spelt[c] for c in token): n for token, n in model["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("pieces", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("pieces", pat_str=PARTS, mergeable_ranks=ranks, special_tokens=special)
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -63,7 +63,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", t
     fields = f"`{key}` {dict(kept.dtypes)[key]}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(tokenizer_path).encode_ordinary
+        encode = partial(_encoding(tokenizer_path).encode, allowed_special="all")
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

@@ -76,6 +76,13 @@ def test_packing_plan_uses_every_piece_once():
     assert n <= sum(packing._best_fit(counts).values()) * 1.01
 
 
+@pytest.mark.parametrize("text", ["a<|endoftext|>b", "<|endoftext|><|endoftext|>", " <|endoftext|> 's", "<|endoftext", "\u00a0\u2003x \n\n y\r\n", "x" * 50_000, "naïve 123²  \u0301"])
+def test_tokens_are_those_of_the_file(text):
+    from tokenizers import Tokenizer
+
+    assert packing._encoding(TOKENS).encode(text, allowed_special="all") == Tokenizer.from_file(TOKENS).encode(text, add_special_tokens=False).ids
+
+
 def test_packing_edges(spark, edge):
     got = packing.pack_documents(edge, TOKENS).collect()
     assert sum(r.doc_id == 5 for r in got) == 2 and [r.length for r in got if r.doc_id in (2, 3)] == [1, 1]
