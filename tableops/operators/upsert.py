@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A source is broadcast only when its rows, counted, are at most these.
 BROADCAST_ROWS = 100_000
@@ -18,10 +19,6 @@ def dedup_latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ti
     return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
-def _small(df: DataFrame, known_rows: int | None) -> DataFrame:
-    return F.broadcast(df) if known_rows is not None and known_rows <= BROADCAST_ROWS else df
-
-
 def upsert(
     target: DataFrame,
     source: DataFrame,
@@ -50,12 +47,16 @@ def upsert(
         on.append(F.col("__open"))
     if condition and faithful_on:
         on.append(F.expr(condition))
-    joined = t.join(_small(s, source_rows), on, "left")
     changes = F.col("s").isNotNull() & (F.expr(condition) if condition and not faithful_on else F.lit(True))
-    kept = joined.select(*((F.when(changes, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")) if c in update else F.col(f"t.{c}")).alias(c) for c in columns))
+    merged = {c: F.when(changes, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")) if c in update else F.col(f"t.{c}") for c in columns}
+    if source_rows is None or source_rows > BROADCAST_ROWS:
+        # Updates and inserts from one join: target and source are each read and shuffled once.
+        both = t.join(s, on, "full")
+        return both.select(*(F.when(F.col("t").isNull(), F.col(f"s.{c}")).otherwise(x).alias(c) for c, x in merged.items()))
+    joined = t.join(F.broadcast(s), on, "left")
     hit = joined.where(F.col("s").isNotNull()).select("s.*").select(*keys).distinct()
-    inserts = src.join(_small(hit, source_rows), list(keys), "left_anti").select(*columns)
-    return kept.unionByName(inserts)
+    inserts = src.join(F.broadcast(hit), list(keys), "left_anti").select(*columns)
+    return joined.select(*(x.alias(c) for c, x in merged.items())).unionByName(inserts)
 
 
 def apply_changes(target: DataFrame, feed: DataFrame, keys: Sequence[str], sequence: str, delete_when: Column | None = None, except_cols: Sequence[str] = ()) -> DataFrame:
@@ -93,18 +94,20 @@ def scd2_merge(target: DataFrame, updates: DataFrame, keys: Sequence[str], compa
     data = [c for c in columns if c not in ("_start", "_end", "_is_current")]
     latest = dedup_latest(updates, keys, [F.col(effective).desc()])
     history, current = target.where(~F.col("_is_current")), target.where("_is_current")
-    u, c = latest.alias("u"), current.alias("c")
-    same = [F.col(f"u.{k}") == F.col(f"c.{k}") for k in keys]
-    changed = F.col(f"u.{keys[0]}").isNotNull() & _differs(compare, "u", "c")
-    closed = c.join(u, same, "left").select(
-        *(F.col(f"c.{x}") for x in [*data, "_start"]),
-        F.when(changed, F.col(f"u.{effective}")).otherwise(F.col("c._end")).alias("_end"),
-        F.when(changed, F.lit(False)).otherwise(F.lit(True)).alias("_is_current"),
-    )
-    # A key without a current version is new, and so is one whose compared columns differ.
-    opened = u.join(c, same, "left").where(F.col(f"c.{keys[0]}").isNull() | _differs(compare, "u", "c")).select(*(F.col(f"u.{x}") for x in data))
-    opened = opened.withColumns({"_start": F.col(effective), "_end": F.lit(None).cast(target.schema["_end"].dataType), "_is_current": F.lit(True)})
-    return history.select(*columns).unionByName(closed.select(*columns)).unionByName(opened.select(*columns))
+    c = current.select(F.struct(*columns).alias("c"), *keys)
+    u = latest.select(F.struct(*data).alias("u"), *(F.col(k).alias(f"__{k}") for k in keys))
+    both = c.join(u, [F.col(k) == F.col(f"__{k}") for k in keys], "full")
+    kind = T.StructType([T.StructField(f.name, f.dataType) for f in target.schema])
+
+    def version(values: dict[str, Column]) -> Column:
+        return F.struct(*(values[x].alias(x) for x in columns)).cast(kind)
+
+    stays = version({x: F.col(f"c.{x}") for x in columns})
+    closed = version({x: F.col(f"c.{x}") for x in columns} | {"_end": F.col(f"u.{effective}"), "_is_current": F.lit(False)})
+    opened = version({x: F.col(f"u.{x}") for x in data} | {"_start": F.col(f"u.{effective}"), "_end": F.lit(None), "_is_current": F.lit(True)})
+    # A key without a current version is new; one whose compared columns differ closes a version and opens one.
+    rows = F.when(F.col("c").isNull(), F.array(opened)).when(F.col("u").isNull() | ~_differs(compare, "u", "c"), F.array(stays)).otherwise(F.array(closed, opened))
+    return history.select(*columns).unionByName(both.select(F.explode(rows).alias("r")).select("r.*"))
 
 
 def scd2_from_history(events: DataFrame, keys: Sequence[str], sequence: Sequence[str], compare: Sequence[str], effective: str) -> DataFrame:

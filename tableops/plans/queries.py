@@ -121,7 +121,7 @@ def audit_columns(spark, d):
 @query("SELECT event_id, value FROM events")
 def stream_table_passthrough(spark, d):
     dst = work_dir(spark, "stream")
-    stream = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", "*.parquet").parquet(_stream_source(spark, d))
+    stream = S.stream_table(spark, _stream_source(spark, d), EVENT_SCHEMA)
     S.run_available(stream.select("event_id", "value"), work_dir(spark, "state"), dst)
     return spark.read.schema("event_id long, value double").parquet(dst)
 
@@ -199,12 +199,12 @@ def fan_out_counts(spark, d):
 
 @query("SELECT user_id, count(*) AS n FROM (SELECT user_id FROM events WHERE event_type = 'click' UNION ALL SELECT user_id FROM events WHERE event_type = 'view') GROUP BY user_id")
 def materialize_temp(spark, d):
-    temp = sinks.TempTables()
+    temp = sinks.TempTables(spark)
+    temp.materialize(events(spark, d).where("event_type = 'error'"), "errors")
     temp.materialize(events(spark, d).where("event_type = 'click'"), "clicks")
     both = temp.append(events(spark, d).where("event_type = 'view'"), "clicks")
-    out = both.groupBy("user_id").agg(F.count("*").alias("n"))
-    temp.drop_all()
-    return out
+    temp.drop("errors")
+    return both.groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_type, 'SUCCESS' AS status, count(*) AS n FROM events GROUP BY event_type")

@@ -7,10 +7,10 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableops.workdir import work_dir
+from tableops.workdir import delete_folder, work_dir
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -27,29 +27,35 @@ def replace_partitions(df: DataFrame, path: str, columns: Sequence[str]) -> None
 
 
 class TempTables:
-    """Intermediate tables of one job, written and read back; dropping is repeatable."""
+    """Intermediate tables of one job, written and read back. Dropping deletes their files, and is repeatable."""
 
-    def __init__(self):
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
         self.paths: dict[str, str] = {}
 
     def materialize(self, df: DataFrame, name: str) -> DataFrame:
-        path = work_dir(df.sparkSession, name)
+        """df as a table of that name; one that had the name before is replaced once the new one is written."""
+        path = work_dir(self.spark, name)
         df.write.parquet(path)
+        self.drop(name)
         self.paths[name] = path
-        return df.sparkSession.read.schema(df.schema).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def append(self, df: DataFrame, name: str) -> DataFrame:
         if name not in self.paths:
             return self.materialize(df, name)
         append(df, self.paths[name])
-        return df.sparkSession.read.schema(df.schema).parquet(self.paths[name])
+        return self.spark.read.schema(df.schema).parquet(self.paths[name])
 
     def drop(self, name: str) -> None:
-        """Forgets the table; its files go with the folder, which readers may still be using."""
-        self.paths.pop(name, None)
+        """Frames over the table can't be read any more."""
+        path = self.paths.pop(name, None)
+        if path is not None:
+            delete_folder(self.spark, path)
 
     def drop_all(self) -> None:
-        self.paths.clear()
+        for name in list(self.paths):
+            self.drop(name)
 
 
 def empty_like(df: DataFrame) -> DataFrame:

@@ -7,9 +7,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from tableops.functions.columns import with_audit_columns
 from tableops.operators.upsert import dedup_latest, scd2_merge, upsert
+from tableops.workdir import delete_folder, glob_paths
 
 
 def stream_files(spark: SparkSession, path: str, schema: T.StructType | str, kind: str = "json", glob: str | None = None, max_files: int | None = None) -> DataFrame:
@@ -21,16 +23,30 @@ def stream_files(spark: SparkSession, path: str, schema: T.StructType | str, kin
     return reader.load(path)
 
 
-def run_available(stream: DataFrame, checkpoint: str, path: str | None = None, batch: Callable[[DataFrame, int], None] | None = None, partition_by: Sequence[str] = ()) -> None:
-    """Runs the stream over what there is: appended to path, or handed to a batch function."""
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+def stream_table(spark: SparkSession, path: str, schema: T.StructType | str, max_files: int | None = None, after: Column | None = None) -> DataFrame:
+    """Rows appended to a table, from the first one for which `after` (a condition on a version column, say) holds."""
+    stream = stream_files(spark, path, schema, "parquet", "*.parquet", max_files)
+    return stream if after is None else stream.where(after)
+
+
+def start_stream(stream: DataFrame, checkpoint: str, path: str | None = None, batch: Callable[[DataFrame, int], None] | None = None, partition_by: Sequence[str] = (), **trigger) -> StreamingQuery:
+    """Starts the stream: appended to path, or handed to a batch function. trigger is that of Spark (all there is now, by default)."""
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))
     if batch is not None:
-        writer.foreachBatch(batch).start().awaitTermination()
-        return
+        return writer.foreachBatch(batch).start()
     writer = writer.format("parquet").outputMode("append")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.start(path).awaitTermination()
+    return (writer.partitionBy(*partition_by) if partition_by else writer).start(path)
+
+
+def run_available(stream: DataFrame, checkpoint: str, path: str | None = None, batch: Callable[[DataFrame, int], None] | None = None, partition_by: Sequence[str] = ()) -> None:
+    """Runs the stream over what there is, and waits for it."""
+    start_stream(stream, checkpoint, path, batch, partition_by).awaitTermination()
+
+
+def full_refresh(spark: SparkSession, checkpoint: str, *paths: str) -> None:
+    """Forgets what a stream has read and written, so that its next run starts anew; repeatable."""
+    for path in (checkpoint, *paths):
+        delete_folder(spark, path)
 
 
 def fan_out(stream: DataFrame, key: str, path: str, checkpoint: str) -> None:
@@ -55,22 +71,36 @@ def stream_dedup(stream: DataFrame, keys: Sequence[str], ts: str, lateness: str)
 
 
 class VersionedTable:
-    """A table as one folder a batch: batch n is made from the newest batch before it, so a replay writes the same again."""
+    """A table as one folder a batch: batch n is made from the newest batch before it, so a replay writes the same again.
+
+    Which batches there are is read from the folders each time (those whose write was completed), never kept in
+    memory: a stream that is started again after a failure goes on from them. The newest `keep` versions stay.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keep: int = 3):
+        if keep < 2:
+            raise ValueError("a replay of the newest version needs the one before it: keep 2 or more")
+        self.spark, self.path, self.schema, self.keep = spark, path, schema, keep
+
+    def versions(self) -> list[int]:
+        done = glob_paths(self.spark, f"{self.path}/v=*/_SUCCESS")
+        return sorted(int(p.rsplit("/", 2)[1].removeprefix("v=")) for p in done)
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
-        self.spark, self.path, self.schema = spark, path, schema
-        self.batches: list[int] = []
+    def _read(self, versions: list[int]) -> DataFrame:
+        if not versions:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={versions[-1]}")
 
     def before(self, n: int) -> DataFrame:
-        earlier = [b for b in self.batches if b < n]
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={max(earlier)}") if earlier else self.spark.createDataFrame([], self.schema)
+        return self._read([v for v in self.versions() if v < n])
 
     def write(self, df: DataFrame, n: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/v={n}")
-        self.batches = sorted({*self.batches, n})
+        for old in self.versions()[: -self.keep]:
+            delete_folder(self.spark, f"{self.path}/v={old}")
 
     def latest(self) -> DataFrame:
-        return self.before(1 << 62)
+        return self._read(self.versions())
 
 
 def stream_upsert(stream: DataFrame, table: VersionedTable, keys: Sequence[str], order: Sequence[Column], checkpoint: str) -> None:

@@ -1,4 +1,4 @@
-"""Working folders that driver and executors share."""
+"""Working folders that driver and executors share, and the few file-system calls that Spark's readers don't offer."""
 
 from __future__ import annotations
 
@@ -16,3 +16,20 @@ def work_dir(spark: SparkSession, name: str) -> str:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
+
+
+def delete_folder(spark: SparkSession, path: str) -> bool:
+    """Deletes a folder and all in it, in whatever store the path names; False if there was none."""
+    system, jvm_path = _file_system(spark, path)
+    return system.delete(jvm_path, True)
+
+
+def glob_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match the pattern; none if the folders above don't exist."""
+    system, jvm_path = _file_system(spark, pattern)
+    return [str(status.getPath()) for status in system.globStatus(jvm_path) or []]

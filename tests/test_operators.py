@@ -9,7 +9,8 @@ from tableops.operators import analytics as A
 from tableops.operators import compare as J
 from tableops.operators import upsert as U
 from tableops.sources import sinks
-from tableops.workdir import work_dir
+from tableops.streaming import streams as S
+from tableops.workdir import glob_paths, work_dir
 
 
 def rows(df):
@@ -138,3 +139,46 @@ def test_entry_runs(spark):
 
     assert entry.entry(spark).limit(1).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_upsert_is_the_same_by_broadcast_and_by_shuffle(spark):
+    t = spark.createDataFrame([(1, 10, "a"), (2, 20, "b"), (None, 0, "n"), (3, 30, None)], "k int, ts int, v string")
+    s = spark.createDataFrame([(1, 11, "x"), (2, 5, "late"), (None, 1, "m"), (4, 40, "new")], "k int, ts int, v string")
+    for options in ({}, {"update_cols": ["v"]}, {"condition": "s.ts > t.ts"}, {"condition": "s.ts > t.ts", "faithful_on": True}, {"target_pred": F.col("t.ts") > 10}):
+        assert rows(U.upsert(t, s, ["k"], **options)) == rows(U.upsert(t, s, ["k"], source_rows=4, **options))
+
+
+def test_upsert_reads_and_shuffles_each_side_once(spark, data):
+    e = spark.read.parquet(f"{data}/events.parquet")
+    plan = U.upsert(e, e.where("event_id % 2 = 0"), ["event_id"])._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") == 2 and "FullOuter" in plan
+
+
+def test_stream_goes_on_from_written_versions_after_a_restart(spark):
+    schema = "k int, ts int, v string"
+    src, state, out = (work_dir(spark, n) for n in ("source", "state", "versions"))
+    empty = spark.createDataFrame([], schema)
+    for n in range(4):
+        spark.createDataFrame([(n, n, f"v{n}"), (0, n, f"zero{n}")], schema).coalesce(1).write.mode("append").parquet(src)
+        # A new object each time knows only what the folders hold, as after a lost driver.
+        S.stream_upsert(S.stream_table(spark, src, schema), S.VersionedTable(spark, out, empty.schema), ["k"], [F.desc("ts"), F.desc("v")], state)
+    table = S.VersionedTable(spark, out, empty.schema)
+    want = [(0, 3, "zero3"), (1, 1, "v1"), (2, 2, "v2"), (3, 3, "v3")]
+    assert rows(table.latest()) == want and len(table.versions()) == table.keep
+    last = table.versions()[-1]
+    table.write(U.upsert(table.before(last), spark.createDataFrame([(3, 3, "v3"), (0, 3, "zero3")], schema), ["k"]), last)  # a replay
+    assert rows(table.latest()) == want
+    S.full_refresh(spark, state, out)
+    S.full_refresh(spark, state, out)
+    assert table.versions() == [] and table.latest().count() == 0
+
+
+def test_dropped_tables_are_gone_and_dropping_repeats(spark):
+    temp = sinks.TempTables(spark)
+    temp.materialize(spark.range(3), "a")
+    assert temp.append(spark.range(2), "a").count() == 5 and temp.materialize(spark.range(1), "a").count() == 1
+    path = temp.paths["a"]
+    temp.drop("a")
+    temp.drop("a")
+    temp.drop_all()
+    assert glob_paths(spark, path) == []
