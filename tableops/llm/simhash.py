@@ -245,7 +245,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 
 #: Near duplicates by similarity: words of a shingle, words of a fingerprint, min-hashes, and search radii in bits.
-SHINGLE_WORDS, FINGERPRINT_WORDS, MIN_HASHES, RADII, SIMILARITY = 5, 4, 6, (16, 32, 50), 0.8
+SHINGLE_WORDS, FINGERPRINT_WORDS, MIN_HASHES, RADII, SIMILARITY = 5, 4, 7, (16, 32, 46, 60), 0.8
+#: Links that a text may offer a shard in each round after the first; the last takes all.
+OFFERS = (16, 256, 4096, None)
 #: Odd multipliers that make further hashes of a shingle from its first.
 _MULTIPLIERS = np.array([2 * int.from_bytes(xxhash.xxh64_digest(bytes([k]), 1)) % (1 << 64) | 1 for k in range(16)], dtype=np.uint64)
 
@@ -279,49 +281,89 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     return kept.mapInArrow(run, ddl(kept.select(key, ROW_HASH), "fp binary", "mins array<long>")).withColumn("node", F.xxhash64(key, ROW_HASH))
 
 
-def sketch_links(rows: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes with near fingerprints that share two min-hashes: of each shard the shortest spanning forest.
+def _dealt(rows: DataFrame, *more: str) -> DataFrame:
+    """node, fp and more of every row, once for each shard that it is in.
 
     Two texts of similarity s share a given min-hash with probability s; a shard is made by a pair of them, so that a
-    passage in very many texts does not make one shard of all. Within a shard pairs are linked by growing radius.
+    passage in very many texts does not make one shard of all.
     """
     pairs = [(i, j) for i in range(MIN_HASHES) for j in range(i)]
     shards = F.array(*(F.xxhash64(F.lit(i), F.lit(j), F.col("mins")[i], F.col("mins")[j]) for i, j in pairs))
-    dealt = rows.select("node", "fp", F.explode(shards).alias("shard")).repartition("shard")
+    return rows.select("node", "fp", *more, F.explode(shards).alias("shard"))
+
+
+def _shards(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each shard of a task with two rows or more: shard number, fingerprints, and the columns, by node. Rows are narrow."""
+    parts = [(b["shard"].to_numpy(), np.frombuffer(b"".join(b["fp"].to_pylist()), np.uint64).reshape(-1, FINGERPRINT_WORDS), *(b[c].to_numpy() for c in columns)) for b in batches]
+    if not parts:
+        return
+    shard, fps, *rest = (np.concatenate([p[k] for p in parts]) for k in range(2 + len(columns)))
+    order = np.lexsort((rest[0], shard))
+    cuts = np.flatnonzero(np.diff(shard[order])) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(order)], strict=True):
+        if b - a > 1:
+            who = order[a:b]
+            yield shard[who[0]], fps[who], *(r[who] for r in rest)
+
+
+def sketch_links(rows: DataFrame) -> DataFrame:
+    """Links (shard, a, b) between nodes with near fingerprints that share a shard: a spanning forest of each, grown by radius."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b["shard"].to_numpy(), b["node"].to_numpy(), np.frombuffer(b"".join(b["fp"].to_pylist()), np.uint64).reshape(-1, FINGERPRINT_WORDS)) for b in batches]
-        if not parts:
-            return
-        shard, node, fps = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        order = np.lexsort((node, shard))
-        cuts = np.flatnonzero(np.diff(shard[order])) + 1
-        found_a, found_b = [], []
-        for a, b in zip([0, *cuts], [*cuts, len(order)], strict=True):
-            if b - a < 2:
-                continue
-            who = order[a:b]
+        shards, found_a, found_b = [], [], []
+        for shard, fps, node in _shards(batches, ["node"]):
             links: list = []
-            if b - a == 2:
-                if distance(fps[who[0]], fps[who[1]]) <= RADII[-1]:
+            if len(fps) == 2:
+                if distance(fps[0], fps[1]) <= RADII[-1]:
                     links.append((np.array([0]), np.array([1])))
             else:
-                parent, everyone = np.arange(b - a), np.arange(b - a)
+                parent, everyone = np.arange(len(fps)), np.arange(len(fps))
                 for radius in RADII:
-                    parent = link_shard(fps[who], everyone, everyone[:0], radius, links=links, parent=parent)
+                    parent = link_shard(fps, everyone, everyone[:0], radius, links=links, parent=parent)
             for x, y in links:
-                found_a.append(node[who[x]])
-                found_b.append(node[who[y]])
-        if found_a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
+                shards.append(np.full(len(x), shard))
+                found_a.append(node[x])
+                found_b.append(node[y])
+        if shards:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (shards, found_a, found_b)], names=["shard", "a", "b"])
+
+    found = _dealt(rows).repartition("shard").mapInArrow(search, "shard long, a long, b long")
+    return found.select("shard", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
 
-    # Rows of a task are narrow, and are searched together shard by shard.
-    found = dealt.mapInArrow(search, "a long, b long")
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
 
+def cross_links(dealt: DataFrame, offers: int | None) -> DataFrame:
+    """Links (shard, a, b, more) between near nodes of different components: of each node the nearest `offers` in a shard.
 
-def verified_links(docs: DataFrame, links: DataFrame, key: str, text: str, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS) -> DataFrame:
-    """Links whose texts' sets of word shingles have a Jaccard similarity of at least `similarity`; only linked texts are read out."""
+    more tells that the node has further ones. Nodes of a shard's largest component need not look: every link that
+    crosses has an end outside it.
+    """
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, fps, node, comp in _shards(batches, ["node", "comp"]):
+            kinds, of, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+            outside = np.flatnonzero(of != sizes.argmax()) if len(kinds) > 1 else []
+            for at in range(0, len(outside), 64):
+                rows, a, b, more = outside[at : at + 64], [], [], []
+                far = np.zeros((len(rows), len(fps)), dtype=np.int16)
+                for k in range(FINGERPRINT_WORDS):
+                    far += np.bitwise_count(fps[rows, k][:, None] ^ fps[:, k][None, :])
+                far[of[rows][:, None] == of[None, :]] = np.iinfo(np.int16).max
+                for r, d in zip(rows, far, strict=True):
+                    near = np.flatnonzero(d <= RADII[-1])
+                    cut = offers is not None and len(near) > offers
+                    if cut:
+                        near = near[np.argsort(d[near], kind="stable")[:offers]]
+                    a.append(np.full(len(near), node[r]))
+                    b.append(node[near])
+                    more.append(np.full(len(near), cut))
+                a, b, more = (np.concatenate(x) for x in (a, b, more))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), shard)), pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(more)], names=["shard", "a", "b", "more"])
+
+    return dealt.repartition("shard").mapInArrow(search, "shard long, a long, b long, more boolean")
+
+
+def shingle_sets(docs: DataFrame, links: DataFrame, key: str, text: str, words: int = SHINGLE_WORDS) -> DataFrame:
+    """node and the set of word shingles of every linked node; only linked texts are read out."""
     nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
     linked = with_row_hash(docs.select(key, text), text).withColumn("node", F.xxhash64(key, ROW_HASH)).join(nodes.hint("shuffle_hash"), "node", "left_semi").select("node", text)
 
@@ -330,17 +372,42 @@ def verified_links(docs: DataFrame, links: DataFrame, key: str, text: str, simil
             sets = [signed(np.unique(np.array(shingle_hashes(t, words), dtype=np.uint64))) for t in text_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    sets = materialize(linked.mapInArrow(run, "node long, shingles array<long>"), "shingle-sets").dropDuplicates(["node"])
+    return linked.mapInArrow(run, "node long, shingles array<long>")
+
+
+def verified_links(links: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links whose sets have a Jaccard similarity of at least `similarity`."""
+    sets = sets.dropDuplicates(["node"])
     both = links.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, row hash, node and component_id of the rows that are in a group of near duplicates with another row."""
+    """key, row hash, node and component_id of the rows that are in a group of near duplicates with another row.
+
+    A forest of each shard's links is verified first. Where a link of it fails, its two sides may still be joined by
+    another, so such shards are searched again for links between components, the nearest first, until all are tried.
+    """
     rows = materialize(sketches(docs, key, text), "sketches")
     links = materialize(sketch_links(rows), "sketch-links")
-    comps = connected_components(verified_links(docs, links, key, text))
+    tried = links.select("a", "b").distinct()
+    sets = materialize(shingle_sets(docs, tried, key, text), "shingle-sets")
+    good = materialize(verified_links(tried, sets), "verified")
+    comps = connected_components(good)
+    of = lambda end: comps.withColumnsRenamed({"node": end, "comp": f"comp_{end}"})
+    apart = F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")
+    again = materialize(links.join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).select("shard").distinct(), "shards")
+    for offers in OFFERS:
+        if again.isEmpty():
+            break
+        dealt = _dealt(rows).join(again, "shard", "left_semi").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        found = materialize(cross_links(dealt, offers), "cross-links")
+        fresh = materialize(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "fresh-links")
+        good = good.unionByName(materialize(verified_links(fresh, sets), "verified"))
+        tried = tried.unionByName(fresh)
+        comps = connected_components(good)
+        again = found.where("more").select("shard").distinct()
     named = rows.select(key, ROW_HASH, "node").join(comps, "node")
     return named.join(named.groupBy("comp").agg(F.min(key).alias("component_id")), "comp").select(key, ROW_HASH, "node", "component_id")
 

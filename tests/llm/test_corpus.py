@@ -345,6 +345,24 @@ def test_near_duplicate_stage_is_brute_force(spark, docs, edge):
     assert simhash.drop_near_duplicates(edge.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("offers", [(16, 256, 4096, None), (1, 2, None)])
+def test_near_duplicates_of_a_hub_are_all_found(spark, monkeypatch, offers):
+    """Variants that are near the hub, but hardly near each other: a failed link beside the true one must not hide it."""
+    monkeypatch.setattr(simhash, "OFFERS", offers)
+    rng = np.random.default_rng(3)
+    hub = [f"w{k}" for k in rng.integers(0, 5000, 150)]
+    texts = [hub]
+    for _ in range(120):
+        own = list(hub)
+        for at in rng.choice(15, 3, replace=False) * 10 + 4:
+            own[at] = f"x{rng.integers(0, 1 << 30)}"
+        texts.append(own)
+    sets = [set(simhash.shingle_hashes(" ".join(t).encode(), 5)) for t in texts]
+    assert all(len(sets[0] & s) >= 0.8 * len(sets[0] | s) for s in sets)
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.component_id for r in simhash.similar_groups(df).collect()} == {0} and simhash.similar_groups(df).count() == len(texts)
+
+
 def test_quality_base_is_brute_force(spark, docs, edge):
     for df in (docs, edge):
         want = collections.Counter()
