@@ -3,9 +3,10 @@
 Every token is hidden in turn and predicted from both sides: the embeddings of the WINDOW words before and
 after it go through one hidden layer to a distribution over word classes, and within its class a
 word has its share of the class's corpus count. A document's score is the sum of the log-probabilities of its
-tokens. Word counts come from all documents; the network is trained in numpy on a fixed share of
-documents (so the training data grow with the corpus), by rounds in which every partition trains from the same
-weights and Spark averages what they end with, weighted by tokens.
+tokens. Word counts come from all documents: those of the most frequent words go to every task, the others are
+joined to each document's counts of them. The network is trained in numpy on all documents, each in one of the
+rounds, in which every partition trains from the same weights and Spark averages what they end with, weighted by tokens.
+As context, words outside the vocabulary share RARE_BUCKETS embeddings.
 
 Defined results: null text counts as empty; no tokens score 0 in total and null a token; repeated rows are scored
 each for itself; without any words in the corpus all totals are 0.
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 from tableops.llm.common import ddl, materialize, text_bytes
 
 WINDOW, VOCABULARY, RARE_BUCKETS, CLASSES, WIDTH, HIDDEN = 2, 16_384, 64, 64, 16, 32
-#: Share of documents trained on, rounds of averaging, step size, tokens of a minibatch.
-TRAIN_SHARE, ROUNDS, STEP, MINIBATCH = 0.02, 3, 0.05, 512
+#: Rounds of averaging, step size, tokens of a minibatch.
+ROUNDS, STEP, MINIBATCH = 4, 0.05, 512
+#: Share of documents that a round trains on, each round the next share: together all of them.
+ROUND_SHARE = 1 / ROUNDS
 EDGE = 0  # the id beside the first and last word of a text
 _CHUNK = 32_768
 
@@ -52,23 +55,24 @@ class Vocabulary:
     """Ids of words, their classes, and the log of their share in the class.
 
     The most frequent words have ids of their own; the rest share ids by hash. Classes are runs of frequency rank of
-    about equal mass, and one for each bucket of rare words.
+    about equal mass, and one for all rare words; the share of a rare word is that of a count of one.
     """
 
-    def __init__(self, words: list[tuple[bytes, int]], rare_tokens: int, rare_types: int):
+    def __init__(self, words: list[tuple[bytes, int]], rare_tokens: int):
         self.ids = {w: k + 1 for k, (w, _) in enumerate(words)}
-        self.n_ids = 1 + len(words) + RARE_BUCKETS
+        self.first_rare = 1 + len(words)
+        self.n_ids = self.first_rare + RARE_BUCKETS
         counts = np.array([n for _, n in words], dtype=float)
         total = max(counts.sum(), 1)
         band = np.minimum((np.cumsum(counts) - counts / 2) / total * (CLASSES - 1), CLASSES - 2).astype(int) if len(words) else np.zeros(0, int)
         mass = np.bincount(band, counts, CLASSES) if len(words) else np.zeros(CLASSES)
         self.classes = np.concatenate([[CLASSES - 1], band, np.full(RARE_BUCKETS, CLASSES - 1)]).astype(np.int32)
-        rare = -np.log(max(rare_types, 1))
+        rare = -np.log(max(rare_tokens, 1))
         self.share = np.concatenate([[0.0], np.log(counts / mass[band]) if len(words) else [], np.full(RARE_BUCKETS, rare)]).astype(np.float32)
         self.prior = np.log((mass + np.eye(CLASSES)[CLASSES - 1] * rare_tokens + 1) / (mass.sum() + rare_tokens + CLASSES)).astype(np.float32)
 
     def encode(self, words: list[bytes]) -> np.ndarray:
-        get, first, digest = self.ids.get, self.n_ids - RARE_BUCKETS, xxhash.xxh32_intdigest
+        get, first, digest = self.ids.get, self.first_rare, xxhash.xxh32_intdigest
         return np.array([get(w) or first + digest(w) % RARE_BUCKETS for w in words], dtype=np.int32)
 
 
@@ -104,7 +108,9 @@ class WindowNetwork:
         self.b2 -= lift * d.sum(axis=0)
         self.w1 -= lift * (x.T @ dh)
         self.b1 -= lift * dh.sum(axis=0)
-        np.add.at(self.embed, context.ravel(), -lift * dx)
+        # Single numbers are added several times faster than rows.
+        at = context.reshape(-1, 1).astype(np.int64) * WIDTH + np.arange(WIDTH)
+        np.add.at(self.embed.reshape(-1), at.ravel(), -lift * dx.ravel())
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n in self.NAMES]).astype(np.float32)
@@ -128,18 +134,25 @@ def _windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return context, flat[at], np.repeat(np.arange(len(texts)), lengths)
 
 
-def build_vocabulary(docs: DataFrame, text: str = "text") -> Vocabulary:
+def build_vocabulary(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, DataFrame]:
+    """The vocabulary, and the counts (word, n) of all words."""
     counts = materialize(count_words(docs, text), "word-counts")
     top = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
-    total = counts.agg(F.sum("n").alias("tokens"), F.count("*").alias("types")).first()
-    return Vocabulary(top, (total["tokens"] or 0) - sum(n for _, n in top), total["types"] - len(top))
+    tokens = counts.agg(F.sum("n")).first()[0] or 0
+    return Vocabulary(top, tokens - sum(n for _, n in top)), counts
 
 
-def train_network(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", share: float = TRAIN_SHARE, rounds: int = ROUNDS) -> WindowNetwork:
+def in_round(key: str, r: int, share: float):
+    """Whether a row is trained on in round r; consecutive rounds take consecutive shares of the ids' hashes."""
+    parts = 1_000_000
+    low, high = round(r * share * parts), round((r + 1) * share * parts)
+    return F.pmod(F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(parts)) - low, F.lit(parts)) < high - low
+
+
+def train_network(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", share: float = ROUND_SHARE, rounds: int = ROUNDS) -> WindowNetwork:
     """The network after `rounds` of local training and averaging; what reaches the driver is one set of weights a round."""
     spark = docs.sparkSession
     network = WindowNetwork(vocabulary)
-    picked = docs.where(F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000)).select(text)
     blocks = 64
 
     for r in range(rounds):
@@ -170,22 +183,23 @@ def train_network(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id",
             return pa.table({"block": table["block"][:1], "weights": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())})
 
         # Each block gathers one slice of weights from each task, never whole networks.
-        rows = picked.mapInArrow(learn, "block int, n double, weights binary").groupBy("block").applyInArrow(average, "block int, weights binary").collect()
+        rows = docs.where(in_round(key, r, share)).select(text).mapInArrow(learn, "block int, n double, weights binary").groupBy("block").applyInArrow(average, "block int, weights binary").collect()
         if rows:
             network.load(np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(rows, key=lambda r: r["block"])]))
     return network
 
 
-def score_with(docs: DataFrame, vocabulary: Vocabulary, network: WindowNetwork, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score_with(docs: DataFrame, vocabulary: Vocabulary, counts: DataFrame, network: WindowNetwork, key: str = "doc_id", text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, network))  # of fixed size: VOCABULARY words
-    kept = docs.select(key, text)
+    kept = docs.select(key, F.monotonically_increasing_id().alias("__row"), text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, net = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [words.encode(tokens_of(t)) for t in text_bytes(part.column(1))]
+                tokens = [tokens_of(t) for t in text_bytes(part.column(2))]
+                texts = [words.encode(t) for t in tokens]
                 context, token, owner = _windows(texts)
                 total = np.zeros(len(texts))
                 for k in range(0, len(token), _CHUNK):
@@ -193,13 +207,21 @@ def score_with(docs: DataFrame, vocabulary: Vocabulary, network: WindowNetwork,
                     t = token[k : k + _CHUNK]
                     total += np.bincount(owner[k : k + _CHUNK], z[np.arange(len(t)), words.classes[t]] + words.share[t], len(texts))
                 n = np.array([len(t) for t in texts], dtype=np.int64)
-                mean = np.divide(total, n, out=np.zeros(len(n)), where=n > 0)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(total), pa.array(mean, pa.float64(), mask=n == 0)], names=[key, "n_tokens", "log_prob", "log_prob_per_token"])
+                rare = [Counter(map(t.__getitem__, np.flatnonzero(ids >= words.first_rare).tolist())) for t, ids in zip(tokens, texts, strict=True)]
+                cuts = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
+                pairs = pa.StructArray.from_arrays([pa.array([w for r in rare for w in r], pa.binary()), pa.array([x for r in rare for x in r.values()], pa.int32())], names=["word", "times"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(total), pa.ListArray.from_arrays(cuts, pairs)], names=[key, "__row", "n_tokens", "log_prob", "rare"])
 
-    return kept.mapInArrow(run, ddl(kept.select(key), "n_tokens long", "log_prob double", "log_prob_per_token double"))
+    schema = ddl(kept.select(key, "__row"), "n_tokens long", "log_prob double", "rare array<struct<word:binary,times:int>>")
+    scored = materialize(kept.mapInArrow(run, schema), "network-scores")
+    # A rare word's share is n of the rare class's tokens; the network's pass counted 1 of them.
+    lifts = scored.select("__row", F.inline("rare")).join(counts.where("n > 1"), "word").groupBy("__row").agg(F.sum(F.col("times") * F.log("n")).alias("__lift"))
+    total = F.col("log_prob") + F.coalesce("__lift", F.lit(0.0))
+    whole = scored.drop("rare").join(lifts, "__row", "left").withColumn("log_prob", total)
+    return whole.select(key, "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("log_prob_per_token"))
 
 
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **training) -> DataFrame:
     """key, n_tokens, log_prob (sum over tokens) and log_prob_per_token of every row of docs."""
-    vocabulary = build_vocabulary(docs, text)
-    return score_with(docs, vocabulary, train_network(docs, vocabulary, key, text, **training), key, text)
+    vocabulary, counts = build_vocabulary(docs, text)
+    return score_with(docs, vocabulary, counts, train_network(docs, vocabulary, key, text, **training), key, text)

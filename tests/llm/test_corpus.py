@@ -213,6 +213,20 @@ def test_lm_edges(spark, edge):
     assert lm_score.score_documents(edge.limit(0)).count() == 0
 
 
+def test_lm_rare_words_have_their_own_share(spark, monkeypatch):
+    """Outside the vocabulary a word met five times is five times as likely as one met once."""
+    monkeypatch.setattr(lm_score, "VOCABULARY", 2)
+    rows = [(k, "common other " * 9) for k in range(3)] + [(10 + k, "five") for k in range(5)] + [(20, "one")]
+    got = {r.doc_id: r for r in lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert abs(got[10].log_prob - got[20].log_prob - np.log(5)) < 1e-5 and got[10].log_prob_per_token == got[10].log_prob
+
+
+def test_lm_trains_on_every_document(edge, docs):
+    for df in (edge, docs):
+        rounds = sum(lm_score.in_round("doc_id", r, lm_score.ROUND_SHARE).cast("int") for r in range(lm_score.ROUNDS))
+        assert {r[0] for r in df.select(rounds).collect()} == {1}
+
+
 def _brute_spans(text):
     out = []
     for kind, pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
