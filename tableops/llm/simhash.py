@@ -248,6 +248,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 SHINGLE_WORDS, FINGERPRINT_WORDS, MIN_HASHES, RADII, SIMILARITY = 5, 4, 7, (16, 32, 46, 60), 0.8
 #: Links that a text may offer a shard in each round after the first; the last takes all.
 OFFERS = (16, 256, 4096, None)
+#: Sets of at most so many shingles are also linked exactly: few shingles make fingerprints that differ in many bits.
+SMALL_SET = 40
 #: Odd multipliers that make further hashes of a shingle from its first.
 _MULTIPLIERS = np.array([2 * int.from_bytes(xxhash.xxh64_digest(bytes([k]), 1)) % (1 << 64) | 1 for k in range(16)], dtype=np.uint64)
 
@@ -260,7 +262,10 @@ def _remixed(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
-    """key, row hash, node, fingerprint (FINGERPRINT_WORDS longs, as bytes) and min-hashes of every row with words."""
+    """key, row hash, node, fingerprint (FINGERPRINT_WORDS longs, as bytes) and min-hashes of every row with words.
+
+    small is the shingle set where it has at most SMALL_SET shingles, else null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,12 +278,18 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
             mins = [np.minimum.reduceat(_remixed(flat, 4 + k), starts) if len(full) else np.zeros(0, np.uint64) for k in range(MIN_HASHES)]
             rows = batch.take(pa.array(full))
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), rows.column(1), pa.array([r.tobytes() for r in fps], pa.binary()), pa.array(list(signed(np.stack(mins, axis=1))) if len(full) else [], pa.list_(pa.int64()))],
-                names=[key, ROW_HASH, "fp", "mins"],
+                [
+                    rows.column(0),
+                    rows.column(1),
+                    pa.array([r.tobytes() for r in fps], pa.binary()),
+                    pa.array(list(signed(np.stack(mins, axis=1))) if len(full) else [], pa.list_(pa.int64())),
+                    pa.array([signed(found[k]) if sizes[k] <= SMALL_SET else None for k in full], pa.list_(pa.int64())),
+                ],
+                names=[key, ROW_HASH, "fp", "mins", "small"],
             )
 
     kept = with_row_hash(docs.select(key, text), text).select(key, ROW_HASH, text)
-    return kept.mapInArrow(run, ddl(kept.select(key, ROW_HASH), "fp binary", "mins array<long>")).withColumn("node", F.xxhash64(key, ROW_HASH))
+    return kept.mapInArrow(run, ddl(kept.select(key, ROW_HASH), "fp binary", "mins array<long>", "small array<long>")).withColumn("node", F.xxhash64(key, ROW_HASH))
 
 
 def _dealt(rows: DataFrame, *more: str) -> DataFrame:
@@ -362,6 +373,66 @@ def cross_links(dealt: DataFrame, offers: int | None) -> DataFrame:
     return dealt.repartition("shard").mapInArrow(search, "shard long, a long, b long, more boolean")
 
 
+def linked_sets(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets with a Jaccard similarity of at least `similarity`, breadth first.
+
+    Each set looks only for those that no other has reached, so a cluster of near copies costs about one look each.
+    """
+    sizes = np.array([len(s) for s in sets])
+    flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    kinds, number = np.unique(flat, return_inverse=True)
+    holders = np.split(of[np.argsort(number, kind="stable")], np.cumsum(np.bincount(number, minlength=len(kinds)))[:-1])
+    held = np.split(number, np.cumsum(sizes)[:-1])
+    open_, links = np.ones(len(sets), dtype=bool), []
+    for root in range(len(sets)):
+        todo = [root] if open_[root] else []
+        open_[root] = False
+        while todo and open_.any():
+            x = todo.pop()
+            common = np.bincount(np.concatenate([holders[k] for k in held[x]]), minlength=len(sets))
+            near = np.flatnonzero(open_ & (common >= similarity * (sizes + sizes[x] - common))).tolist()
+            open_[near] = False
+            links += [(x, y) for y in near]
+            todo += near
+    return links
+
+
+def small_links(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Verified links (a, b) between all similar rows of small sets: exact, by a prefix filter on the rarest shingles.
+
+    Equal sets are one node first. Of a set of n, any similar one shares a shingle of the n - ceil(similarity n) + 1 rarest.
+    """
+    small = rows.where("small is not null").select("node", "small").dropDuplicates(["node"])
+    equal = small.groupBy("small").agg(F.min("node").alias("first"), F.count("*").alias("n"))
+    same = attach(small, equal.where("n > 1").select("small", "first"), ["small"], ["node"], how="inner").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    nodes = equal.select(F.col("first").alias("node"), F.explode("small").alias("shingle"))
+    often = nodes.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    ranked = attach(nodes, often, ["shingle"], ["node"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "shingle"))).alias("ranked"))
+    least = F.ceil(F.size("ranked") * similarity - 1e-9)
+    prefix = F.filter(F.slice("ranked", 1, (F.size("ranked") - least + 1).cast("int")), lambda x: x["n"] > 1)
+    dealt = ranked.select("node", F.transform("ranked", lambda x: x["shingle"]).alias("small"), F.explode(F.transform(prefix, lambda x: x["shingle"])).alias("shard"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = list(batches)
+        if not whole:
+            return
+        table = pa.Table.from_batches(whole).combine_chunks()
+        shard, node = table["shard"].to_numpy(), table["node"].to_numpy()
+        order = np.lexsort((node, shard))
+        sets, a, b = table["small"].combine_chunks(), [], []
+        at, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
+        cuts = np.flatnonzero(np.diff(shard[order])) + 1
+        for low, high in zip([0, *cuts], [*cuts, len(order)], strict=True):
+            if high - low > 1:
+                who = order[low:high]
+                for x, y in linked_sets([flat[at[k] : at[k + 1]] for k in who], similarity):
+                    a.append(node[who[x]])
+                    b.append(node[who[y]])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return dealt.repartition("shard").mapInArrow(search, "a long, b long").unionByName(same)
+
+
 def shingle_sets(docs: DataFrame, links: DataFrame, key: str, text: str, words: int = SHINGLE_WORDS) -> DataFrame:
     """node and the set of word shingles of every linked node; only linked texts are read out."""
     nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
@@ -393,7 +464,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     links = materialize(sketch_links(rows), "sketch-links")
     tried = links.select("a", "b").distinct()
     sets = materialize(shingle_sets(docs, tried, key, text), "shingle-sets")
-    good = materialize(verified_links(tried, sets), "verified")
+    good = materialize(verified_links(tried, sets).unionByName(small_links(rows)), "verified")
     comps = connected_components(good)
     of = lambda end: comps.withColumnsRenamed({"node": end, "comp": f"comp_{end}"})
     apart = F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")

@@ -377,6 +377,23 @@ def test_near_duplicates_of_a_hub_are_all_found(spark, monkeypatch, offers):
     assert {r.component_id for r in simhash.similar_groups(df).collect()} == {0} and simhash.similar_groups(df).count() == len(texts)
 
 
+def test_near_duplicates_of_short_texts_are_all_found(spark):
+    """Eight words, and the same with a ninth: similarity 0.8 exactly, but fingerprints often more than 60 bits apart."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 1 << 30, 8)) for _ in range(400)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(1000 + k, f"{t} end{k}") for k, t in enumerate(texts)] + [(2000 + k, f"  {t}") for k, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k % 1000 for k, _ in rows}
+
+
+def test_linked_sets_are_brute_force():
+    rng = np.random.default_rng(8)
+    sets = [np.array(sorted(rng.choice(14, rng.integers(1, 12), replace=False))) for _ in range(300)]
+    near = [(a, b) for a, b in itertools.combinations(range(300), 2) if 10 * len({*sets[a]} & {*sets[b]}) >= 8 * len({*sets[a]} | {*sets[b]})]
+    links = simhash.linked_sets(sets)
+    assert _components(range(300), links) == _components(range(300), near) and len(links) == 300 - len(set(_components(range(300), near).values()))
+
+
 def test_quality_base_is_brute_force(spark, docs, edge):
     for df in (docs, edge):
         want = collections.Counter()
