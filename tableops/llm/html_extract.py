@@ -2,9 +2,10 @@
 
 The page's markup is stripped to lines, one a block. Text lengths are summed over sliding windows of lines;
 where the sum leaves zero is a surge point, where it falls back is a dive point, and the lines between are a
-text block. Lines of menus, adverts, forms and the like (by element, by class or id, or by their share of
-link text) count zero, so that they part the blocks. A page with an article or main element keeps all blocks
-in it; any other keeps the blocks whose summit comes near the highest.
+text block. Lines of menus, adverts, forms and the like (by element, by class or id, or outside an article by their
+share of link text) count zero, so that they part the blocks. A page with an article or main element keeps all blocks
+in it; any other keeps the blocks whose summit comes near the highest, or holds a sentence or two. An article inside
+a layout wrapper whose class names boilerplate is text all the same; the rest of the wrapper is not.
 
 Defined results: null or empty html, and pages without text, give an empty text; markup that is never closed
 ends with the page; repeated rows are extracted each for itself.
@@ -25,6 +26,8 @@ from tableops.llm.common import texts_of
 WINDOW = 3
 #: Part of the highest window sum that a block must reach on a page without an article element.
 SUMMIT_SHARE = 0.2
+#: Window sum that is always enough, however long the page's longest passage is.
+ENOUGH = 80
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"'<]|"[^"<]*"|'[^'<]*'|["'])*)>""", re.S)
 _RAW = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes")}
@@ -34,6 +37,8 @@ _DROPPED = frozenset("nav footer aside form button select svg object canvas audi
 _CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 _BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidenav aside footer masthead topbar toolbar header comment comments disqus reply replies respond cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations widget widgets pagination pager contentinfo complementary copyright disclaimer".split())
+#: Of these, words of elements whose articles are not the page's own.
+_FOREIGN = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion comment comments disqus reply replies respond related recommended recommendations".split())
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _MAIN_ROLE = re.compile(r"""\brole\s*=\s*["']?(?:main|article)\b|\bitemprop\s*=\s*["']?articleBody\b""", re.I)
 
@@ -47,7 +52,17 @@ def _is_boilerplate(name: str, attributes: str, in_main: int) -> bool:
         return False
     if _HIDDEN.search(attributes):
         return True
-    return any(w.lower() in _BOILERPLATE for found in _CLASS.findall(attributes) for value in found for w in _WORD.findall(value))
+    return _names(attributes, _BOILERPLATE)
+
+
+def _names(attributes: str, words: frozenset[str]) -> bool:
+    """Whether the class, id or role holds one of the words."""
+    return any(w.lower() in words for found in _CLASS.findall(attributes) for value in found for w in _WORD.findall(value))
+
+
+def _is_layout(name: str, attributes: str) -> bool:
+    """Whether a boilerplate element may yet hold the page's article."""
+    return name not in _DROPPED and name != "header" and not _HIDDEN.search(attributes) and not _names(attributes, _FOREIGN)
 
 
 def _closes_first(name: str, page: str, at: int) -> bool:
@@ -62,13 +77,15 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
     parts: list[str] = []
     linked = at = links = in_main = 0
     skip, depth = "", 0  # the boilerplate element that is open, and how deep its name is nested
+    layout, seen_main = False, False  # whether the open boilerplate element may hold the article; whether one was found
+    around: tuple[str, int] | None = None  # the boilerplate element around the open article
     mains: list[str] = []
 
     def end_line() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            lines.append((text, 0 if skip or 2 * linked > len(text) else len(text), in_main > 0))
+            lines.append((text, 0 if skip or (not in_main and 2 * linked > len(text)) else len(text), in_main > 0))
         parts.clear()
         linked = 0
 
@@ -102,6 +119,8 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             links = 0 if closing else 1
         if name in _VOID:
             continue
+        if skip and layout and not closing and not around and not in_main and (name == "main" or name == "article" and not seen_main) and not _HIDDEN.search(found[3]) and not _names(found[3], _FOREIGN):
+            around, skip, depth, links = (skip, depth), "", 0, 0
         if skip:
             if name == skip:
                 depth += -1 if closing else 1
@@ -111,19 +130,23 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             elif closing and mains and name == mains[-1]:
                 skip = ""  # the article ends, so the unclosed element in it does
         elif not closing and name not in ("p", "li", "b", "i", "a", "span", "em", "strong") and _is_boilerplate(name, found[3], in_main):
-            skip, depth = name, 1
+            skip, depth, layout = name, 1, _is_layout(name, found[3])
             lines.extend([("", 0, False)] * WINDOW)
         elif not closing and name in ("p", "li", "span", "a") and found[3] and _is_boilerplate(name, found[3], in_main) and _closes_first(name, page, at):
             end_line()
-            skip, depth = name, 1
+            skip, depth, layout = name, 1, _is_layout(name, found[3])
             lines.extend([("", 0, False)] * WINDOW)
         if not skip and (name in ("article", "main") or (not closing and _MAIN_ROLE.search(found[3] or ""))):
             if not closing:
                 mains.append(name)
                 in_main += 1
+                seen_main = True
             elif mains and name in mains:
                 mains.remove(name)
                 in_main -= 1
+                if around and not in_main:
+                    (skip, depth), around, layout = around, None, True
+                    lines.extend([("", 0, False)] * WINDOW)
         if skip and name == skip and not closing:
             links = 0
     end_line()
@@ -152,7 +175,7 @@ def extract_text(page: str) -> str:
     if any(n and m for _, n, m in lines):
         kept = [i for s, e, _ in blocks for i in range(s, e) if lines[i][1] and lines[i][2]]
     else:
-        least = SUMMIT_SHARE * max((summit for _, _, summit in blocks), default=0)
+        least = min(ENOUGH, SUMMIT_SHARE * max((summit for _, _, summit in blocks), default=0))
         kept = [i for s, e, summit in blocks if summit >= least for i in range(s, e) if lines[i][1]]
     return " ".join(lines[i][0] for i in kept)
 

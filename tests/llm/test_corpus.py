@@ -146,6 +146,22 @@ def test_html_without_article_keeps_the_dense_block():
     assert html_extract.extract_text(page) == " ".join(["long sentence of the text " * 10] * 4).replace("  ", " ").strip()
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (("<p>" + "w " * 750 + "</p>") * 3 + "<div class=ad>buy</div><p>" + "z " * 100 + "</p>", "w " * 2250 + ("z " * 100).strip()),
+        ("<div class='page with-sidebar'><p>menu</p><article><div>one<div>two</div></div></article><div>side</div></div><p>after</p>", "one two"),
+        ("<div class=sidebar><div>x</div><main><p>a</p><div class=ad>no<div>no</div></div><p>b</p></main>y</div>", "a b"),
+        ("<article><h2><a href=x>A linked heading</a></h2><p>text</p><ul><li><a href=y>Reference</a></li></ul></article>", "A linked heading text Reference"),
+        ("<p>the post</p><div class=comments><article>great</article></div>", "the post"),
+        ("<article>own</article><div class=sidebar><article>other</article></div>", "own"),
+        ("<p>the post</p><nav><article>card</article></nav><div class=sidebar style='display:none'><main>gone</main></div>", "the post"),
+    ],
+)
+def test_html_drops_no_text(page, text):
+    assert html_extract.extract_text(page) == text
+
+
 def test_mixing_meets_targets(spark, docs, edge):
     got = mixing.mix_documents(docs).collect()
     sizes = {r.doc_id: len((r.text or "").encode().split()) for r in docs.collect()}
