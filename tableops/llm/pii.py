@@ -4,7 +4,7 @@ Base patterns (email, ip, card, phone) give seed entities. The words around a se
 word before, the two words before, the words before and after, each with the shape of what stands between.
 Occurrences of identifier-like tokens and their patterns form a graph of patterns and instances. Round by round Spark
 scores patterns by the known instances among theirs, accepts those of high confidence, and through them adds
-instances, which count as known in the next round. Spans of instances so found are added to the base spans.
+instances, which count as known in the next round, until a round adds none. Spans of instances so found are added to the base spans.
 
 Defined results: null text counts as empty; no words give no spans; spans are in code points, the end exclusive;
 repeated rows are searched each for itself, and count in pattern statistics once for each distinct instance.
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from tableops.llm.common import materialize, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, LEAST_KNOWN, LEAST_CONFIDENCE = 2, 3, 0.6
+#: Rounds after which bootstrapping counts as failed; known instances and confidence that a pattern needs.
+ROUNDS, LEAST_KNOWN, LEAST_CONFIDENCE = 200, 3, 0.6
 
 # The tails that follow a kind's anchor; anchors are found first, so that long runs are read once.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -166,7 +167,12 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, least_known: int = LEAST_K
         best = accepted.groupBy("pattern").agg(F.max_by("kind", F.struct(F.col("confidence") * F.log2("f"), "kind")).alias("kind"), F.max(F.col("confidence") * F.log2("f")).alias("score"))
         fresh = links.join(best, "pattern").join(known.select("instance"), "instance", "left_anti")
         votes = fresh.groupBy("instance", "kind").agg(F.sum("score").alias("score")).groupBy("instance").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
+        votes = materialize(votes, "votes")
+        if votes.isEmpty():
+            break
         known = materialize(known.unionByName(votes), "known")
+    else:
+        raise RuntimeError("bootstrapping did not settle")
     return known.join(edges.where("kind is not null").select("instance").distinct(), "instance", "left_anti")
 
 

@@ -278,6 +278,16 @@ def test_pii_shared_contexts(spark):
     assert got[30] == [(7, 17, "ip")]
 
 
+def test_pii_bootstraps_to_the_end(spark):
+    """Each context is accepted through what the one before adds; the last is reached in the third round."""
+    contexts = {"server": [*range(1, 13), *range(301, 307)], "host": [*range(301, 307), *range(401, 405)], "node": [*range(401, 405), 501, 502], "other": [601]}
+    rows = [(k, f"{word} 10.0.0.{x} down") for k, (word, x) in enumerate((w, x) for w, xs in contexts.items() for x in xs)]
+    got = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.doc_id for r in got if not r.spans] == [rows[-1][0]]
+    with pytest.raises(RuntimeError):
+        pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"), rounds=2)
+
+
 def test_toxicity_learns_held_out_documents(spark, edge):
     rng = np.random.default_rng(5)
     words = [f"w{x}" for x in range(300)]
