@@ -11,14 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tableops.workdir import delete_folder
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir, or on a local master a new local one where that is unset (tests)."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return spark.sparkContext.getCheckpointDir()
 
 
@@ -26,7 +29,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a materialized df that nothing reads any more."""
+    delete_folder(df.sparkSession, df._folder)
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
@@ -68,9 +78,18 @@ def with_row_hash(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn(ROW_HASH, F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
 
 
-def matching(docs: DataFrame, chosen: DataFrame, key: str, text: str, how: str) -> DataFrame:
-    """Rows of docs joined, by id and row hash, with chosen: semi, anti or inner. Wide rows are hashed, never sorted."""
-    left = with_row_hash(docs, text)
-    right = chosen.withColumnsRenamed({key: "__key", ROW_HASH: "__hash"}).hint("shuffle_hash")
-    joined = left.join(right, F.col(key).eqNullSafe(F.col("__key")) & (F.col(ROW_HASH) == F.col("__hash")), how)
-    return joined.drop("__key", "__hash") if how == "inner" else joined.select(*docs.columns)
+#: Ids and row hashes of at most so many rows (some 100 bytes each) are sent to all tasks instead of shuffling texts to them.
+BROADCAST_ROWS = 200_000
+
+
+def matching(docs: DataFrame, chosen: DataFrame, key: str, text: str, how: str, *more: str) -> DataFrame:
+    """Rows of docs joined, by id and row hash, with chosen (read twice): semi, anti, or inner with columns `more` of chosen first.
+
+    docs may have columns of any name: they travel as one. Of more than BROADCAST_ROWS, wide rows are hashed, never sorted.
+    """
+    row_hash = F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+    left = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(f"`{key}`").alias("left_id"), row_hash.alias("left_hash"))
+    few = chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    right = chosen.select(F.col(key).alias("right_id"), F.col(ROW_HASH).alias("right_hash"), *more).hint("broadcast" if few else "shuffle_hash")
+    joined = left.join(right, F.col("left_id").eqNullSafe(F.col("right_id")) & (F.col("left_hash") == F.col("right_hash")), how)
+    return joined.select(*more, "doc") if how == "inner" else joined.select("doc.*")

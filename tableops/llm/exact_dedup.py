@@ -69,10 +69,11 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group of equal texts, all columns kept."""
     groups = materialize(exact_groups(docs, key, text), "exact-groups")
-    out = matching(docs, groups.where(~F.col("kept")).select(key, ROW_HASH).distinct(), key, text, "left_anti")
+    lost = materialize(groups.where(~F.col("kept")).select(key, ROW_HASH).distinct(), "exact-copies")
+    out = matching(docs, lost, key, text, "left_anti")
     repeated = materialize(groups.where("kept and group_size > 1").groupBy(key, ROW_HASH).count().where("count > 1").drop("count"), "repeated")
     if not repeated.isEmpty():
         # Rows that are repeated whole, id and all: one of them stays.
-        once = with_row_hash(matching(out, repeated, key, text, "left_semi"), text).dropDuplicates([key, ROW_HASH]).drop(ROW_HASH)
+        once = matching(out, repeated, key, text, "inner", ROW_HASH).select("doc", F.col("doc")[key].alias("id"), ROW_HASH).dropDuplicates(["id", ROW_HASH]).select("doc.*")
         out = matching(out, repeated, key, text, "left_anti").unionByName(once)
     return out

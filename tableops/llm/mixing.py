@@ -157,9 +157,11 @@ def take_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
 
     Of rows repeated whole, one stands for the copies that they got together.
     """
-    plan = mix_documents(docs, key, text, source, **parameters).groupBy(key, ROW_HASH).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
+    plan = mix_documents(docs, key, text, source, **parameters).groupBy(key, ROW_HASH).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
     plan = materialize(plan, "mix")
-    taken = matching(docs, plan.where("__copies > 0"), key, text, "inner")
-    if not plan.where("__rows > 1").isEmpty():
-        taken = taken.where("__rows = 1").unionByName(taken.where("__rows > 1").dropDuplicates([key, ROW_HASH]))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    taken = matching(docs, plan.where("copies > 0 and rows = 1"), key, text, "inner", "copies")
+    repeated = plan.where("copies > 0 and rows > 1")
+    if not repeated.isEmpty():
+        once = matching(docs, repeated, key, text, "inner", "copies", ROW_HASH).withColumn("id", F.col("doc")[key]).dropDuplicates(["id", ROW_HASH])
+        taken = taken.unionByName(once.drop("id", ROW_HASH))
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
