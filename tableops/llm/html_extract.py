@@ -29,16 +29,23 @@ SUMMIT_SHARE = 0.2
 #: Window sum that is always enough, however long the page's longest passage is.
 ENOUGH = 80
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"'<]|"[^"<]*"|'[^'<]*'|["'])*)>""", re.S)
+_MARKUP = re.compile(r"<(?:!--|[!?]|(/?)([A-Za-z][^\s/>]*+))")
+#: Attributes, read once from left to right: quotes count after an equals sign only; one that is never closed is a character like others.
+_ATTRIBUTES = re.compile(r"""(?>\s++|[/=]|[^\s/>=]++(?>\s*+=\s*+(?>"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+)*+""")
 _RAW = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes")}
 _BLOCKS = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _DROPPED = frozenset("nav footer aside form button select svg object canvas audio video menu dialog fieldset head search datalist".split())
 _CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-_WORD = re.compile(r"[A-Za-z]+")
-_BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidenav aside footer masthead topbar toolbar header comment comments disqus reply replies respond cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations widget widgets pagination pager contentinfo complementary copyright disclaimer".split())
-#: Of these, words of elements whose articles are not the page's own.
+#: Class, id and role names of boilerplate elements; and words that a longer name of one begins or ends with ("nav-links", "site-footer").
+_BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsors sponsored promo promos promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidenav aside footer masthead topbar toolbar header comment comments disqus reply replies respond cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations widget widgets pagination pager contentinfo complementary copyright disclaimer".split())
+_FIRST = frozenset("ad ads advert advertisement adsense sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar footer comment comments disqus cookie cookies gdpr newsletter pagination widget related".split())
+_LAST = frozenset("ad ads advert adverts advertisement sponsor sponsored promo banner nav navbar navigation menu menus breadcrumb breadcrumbs sidebar footer topbar toolbar comments replies cookie cookies consent notice notices popup modal newsletter subscribe signup login widget widgets pagination pager copyright disclaimer".split())
+#: Of whole names, those that mean the same inside an article: its own header, notices or sections are text.
+_INSERTED = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsors sponsored promo promos promotion nav navbar navigation menu menus breadcrumb breadcrumbs sidebar comment comments disqus reply replies respond cookie cookies newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets pagination pager".split())
+#: Words of elements whose articles are not the page's own.
 _FOREIGN = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion comment comments disqus reply replies respond related recommended recommendations".split())
+_PARTS = re.compile(r"[-_:]+")
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _MAIN_ROLE = re.compile(r"""\brole\s*=\s*["']?(?:main|article)\b|\bitemprop\s*=\s*["']?articleBody\b""", re.I)
 
@@ -52,17 +59,24 @@ def _is_boilerplate(name: str, attributes: str, in_main: int) -> bool:
         return False
     if _HIDDEN.search(attributes):
         return True
-    return _names(attributes, _BOILERPLATE)
+    names = _names(attributes)
+    if in_main:
+        return any(n in _INSERTED for n in names)
+    return any(n in _BOILERPLATE or (p := _PARTS.split(n))[0] in _FIRST or p[-1] in _LAST for n in names)
 
 
-def _names(attributes: str, words: frozenset[str]) -> bool:
-    """Whether the class, id or role holds one of the words."""
-    return any(w.lower() in words for found in _CLASS.findall(attributes) for value in found for w in _WORD.findall(value))
+def _names(attributes: str) -> list[str]:
+    """Names in the class, id and role."""
+    return [w.lower() for found in _CLASS.findall(attributes) for value in found for w in value.split()]
+
+
+def _is_foreign(attributes: str) -> bool:
+    return any(not _FOREIGN.isdisjoint((n, *_PARTS.split(n))) for n in _names(attributes))
 
 
 def _is_layout(name: str, attributes: str) -> bool:
     """Whether a boilerplate element may yet hold the page's article."""
-    return name not in _DROPPED and name != "header" and not _HIDDEN.search(attributes) and not _names(attributes, _FOREIGN)
+    return name not in _DROPPED and name != "header" and not _HIDDEN.search(attributes) and not _is_foreign(attributes)
 
 
 def _closes_first(name: str, page: str, at: int) -> bool:
@@ -98,16 +112,21 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
 
     n = len(page)
     while at < n:
-        found = _TAG.search(page, at)
+        found = _MARKUP.search(page, at)
         if found is None:
-            # What is left may hold a tag that the page's end cuts off.
-            cut = re.search(r"<[A-Za-z/!?][^>]*\Z", page[at:])
-            add(page[at : at + cut.start()] if cut else page[at:])
+            add(page[at:])
             break
         add(page[at : found.start()])
-        at = found.end()
         if not found[2]:
+            # A comment or declaration, to its end or the page's.
+            close = "-->" if found[0] == "<!--" else ">"
+            end = page.find(close, found.end())
+            at = end + len(close) if end >= 0 else n
             continue
+        told = _ATTRIBUTES.match(page, found.end())
+        attributes, at = told[0], told.end() + 1
+        if at > n:
+            break  # the page's end cuts the tag off
         closing, name = bool(found[1]), found[2].lower()
         if name in _RAW and not closing:
             end = _RAW[name].search(page, at)
@@ -119,7 +138,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             links = 0 if closing else 1
         if name in _VOID:
             continue
-        if skip and layout and not closing and not around and not in_main and (name == "main" or name == "article" and not seen_main) and not _HIDDEN.search(found[3]) and not _names(found[3], _FOREIGN):
+        if skip and layout and not closing and not around and not in_main and (name == "main" or name == "article" and not seen_main) and not _HIDDEN.search(attributes) and not _is_foreign(attributes):
             around, skip, depth, links = (skip, depth), "", 0, 0
         if skip:
             if name == skip:
@@ -129,14 +148,14 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
                     lines.extend([("", 0, False)] * WINDOW)  # parts the blocks on both sides
             elif closing and mains and name == mains[-1]:
                 skip = ""  # the article ends, so the unclosed element in it does
-        elif not closing and name not in ("p", "li", "b", "i", "a", "span", "em", "strong") and _is_boilerplate(name, found[3], in_main):
-            skip, depth, layout = name, 1, _is_layout(name, found[3])
+        elif not closing and name not in ("p", "li", "b", "i", "a", "span", "em", "strong") and _is_boilerplate(name, attributes, in_main):
+            skip, depth, layout = name, 1, _is_layout(name, attributes)
             lines.extend([("", 0, False)] * WINDOW)
-        elif not closing and name in ("p", "li", "span", "a") and found[3] and _is_boilerplate(name, found[3], in_main) and _closes_first(name, page, at):
+        elif not closing and name in ("p", "li", "span", "a") and attributes and _is_boilerplate(name, attributes, in_main) and _closes_first(name, page, at):
             end_line()
-            skip, depth, layout = name, 1, _is_layout(name, found[3])
+            skip, depth, layout = name, 1, _is_layout(name, attributes)
             lines.extend([("", 0, False)] * WINDOW)
-        if not skip and (name in ("article", "main") or (not closing and _MAIN_ROLE.search(found[3] or ""))):
+        if not skip and (name in ("article", "main") or (not closing and _MAIN_ROLE.search(attributes))):
             if not closing:
                 mains.append(name)
                 in_main += 1
