@@ -1,10 +1,11 @@
 """Personal data by bootstrapped contextual extraction.
 
 Base patterns (email, ip, card, phone) give seed entities. The words around a seed make lexical patterns: the
-word before, the two words before, the words before and after, each with the shape of what stands between.
-Occurrences of identifier-like tokens and their patterns form a graph of patterns and instances. Round by round Spark
-scores patterns by the known instances among theirs, accepts those of high confidence, and through them adds
-instances, which count as known in the next round, until a round adds none. Spans of instances so found are added to the base spans.
+word before, the two words before, the words before and after, each with the class of what stands between (with an at
+sign, mostly digits, or mixed). Occurrences of identifier-like tokens and their patterns form a graph of patterns and
+instances. Round by round Spark scores patterns by the known instances among theirs, accepts those of high confidence, and
+through them adds instances that at least LEAST_PATTERNS of them agree on; these count as known in the next round,
+until a round adds none. Spans of instances so found are added to the base spans.
 
 Defined results: null text counts as empty; no words give no spans; spans are in code points, the end exclusive;
 repeated rows are searched each for itself, and count in pattern statistics once for each distinct instance.
@@ -24,17 +25,18 @@ from pyspark.sql import functions as F
 from tableops.llm.common import materialize, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rounds after which bootstrapping counts as failed; known instances and confidence that a pattern needs.
-ROUNDS, LEAST_KNOWN, LEAST_CONFIDENCE = 200, 3, 0.6
+#: Rounds after which bootstrapping counts as failed; known instances and confidence that a pattern needs; patterns that an instance needs.
+ROUNDS, LEAST_KNOWN, LEAST_CONFIDENCE, LEAST_PATTERNS = 200, 3, 0.6, 2
+#: Characters on each side of an occurrence in which its context words are looked for.
+CONTEXT = 256
 
 # The tails that follow a kind's anchor; anchors are found first, so that long runs are read once.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
-_IDENTIFIER = re.compile(r"[^\s]*[0-9@][^\s]*")
+_IDENTIFIER = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
 _EDGES = "\"'`.,;:!?()[]{}<>|*#$%&"
 _DIGITS = re.compile("[^0-9]")
 
@@ -61,15 +63,12 @@ def _emails(text: str) -> Iterator[Span]:
         end = _DOMAIN.match(text, at)
         if end:
             # The run before the at sign, read backwards in growing steps.
-            step = 64
-            while True:
-                low = max(done, at - step)
-                run = _LOCAL.search(text[low:at])
-                if run is None or run.start() or low == done:
-                    break
-                step *= 4
-            if run:
-                yield Span(low + run.start(), end.end(), "email")
+            step, low, left = 64, at, at
+            while low > done and left == low:
+                low, step = max(done, at - step), step * 4
+                left = low + len(text[low:at].rstrip(_LOCAL))
+            if left < at:
+                yield Span(left, end.end(), "email")
                 done = end.end()
         at = text.find("@", max(done, at + 1))
 
@@ -91,24 +90,16 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s.start, KINDS.index(s.kind)))
 
 
-def shape_of(token: str) -> str:
-    """Runs of digits as 9, of letters as a, everything else as it is."""
-    return re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", "9", token))
+def class_of(token: str) -> str:
+    """What kind of token may stand in a pattern: one with an at sign, of mostly digits, or mixed."""
+    return "@" if "@" in token else "9" if 2 * sum(c.isdigit() for c in token) >= len(token) else "a"
 
 
 def _context(text: str, start: int, end: int) -> tuple[list[str], str]:
     """The two words before and the one after, lower-cased and without their edges."""
-    low = start
-    words: list[str] = []
-    while low > 0 and len(words) < 2:
-        cut = text.rfind(" ", 0, low)
-        cut = max(cut, text.rfind("\n", max(0, cut), low))
-        word = text[cut + 1 : low].strip().strip(_EDGES).lower()
-        if word:
-            words.append(word)
-        low = max(cut, 0)
-    after = re.compile(r"\s*(\S*)").match(text, end)
-    return words, after[1].strip(_EDGES).lower() if after else ""
+    before = [w for w in (x.strip(_EDGES).lower() for x in text[max(0, start - CONTEXT) : start].split()[:-4:-1]) if w]
+    after = text[end : end + CONTEXT].split(None, 1)[:1]
+    return before[:2], after[0].strip(_EDGES).lower() if after else ""
 
 
 def occurrences(text: str) -> list[tuple[int, int, str | None, int, list[int]]]:
@@ -129,9 +120,9 @@ def occurrences(text: str) -> list[tuple[int, int, str | None, int, list[int]]]:
     for start, end, kind in found:
         token = text[start:end]
         before, after = _context(text, start, end)
-        shape = shape_of(token)
+        kind_of = class_of(token)
         keys = [("b", *before[:1]), ("bb", *before), ("ba", *before[:1], after)] if before else []
-        out.append((start, end, kind, _hash(token.lower()), [_hash("\x1f".join((*k, shape))) for k in keys]))
+        out.append((start, end, kind, _hash(token.lower()), [_hash("\x1f".join((*k, kind_of))) for k in keys]))
     return out
 
 
@@ -152,7 +143,7 @@ def find_occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     return kept.mapInArrow(run, f"`{key}` {dict(kept.dtypes)[key]}, found array<struct<s:int,e:int,kind:string,instance:long,patterns:array<long>>>")
 
 
-def bootstrap(found: DataFrame, rounds: int = ROUNDS, least_known: int = LEAST_KNOWN, least_confidence: float = LEAST_CONFIDENCE) -> DataFrame:
+def bootstrap(found: DataFrame, rounds: int = ROUNDS, least_known: int = LEAST_KNOWN, least_confidence: float = LEAST_CONFIDENCE, least_patterns: int = LEAST_PATTERNS) -> DataFrame:
     """instance and kind of every instance that accepted patterns add to the base ones."""
     flat = found.select(F.explode("found").alias("o")).select("o.instance", "o.kind", "o.patterns")
     edges = materialize(flat.select("instance", "kind", F.explode("patterns").alias("pattern")).distinct(), "pattern-edges")
@@ -166,7 +157,7 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, least_known: int = LEAST_K
         accepted = scores.withColumn("confidence", F.col("f") / F.col("n")).where((F.col("f") >= least_known) & (F.col("confidence") >= least_confidence))
         best = accepted.groupBy("pattern").agg(F.max_by("kind", F.struct(F.col("confidence") * F.log2("f"), "kind")).alias("kind"), F.max(F.col("confidence") * F.log2("f")).alias("score"))
         fresh = links.join(best, "pattern").join(known.select("instance"), "instance", "left_anti")
-        votes = fresh.groupBy("instance", "kind").agg(F.sum("score").alias("score")).groupBy("instance").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
+        votes = fresh.groupBy("instance", "kind").agg(F.sum("score").alias("score"), F.count("*").alias("n")).where(F.col("n") >= least_patterns).groupBy("instance").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
         votes = materialize(votes, "votes")
         if votes.isEmpty():
             break
