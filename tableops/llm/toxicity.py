@@ -28,15 +28,23 @@ from pyspark.sql import functions as F
 
 from tableops.llm.common import ddl, materialize, texts_of
 
-#: Labelled documents the model is fitted on (the least by hash of their ids), features kept, training windows.
-SAMPLE_DOCS, MAX_FEATURES, MAX_WINDOWS = 20_000, 4_000, 20_000
+#: Labelled documents the model is fitted on (the least by hash of their ids), and features kept.
+SAMPLE_DOCS, MAX_FEATURES = 20_000, 4_000
 #: A feature must stand in so many toxic documents, and be so many times likelier there than in clean ones.
 LEAST_DOCS, LEAST_LIFT = 4, 12.0
 RADIUS, EPOCHS, L2 = 3, 150, 1e-3
 _TOKEN = re.compile(r"[^\W_]+")
+#: Steps between informative tokens whose matrix powers are kept; longer ones are made of squares.
 _POWERS = 512
 
 
+def words_of(text: str) -> list[str]:
+    """The tokens of a text, lower-cased: as many, and in the same order, as in the text as it is."""
+    low = text.lower()
+    # A letter whose lower case is longer would move the borders of tokens.
+    return _TOKEN.findall(low) if len(low) == len(text) else [w.lower() for w in _TOKEN.findall(text)]
+
+
 def features_of(word: str) -> list[str]:
     """The word and its beginnings of 3 to 6 letters."""
     return [f"={word}", *(f"^{word[:k]}" for k in range(3, 7) if len(word) >= k)]
@@ -54,7 +62,7 @@ def _document_features(sample: DataFrame) -> DataFrame:
         for batch in batches:
             count: dict[int, Counter] = {0: Counter(), 1: Counter()}
             for text, label in zip(texts_of(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                words = set(_TOKEN.findall(text.lower()))
+                words = set(words_of(text))
                 count[int(label > 0)].update({f for w in words for f in features_of(w)})
             both = [(f, n, 0) for f, n in count[1].items()] + [(f, 0, n) for f, n in count[0].items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in both], t) for k, t in ((0, pa.string()), (1, pa.int64()), (2, pa.int64()))], names=["feature", "toxic", "clean"])
@@ -73,29 +81,33 @@ def pick_features(sample: DataFrame) -> list[str]:
     return [r["feature"] for r in found.orderBy(F.desc(lift), "feature").limit(MAX_FEATURES).collect()]
 
 
-def _windows(sample: DataFrame, known: dict[str, int], fraction: float) -> tuple[list[list[list[int]]], list[list[int]]]:
-    """Token windows as lists of feature numbers, and their tags: around marked tokens, and everywhere else by fraction."""
+def _windows(sample: DataFrame, known: dict[str, int], fraction: float) -> tuple[list[list[list[int]]], list[list[int]], np.ndarray]:
+    """Token windows as lists of feature numbers, their tags, and how often each occurs: around all marked tokens, and everywhere else by fraction.
+
+    Equal windows are counted in Spark, so that their number follows the features more than the texts' lengths.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             xs, ys = [], []
             for text, label in zip(texts_of(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                words = _TOKEN.findall(text.lower())
+                words = words_of(text)
                 found = [[known[f] for f in features_of(w) if f in known] for w in words]
                 hits = [k for k, x in enumerate(found) if x]
                 every = max(1, int((2 * RADIUS + 1) / fraction))
-                for k in sorted({*hits[:24], *range(RADIUS, len(words), every)}):
+                for k in sorted({*hits, *range(RADIUS, len(words), every)}):
                     a, b = max(0, k - RADIUS), min(len(words), k + RADIUS + 1)
                     xs.append(json.dumps(found[a:b]))
                     ys.append(json.dumps([int(label > 0 and bool(x)) for x in found[a:b]]))
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.string()), pa.array(ys, pa.string())], names=["x", "y"])
 
-    rows = sample.mapInArrow(run, "x string, y string").orderBy(F.xxhash64("x", "y")).limit(MAX_WINDOWS).collect()
-    return [json.loads(r["x"]) for r in rows], [json.loads(r["y"]) for r in rows]
+    rows = sample.mapInArrow(run, "x string, y string").groupBy("x", "y").agg(F.count("*").alias("n")).orderBy("x", "y").collect()
+    return [json.loads(r["x"]) for r in rows], [json.loads(r["y"]) for r in rows], np.array([r["n"] for r in rows], dtype=float)
 
 
-def train_chain(xs: list[list[list[int]]], ys: list[list[int]], n_features: int) -> dict:
-    """Weights of the chain by gradient ascent (Adam) on the log-likelihood of tags, all windows at once."""
+def train_chain(xs: list[list[list[int]]], ys: list[list[int]], n_features: int, times: np.ndarray | None = None) -> dict:
+    """Weights of the chain by gradient ascent (Adam) on the log-likelihood of tags, all windows at once, each as often as `times` says."""
+    times = np.ones(len(xs)) if times is None else times
     n, t = len(xs), max(map(len, xs))
     length = np.array([len(x) for x in xs])
     tags = np.zeros((n, t), dtype=int)
@@ -112,7 +124,7 @@ def train_chain(xs: list[list[list[int]]], ys: list[list[int]], n_features: int)
     pair_seen = np.zeros((2, 2))
     for a in (0, 1):
         for b in (0, 1):
-            pair_seen[a, b] = ((tags[:, :-1] == a) & (tags[:, 1:] == b) & live[:, 1:]).sum()
+            pair_seen[a, b] = times @ ((tags[:, :-1] == a) & (tags[:, 1:] == b) & live[:, 1:]).sum(axis=1)
     for step in range(1, EPOCHS + 1):
         emit = np.bincount(where, w[which], n * t).reshape(n, t) + w[n_features]
         e = np.stack([np.ones_like(emit), np.exp(np.clip(emit, -30, 30))], axis=2)
@@ -130,13 +142,13 @@ def train_chain(xs: list[list[list[int]]], ys: list[list[int]], n_features: int)
             ahead = e[:, k + 1] * beta[:, k + 1]
             joint = alpha[:, k, :, None] * move * ahead[:, None, :]
             joint *= (live[:, k + 1] / joint.sum(axis=(1, 2)))[:, None, None]
-            pair += joint.sum(axis=0)
+            pair += np.tensordot(times, joint, 1)
             back = ahead @ move.T
             beta[:, k] = np.where(live[:, k + 1, None], back / back.sum(axis=1, keepdims=True), 1.0)
         gamma = alpha * beta
         gamma = (gamma[:, :, 1] / gamma.sum(axis=2)) * live
-        off = (tags * live - gamma).ravel()
-        g = np.concatenate([np.bincount(which, off[where], n_features), [off.sum()], (pair_seen - pair).ravel()]) / n - L2 * w
+        off = ((tags * live - gamma) * times[:, None]).ravel()
+        g = np.concatenate([np.bincount(which, off[where], n_features), [off.sum()], (pair_seen - pair).ravel()]) / times.sum() - L2 * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w = w + 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return {"emit": w[:n_features], "bias": float(w[n_features]), "move": np.exp(w[-4:].reshape(2, 2))}
@@ -156,14 +168,27 @@ class ToxicityModel:
                 self.powers.append(power)
                 power = power @ step
                 power = power / power.sum()
-            self.step = step
+            self.squares = [step / step.sum()]
+            for _ in range(40):
+                power = self.squares[-1] @ self.squares[-1]
+                self.squares.append(power / power.sum())
+
+    def run(self, n: int) -> np.ndarray:
+        """The n-th power of a step over a token without features, up to a factor."""
+        if n < _POWERS:
+            return self.powers[n]
+        power = np.eye(2)
+        for k in range(n.bit_length()):
+            if n >> k & 1:
+                power = power @ self.squares[k]
+        return power / power.sum()
 
     def gain(self, word: str) -> float:
         """What a word's features add to the emission of toxic; 0 for a word without any."""
         found = self.cache.get(word)
         if found is None:
             found = float(sum(self.chain["emit"][self.known[f]] for f in features_of(word) if f in self.known))
-            if len(self.cache) < 300_000:
+            if len(self.cache) < 100_000:
                 self.cache[word] = found
         return found
 
@@ -174,7 +199,7 @@ class ToxicityModel:
         if not told:
             return []
         bias = np.exp(self.chain["bias"])
-        run = lambda n: self.powers[min(n, _POWERS - 1)]  # noqa: E731  a long power has settled
+        run = self.run
         move, emits = self.chain["move"], [np.array([1.0, bias * np.exp(np.clip(g, -30, 30))]) for _, g in told]
         alphas, at = [], -1
         alpha = None
@@ -199,7 +224,7 @@ class ToxicityModel:
         """Expected number of toxic tokens among the informative ones, and their marginals."""
         if not self.chain:
             return 0.0, []
-        found = self.marginals(_TOKEN.findall(text.lower()))
+        found = self.marginals(words_of(text))
         return sum(p for _, p in found), found
 
     def score(self, weight: float) -> float:
@@ -232,8 +257,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     if not features:
         return ToxicityModel([], None)
     known = {f: k for k, f in enumerate(features)}
-    xs, ys = _windows(sample, known, 0.02)
-    model = ToxicityModel(features, train_chain(xs, ys, len(features)))
+    xs, ys, times = _windows(sample, known, 0.02)
+    model = ToxicityModel(features, train_chain(xs, ys, len(features), times))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,11 +270,14 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns keep, score and spans of every row: spans are (s, e) code points of the tokens tagged toxic."""
+    """Columns keep, score and spans of every row: spans are (s, e) code points of the tokens tagged toxic.
+
+    A column to keep that is itself called score or spans gives way to the operator's.
+    """
+    keep = tuple(c for c in keep if c.lower() not in ("score", "spans"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES weights
-    columns = [F.col(c) for c in keep]
-    kept = docs.select(*columns, F.col(text).alias("__text"))
-    schema = ddl(kept.select(*keep), "score double", "spans array<struct<s:int,e:int>>")
+    kept = docs.select(*keep, F.col(text).alias("text of the row"))
+    schema = ddl(docs.select(*keep), "score double", "spans array<struct<s:int,e:int>>")
     span = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +288,6 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", ke
                 weight, found = tagger.weight(text)
                 scores.append(tagger.score(weight))
                 toxic = {k for k, p in found if p >= 0.5}
-                # Offsets are of the text as it is; where lower-casing moves token borders, tokens still pair in order.
                 spans.append([{"s": m.start(), "e": m.end()} for k, m in enumerate(_TOKEN.finditer(text)) if k in toxic] if toxic else [])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array(spans, span)], names=[*keep, "score", "spans"])
 
