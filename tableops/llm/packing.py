@@ -5,8 +5,9 @@ the first may be shorter. What is packed are lengths: the histogram (one count f
 size) goes to the driver. A configuration is a multiset of lengths that fits a sequence. The linear program
 over configurations is solved by multiplicative weights: every length has a price, a knapsack dynamic program
 finds the configurations of best price, their use is raised, and prices of covered lengths fall. The solution is
-rounded down; what is left is priced again, and the last pieces are placed best-fit decreasing. Pieces then take
-the slots of their length by rank, in parallel.
+rounded down, what is left is priced again in the next pass, and the last pieces are placed best-fit decreasing. This is
+tried with all lengths in the program, and with the shortest left to fill gaps, after each number of passes; the plan of
+fewest sequences stays. Pieces then take the slots of their length by rank, in parallel.
 
 Defined results: null text counts as empty, and an empty document is one piece with the end id alone; equal
 pieces (repeated rows too) are packed each for itself; no documents give no pieces.
@@ -31,8 +32,10 @@ from pyspark.sql import functions as F
 from tableops.llm.common import materialize, texts_of
 
 CAPACITY, END_ID = 2048, 0
-#: Rounds of pricing; and the least length that the program places: smaller pieces are left to fill gaps.
-ROUNDS, LEAST = 60, 256
+#: Rounds of pricing, passes of pricing and rounding, and the least lengths that the program places, one try each: shorter pieces fill gaps.
+ROUNDS, PASSES, LEAST = 60, 3, (256, 1, 64)
+#: Rows of one length that are ranked together.
+RANKED_ROWS = 50_000
 
 
 #: How a byte-level BPE of this kind parts a text before merging: a fixed value of its format.
@@ -136,32 +139,42 @@ def solve_configurations(counts: np.ndarray, rounds: int = ROUNDS, eps: float =
     return {c: u / max(lowest, 1e-9) for c, u in use.items()}
 
 
-def plan_sequences(counts: np.ndarray, rounds: int = ROUNDS, passes: int = 1) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, number of sequences with just these lengths), using every counted piece once. counts[0] is 0."""
+def plan_sequences(counts: np.ndarray, rounds: int = ROUNDS, passes: int = PASSES) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths, number of sequences with just these lengths), using every counted piece once. counts[0] is 0.
+
+    Never more sequences than best-fit decreasing makes, which is among the tries; the search ends at the lower bound.
+    """
     capacity = len(counts) - 1
-    left = counts.astype(np.int64).copy()
-    plan: Counter = Counter()
-    if left[capacity]:
-        plan[(capacity,)] += int(left[capacity])
-        left[capacity] = 0
-    for _ in range(passes):
-        large = np.where(np.arange(capacity + 1) < LEAST, 0, left)
-        if not large.any():
-            break
-        solution = solve_configurations(large, rounds)
-        # Rounded down, and only what is full: the rest keeps its small pieces for the gaps of its large ones.
-        for parts, used in sorted(solution.items(), key=lambda x: (-x[1], x[0])):
-            if sum(parts) < capacity:
-                continue
-            need = Counter(parts)
-            times = min(int(used), *(int(left[x]) // a for x, a in need.items()))
-            if times:
-                plan[parts] += times
-                for x, a in need.items():
-                    left[x] -= a * times
-    for parts, times in _best_fit(left).items():
-        plan[parts] += times
-    return sorted(plan.items(), reverse=True)
+    bound = -(-int((counts * np.arange(capacity + 1)).sum()) // capacity)
+    best = _best_fit(counts)
+    for least in LEAST:
+        left, plan = counts.astype(np.int64).copy(), Counter()
+        if left[capacity]:
+            plan[(capacity,)] += int(left[capacity])
+            left[capacity] = 0
+        for _ in range(passes):
+            large = np.where(np.arange(capacity + 1) < least, 0, left)
+            if sum(best.values()) <= bound or not large.any():
+                break
+            solution = solve_configurations(large, rounds)
+            placed = 0
+            # Rounded down, and only what is full: the rest keeps its small pieces for the gaps of its large ones.
+            for parts, used in sorted(solution.items(), key=lambda x: (-x[1], x[0])):
+                if sum(parts) < capacity:
+                    continue
+                need = Counter(parts)
+                times = min(int(used), *(int(left[x]) // a for x, a in need.items()))
+                if times:
+                    plan[parts] += times
+                    placed += times
+                    for x, a in need.items():
+                        left[x] -= a * times
+            whole = plan + _best_fit(left)
+            if sum(whole.values()) < sum(best.values()):
+                best = whole
+            if not placed:
+                break
+    return sorted(best.items(), reverse=True)
 
 
 def _best_fit(counts: np.ndarray) -> Counter:
@@ -208,22 +221,24 @@ def _slots(plan: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "first", "base", "offset"]).sort_values(["length", "first"])
 
 
-def place_pieces(pieces: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, rank_blocks: int = 64) -> DataFrame:
+def place_pieces(pieces: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, ranked_rows: int = RANKED_ROWS) -> DataFrame:
     """pieces with sequence_id and offset. The histogram of lengths is all that reaches the driver."""
     counts = np.zeros(capacity + 1, dtype=np.int64)
-    dealt = pieces.withColumn("__block", F.pmod(F.xxhash64(key, "piece"), F.lit(rank_blocks)).cast("int"))
-    by_block = materialize(dealt.groupBy("length", "__block").count(), "lengths")
-    for row in by_block.groupBy("length").agg(F.sum("count").alias("n")).collect():
+    for row in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():
         counts[row["length"]] = row["n"]
     runs = _slots(plan_sequences(counts))
-    # Ranks within a length: inside blocks of it, after the blocks before. No length meets in one task.
-    before = by_block.withColumn("__before", F.sum("count").over(Window.partitionBy("length").orderBy("__block")) - F.col("count")).drop("count")
+    # Ranks within a length: inside blocks of it, after the blocks before. A frequent length has as many blocks as its rows need.
+    blocks = pieces.sparkSession.createDataFrame([(k, int(n // ranked_rows) + 1) for k, n in enumerate(counts.tolist()) if n], "length long, __blocks long")
+    dealt = pieces.join(F.broadcast(blocks), "length").withColumn("__block", F.pmod(F.xxhash64(key, "piece"), F.col("__blocks"))).drop("__blocks")  # a row for each length
+    by_block = materialize(dealt.groupBy("length", "__block").agg(F.count("*").alias("n")), "lengths")
+    before = by_block.withColumn("__before", F.sum("n").over(Window.partitionBy("length").orderBy("__block")) - F.col("n")).drop("n")
     rank = F.row_number().over(Window.partitionBy("length", "__block").orderBy(key, "piece")) - 1
-    ranked = dealt.withColumn("__rank", rank).join(F.broadcast(before), ["length", "__block"])  # at most capacity x rank_blocks rows
+    ranked = dealt.withColumn("__rank", rank).join(before, ["length", "__block"])
     ranked = ranked.withColumn("__rank", F.col("__rank") + F.col("__before")).select(*pieces.columns, "__rank")
     lengths, firsts, bases, offsets = (runs[c].to_numpy(np.int64) for c in ("length", "first", "base", "offset"))
     width = int(counts.max()) + 1 if len(runs) else 1
     starts = lengths * width + firsts
+    # The runs follow the number of lengths and of configurations of the program, not that of the pieces.
     found = pieces.sparkSession.sparkContext.broadcast((starts, firsts, bases, offsets))
     names = pieces.columns
 
