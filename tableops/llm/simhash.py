@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableops.llm.common import ROW_HASH, attach, ddl, matching, materialize, signed, text_bytes, with_row_hash
+from tableops.llm.common import ROW_HASH, attach, ddl, discard, matching, materialize, signed, small_batches, text_bytes, with_row_hash
 
 SEED = 42
 #: Members of a shard aimed at, fingerprints compared directly, and rows the splitting thresholds are taken from.
@@ -82,8 +82,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits of fingerprints of one or more words (last axis)."""
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
+    """Differing bits of fingerprints."""
+    return np.bitwise_count(a ^ b).astype(np.int16)
 
 
 def _split(sample: np.ndarray, rng: np.random.Generator, radius: int = 2) -> tuple[np.ndarray, int] | None:
@@ -133,40 +133,32 @@ def route(tree, fps: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray,
     yield from down(tree, np.arange(len(fps)), np.zeros(0, dtype=np.int64))
 
 
-def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray, links: list | None = None) -> None:
-    """Joins the classes of the pairs (a, b); parent is flat before and after. links gets the pairs that joined two."""
+def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the classes of the pairs (a, b); parent is flat before and after."""
     while len(a):
         pa_, pb = parent[a], parent[b]
         apart = pa_ != pb
         a, b, pa_, pb = a[apart], b[apart], pa_[apart], pb[apart]
         if not len(a):
             return
-        high, low = np.maximum(pa_, pb), np.minimum(pa_, pb)
-        # Each class is hung below one other at a time, by the first pair that offers the least.
-        order = np.lexsort((low, high))
-        once = order[np.concatenate([[True], high[order][1:] != high[order][:-1]])]
-        parent[high[once]] = low[once]
-        if links is not None:
-            links.append((a[once], b[once]))
+        # Each class is hung below the least that it meets.
+        np.minimum.at(parent, np.maximum(pa_, pb), np.minimum(pa_, pb))
         while not np.array_equal(up := parent[parent], parent):
             parent[:] = up
 
 
-def link_shard(fps: np.ndarray, members: np.ndarray, guests: np.ndarray, radius: int, seed: int = 7, links: list | None = None, parent: np.ndarray | None = None) -> np.ndarray:
-    """parent[i] for fps: the classes of all links between members, and of members and guests; links gets a forest of them."""
-    parent, rng = np.arange(len(fps)) if parent is None else parent, np.random.default_rng(seed)
+def link_shard(fps: np.ndarray, members: np.ndarray, guests: np.ndarray, radius: int, seed: int = 7) -> np.ndarray:
+    """parent[i] for fps: the classes of all links between members, and of members and guests."""
+    parent, rng = np.arange(len(fps)), np.random.default_rng(seed)
 
     def direct(m: np.ndarray, g: np.ndarray) -> None:
         both = np.concatenate([m, g])
         for i in range(0, len(m), 256):
             for j in range(i, len(both), 8192):
-                near = np.zeros((len(m[i : i + 256]), len(both[j : j + 8192])), dtype=np.int16)
-                for k in range(fps.shape[1]):
-                    near += np.bitwise_count(fps[m[i : i + 256], k][:, None] ^ fps[both[j : j + 8192], k][None, :])
-                x, y = np.nonzero(near <= radius)
+                x, y = np.nonzero(np.bitwise_count(fps[m[i : i + 256], None] ^ fps[both[None, j : j + 8192]]) <= radius)
                 x, y = m[i + x], both[j + y]
                 apart = x != y
-                _union(parent, x[apart], y[apart], links)
+                _union(parent, x[apart], y[apart])
 
     todo = [(members, guests)]
     while todo:
@@ -187,12 +179,12 @@ def fingerprint_links(distinct: DataFrame, radius: int) -> DataFrame:
     n = distinct.count()
     share = min(1.0, INDEX_SAMPLE / max(n, 1))
     picked = distinct.where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))).select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    tree = build_tree(np.sort(picked)[:, None], max(0, int(np.ceil(np.log2(max(1, n / SHARD_MEMBERS))))))
+    tree = build_tree(np.sort(picked), max(0, int(np.ceil(np.log2(max(1, n / SHARD_MEMBERS))))))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for shard, members, guests in route(tree, fps[:, None], radius):
+            for shard, members, guests in route(tree, fps, radius):
                 who = np.concatenate([members, guests])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), shard, np.int32)), pa.array(signed(fps[who])), pa.array(np.arange(len(who)) < len(members))], names=["shard", "fp", "member"])
 
@@ -201,7 +193,7 @@ def fingerprint_links(distinct: DataFrame, radius: int) -> DataFrame:
         member = table.column("member").to_numpy()
         order = np.lexsort((fps, ~member))
         fps, n_members = fps[order], int(member.sum())
-        parent = link_shard(fps[:, None], np.arange(n_members), np.arange(n_members, len(fps)), radius)
+        parent = link_shard(fps, np.arange(n_members), np.arange(n_members, len(fps)), radius)
         low = np.flatnonzero(parent != np.arange(len(fps)))
         return pa.table({"a": signed(fps[parent[low]]), "b": signed(fps[low])})
 
@@ -222,7 +214,8 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = materialize(small, "links")
+        before, edges = edges, materialize(small, "links")
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
@@ -244,14 +237,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return attach(rows, groups, ["fp"], [key, ROW_HASH]).select(key, ROW_HASH, "fp", F.coalesce("component_id", key).alias("component_id"))
 
 
-#: Near duplicates by similarity: words of a shingle, words of a fingerprint, min-hashes, and search radii in bits.
-SHINGLE_WORDS, FINGERPRINT_WORDS, MIN_HASHES, RADII, SIMILARITY = 5, 4, 7, (16, 32, 46, 60), 0.8
-#: Links that a text may offer a shard in each round after the first; the last takes all.
-OFFERS = (16, 256, 4096, None)
-#: Sets of at most so many shingles are also linked exactly: few shingles make fingerprints that differ in many bits.
+#: Near duplicates by similarity: words of a shingle, words of a fingerprint, min-hashes, search radius in bits.
+SHINGLE_WORDS, FINGERPRINT_WORDS, MIN_HASHES, RADIUS, SIMILARITY = 5, 4, 8, 64, 0.8
+#: Rows, and hashes in their shingle sets, that are compared in one task; larger shards are dealt as pairs of blocks.
+SHARD_ROWS, SHARD_HASHES = 2048, 4 << 20
+#: Sets of at most so many shingles are compared whatever their fingerprints: few shingles make those differ in many bits.
 SMALL_SET = 40
 #: Odd multipliers that make further hashes of a shingle from its first.
 _MULTIPLIERS = np.array([2 * int.from_bytes(xxhash.xxh64_digest(bytes([k]), 1)) % (1 << 64) | 1 for k in range(16)], dtype=np.uint64)
+_FP = [f"f{k}" for k in range(FINGERPRINT_WORDS)]
 
 
 def _remixed(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -261,116 +255,179 @@ def _remixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _shingle_set(text: bytes, words: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, words), dtype=np.uint64))
+
+
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
-    """key, row hash, node, fingerprint (FINGERPRINT_WORDS longs, as bytes) and min-hashes of every row with words.
+    """key, row hash, node, size, fingerprint (f0, f1, ...), min-hashes of every row with words.
 
-    small is the shingle set where it has at most SMALL_SET shingles, else null.
+    A node is a shingle set, named by its hash: rows of equal sets are one node. small is the set where it has at
+    most SMALL_SET shingles, else null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(np.array(shingle_hashes(t, words), dtype=np.uint64)) for t in text_bytes(batch.column(2))]
+            found = [_shingle_set(t, words) for t in text_bytes(batch.column(2))]
             sizes = np.array([len(h) for h in found], dtype=np.int64)
             full = np.flatnonzero(sizes)
             flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
             starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]]).astype(np.int64) if len(full) else np.zeros(0, np.int64)
-            fps = np.stack([majority_bits(_remixed(flat, k), sizes[full]) for k in range(FINGERPRINT_WORDS)], axis=1) if len(full) else np.zeros((0, FINGERPRINT_WORDS), np.uint64)
             mins = [np.minimum.reduceat(_remixed(flat, 4 + k), starts) if len(full) else np.zeros(0, np.uint64) for k in range(MIN_HASHES)]
             rows = batch.take(pa.array(full))
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column(0),
                     rows.column(1),
-                    pa.array([r.tobytes() for r in fps], pa.binary()),
+                    pa.array([xxhash.xxh64_intdigest(found[k].tobytes()) - (1 << 63) for k in full], pa.int64()),
+                    pa.array(sizes[full]),
+                    *(pa.array(signed(majority_bits(_remixed(flat, k), sizes[full]))) for k in range(FINGERPRINT_WORDS)),
                     pa.array(list(signed(np.stack(mins, axis=1))) if len(full) else [], pa.list_(pa.int64())),
                     pa.array([signed(found[k]) if sizes[k] <= SMALL_SET else None for k in full], pa.list_(pa.int64())),
                 ],
-                names=[key, ROW_HASH, "fp", "mins", "small"],
+                names=[key, ROW_HASH, "node", "size", *_FP, "mins", "small"],
             )
 
     kept = with_row_hash(docs.select(key, text), text).select(key, ROW_HASH, text)
-    return kept.mapInArrow(run, ddl(kept.select(key, ROW_HASH), "fp binary", "mins array<long>", "small array<long>")).withColumn("node", F.xxhash64(key, ROW_HASH))
+    return kept.mapInArrow(run, ddl(kept.select(key, ROW_HASH), "node long", "size long", *(f"{f} long" for f in _FP), "mins array<long>", "small array<long>"))
+
+
+def _rarest(nodes: DataFrame, similarity: float) -> DataFrame:
+    """node and shard, for each of the rarest shingles of a small set of which any similar set shares one.
+
+    Of n shingles these are the n - ceil(similarity n) + 1 that the fewest small sets have, without those of this set alone.
+    """
+    each = nodes.where("small is not null").select("node", F.explode("small").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    ranked = attach(each, often, ["shingle"], ["node"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "shingle"))).alias("ranked"))
+    least = F.ceil(F.size("ranked") * similarity - 1e-9)
+    prefix = F.filter(F.slice("ranked", 1, (F.size("ranked") - least + 1).cast("int")), lambda x: x["n"] > 1)
+    return ranked.select("node", F.explode(F.transform(prefix, lambda x: F.xxhash64(F.lit(-1), x["shingle"]))).alias("shard"))
 
 
-def _dealt(rows: DataFrame, *more: str) -> DataFrame:
-    """node, fp and more of every row, once for each shard that it is in.
+def deal_nodes(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """node, size and shard, once for each shard that a node is in.
 
-    Two texts of similarity s share a given min-hash with probability s; a shard is made by a pair of them, so that a
-    passage in very many texts does not make one shard of all.
+    Two sets of similarity s share a given min-hash with probability s; a shard is made by a pair of min-hashes, so that a
+    passage in very many texts does not make one shard of all. Small sets are in the shards of their rarest shingles too.
     """
     pairs = [(i, j) for i in range(MIN_HASHES) for j in range(i)]
     shards = F.array(*(F.xxhash64(F.lit(i), F.lit(j), F.col("mins")[i], F.col("mins")[j]) for i, j in pairs))
-    return rows.select("node", "fp", *more, F.explode(shards).alias("shard"))
+    by_sketch = nodes.select("node", "size", F.explode(shards).alias("shard"))
+    return by_sketch.unionByName(_rarest(nodes, similarity).join(nodes.select("node", "size"), "node"))
 
 
-def _shards(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
-    """For each shard of a task with two rows or more: shard number, fingerprints, and the columns, by node. Rows are narrow."""
-    parts = [(b["shard"].to_numpy(), np.frombuffer(b"".join(b["fp"].to_pylist()), np.uint64).reshape(-1, FINGERPRINT_WORDS), *(b[c].to_numpy() for c in columns)) for b in batches]
-    if not parts:
-        return
-    shard, fps, *rest = (np.concatenate([p[k] for p in parts]) for k in range(2 + len(columns)))
-    order = np.lexsort((rest[0], shard))
-    cuts = np.flatnonzero(np.diff(shard[order])) + 1
-    for a, b in zip([0, *cuts], [*cuts, len(order)], strict=True):
-        if b - a > 1:
-            who = order[a:b]
-            yield shard[who[0]], fps[who], *(r[who] for r in rest)
+def _near(a: str, b: str):
+    """Whether the fingerprints of two sides (columns with these endings) are near, or both sets are small."""
+    bits = sum((F.bit_count(F.col(f + a).bitwiseXOR(F.col(f + b))) for f in _FP), F.lit(0))
+    return (bits <= RADIUS) | ((F.col("size" + a) <= SMALL_SET) & (F.col("size" + b) <= SMALL_SET))
 
 
-def sketch_links(rows: DataFrame) -> DataFrame:
-    """Links (shard, a, b) between nodes with near fingerprints that share a shard: a spanning forest of each, grown by radius."""
+def vantage_links(dealt: DataFrame, shards: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) of nodes to the vantage points of their shards where those are near: at most one a node and shard."""
+    sides = lambda end: nodes.select(F.col("node").alias("node" + end), F.col("size").alias("size" + end), *(F.col(f).alias(f + end) for f in _FP))
+    pairs = dealt.select("node", "shard").join(shards.select("shard", "vantage"), "shard").where("node <> vantage").select("node", "vantage").distinct()
+    both = pairs.join(sides("_a").withColumnRenamed("node_a", "node"), "node").join(sides("_b").withColumnRenamed("node_b", "vantage"), "vantage")
+    return both.where(_near("_a", "_b")).select(F.col("node").alias("a"), F.col("vantage").alias("b"))
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards, found_a, found_b = [], [], []
-        for shard, fps, node in _shards(batches, ["node"]):
-            links: list = []
-            if len(fps) == 2:
-                if distance(fps[0], fps[1]) <= RADII[-1]:
-                    links.append((np.array([0]), np.array([1])))
-            else:
-                parent, everyone = np.arange(len(fps)), np.arange(len(fps))
-                for radius in RADII:
-                    parent = link_shard(fps, everyone, everyone[:0], radius, links=links, parent=parent)
-            for x, y in links:
-                shards.append(np.full(len(x), shard))
-                found_a.append(node[x])
-                found_b.append(node[y])
-        if shards:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (shards, found_a, found_b)], names=["shard", "a", "b"])
-
-    found = _dealt(rows).repartition("shard").mapInArrow(search, "shard long, a long, b long")
-    return found.select("shard", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-
-
-def cross_links(dealt: DataFrame, offers: int | None) -> DataFrame:
-    """Links (shard, a, b, more) between near nodes of different components: of each node the nearest `offers` in a shard.
-
-    more tells that the node has further ones. Nodes of a shard's largest component need not look: every link that
-    crosses has an end outside it.
+
+def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by some columns, as tables of whole groups with the groups' first rows; one group is held at most."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        keys = np.stack([table[c].to_numpy() for c in by], axis=1)
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        last = int(cuts[-1]) if len(cuts) else 0
+        if last:
+            yield table.slice(0, last).combine_chunks(), np.concatenate([[0], cuts])
+        rest = table.slice(last)
+    if rest is not None and rest.num_rows:
+        yield rest.combine_chunks(), np.array([0, rest.num_rows])
+
+
+_BLOCK_KEY = ["shard", "own", "other"]
+
+
+def contested_blocks(dealt: DataFrame, shards: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows of the shards of three nodes or more in which two components meet, as blocks to be searched.
+
+    A shard within SHARD_ROWS and SHARD_HASHES is one block. Of a larger one the rows outside its main component are
+    dealt to parts, and so are those of the main component; each part of the former meets each part of either.
     """
+    rows = dealt.join(shards.where("n > 2").select("shard"), "shard").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    by_comp = rows.groupBy("shard", "comp").agg(F.count("*").alias("rows"), F.sum("size").alias("hashes"))
+    whole = by_comp.groupBy("shard").agg(F.count("*").alias("comps"), F.max_by("comp", "rows").alias("main"), F.sum("rows").alias("all_rows"), F.sum("hashes").alias("all_hashes"), F.max("rows").alias("main_rows"), F.max_by("hashes", "rows").alias("main_hashes")).where("comps > 1")
+    parts = lambda n, h: F.ceil(F.greatest(n / F.lit(SHARD_ROWS), h / F.lit(SHARD_HASHES), F.lit(1e-9))).cast("int")
+    large = (F.col("all_rows") > SHARD_ROWS) | (F.col("all_hashes") > SHARD_HASHES)
+    # Blocks of main parts are numbered from 1 on, those of parts outside from -1 down; block (0, 0) is a whole shard.
+    plan = whole.select("shard", "main", large.alias("large"), parts(F.col("main_rows"), F.col("main_hashes")).alias("mains"), parts(F.col("all_rows") - F.col("main_rows"), F.col("all_hashes") - F.col("main_hashes")).alias("outs"))
+    met = rows.join(plan, "shard")
+    spread = F.xxhash64("node", "shard")
+    out = -1 - F.pmod(spread, F.col("outs")).cast("int")
+    block = lambda own, other: F.struct(own.alias("own"), other.alias("other"))
+    outside = F.concat(
+        F.transform(F.sequence(F.lit(1), F.col("mains")), lambda m: block(m, out)),
+        F.transform(F.sequence(-F.col("outs"), F.lit(-1)), lambda o: block(F.greatest(o, out), F.least(o, out))),
+    )
+    inside = F.transform(F.sequence(-F.col("outs"), F.lit(-1)), lambda o: block(1 + F.pmod(spread, F.col("mains")).cast("int"), o))
+    blocks = F.when(~F.col("large"), F.array(block(F.lit(0), F.lit(0)))).when(F.col("comp") == F.col("main"), inside).otherwise(outside)
+    return met.select("shard", "node", "size", "comp", F.inline(blocks)).join(nodes.select("node", *_FP), "node")
+
+
+def _ordered(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY)
+
+
+def cross_links(blocks: DataFrame) -> DataFrame:
+    """Near pairs (a, b) of different components in each block; of a block with more than two a row, its nodes (b null)."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, fps, node, comp in _shards(batches, ["node", "comp"]):
-            kinds, of, sizes = np.unique(comp, return_inverse=True, return_counts=True)
-            outside = np.flatnonzero(of != sizes.argmax()) if len(kinds) > 1 else []
-            for at in range(0, len(outside), 64):
-                rows, a, b, more = outside[at : at + 64], [], [], []
-                far = np.zeros((len(rows), len(fps)), dtype=np.int16)
-                for k in range(FINGERPRINT_WORDS):
-                    far += np.bitwise_count(fps[rows, k][:, None] ^ fps[:, k][None, :])
-                far[of[rows][:, None] == of[None, :]] = np.iinfo(np.int16).max
-                for r, d in zip(rows, far, strict=True):
-                    near = np.flatnonzero(d <= RADII[-1])
-                    cut = offers is not None and len(near) > offers
-                    if cut:
-                        near = near[np.argsort(d[near], kind="stable")[:offers]]
-                    a.append(np.full(len(near), node[r]))
-                    b.append(node[near])
-                    more.append(np.full(len(near), cut))
-                a, b, more = (np.concatenate(x) for x in (a, b, more))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), shard)), pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(more)], names=["shard", "a", "b", "more"])
-
-    return dealt.repartition("shard").mapInArrow(search, "shard long, a long, b long, more boolean")
+        for table, cuts in _groups(batches, _BLOCK_KEY):
+            comp, node, small = (table["comp"].to_numpy(), table["node"].to_numpy(), table["size"].to_numpy() <= SMALL_SET)
+            fps = np.stack([table[f].to_numpy().view(np.uint64) for f in _FP], axis=1)
+            where, first, second = [], [], []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                kinds, of, sizes = np.unique(comp[lo:hi], return_inverse=True, return_counts=True)
+                if len(kinds) == 1:
+                    continue
+                # Every pair that crosses has an end outside the largest component.
+                is_outside, most = of != sizes.argmax(), 2 * (hi - lo)
+                outside = np.flatnonzero(is_outside)
+                xs, ys, n, met = [], [], 0, np.zeros(hi - lo, dtype=bool)
+                for part in np.array_split(outside, -(-len(outside) // 256)):
+                    far = np.zeros((len(part), hi - lo), dtype=np.uint16)
+                    for k in range(FINGERPRINT_WORDS):
+                        np.add(far, np.bitwise_count(fps[lo + part, k][:, None] ^ fps[lo:hi, k][None, :]), out=far)
+                    near = far <= RADIUS
+                    if small[lo:hi].any():
+                        near |= small[lo + part][:, None] & small[lo:hi][None, :]
+                    near &= of[part][:, None] != of[None, :]
+                    met[part] |= near.any(axis=1)
+                    met |= near.any(axis=0)
+                    # A pair of two rows outside is met from both.
+                    near &= (part[:, None] > np.arange(hi - lo)[None, :]) | ~is_outside[None, :]
+                    n += np.count_nonzero(near)
+                    if n <= most:
+                        x, y = np.nonzero(near)
+                        xs.append(part[x])
+                        ys.append(y)
+                if n <= most:
+                    x, y = np.concatenate(xs), np.concatenate(ys)
+                    where.append(np.full(n, lo))
+                    first.append(node[lo + x])
+                    second.append(pa.array(node[lo + y]))
+                else:
+                    crowd = lo + np.flatnonzero(met)
+                    where.append(np.full(len(crowd), lo))
+                    first.append(node[crowd])
+                    second.append(pa.nulls(len(crowd), pa.int64()))
+            if where:
+                at = pa.array(np.concatenate(where))
+                yield pa.RecordBatch.from_arrays([*(table[c].combine_chunks().take(at) for c in _BLOCK_KEY), pa.array(np.concatenate(first)), pa.concat_arrays(second)], names=[*_BLOCK_KEY, "a", "b"])
+
+    return _ordered(blocks).mapInArrow(search, "shard long, own int, other int, a long, b long")
 
 
 def linked_sets(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
@@ -379,114 +436,117 @@ def linked_sets(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[
     Each set looks only for those that no other has reached, so a cluster of near copies costs about one look each.
     """
     sizes = np.array([len(s) for s in sets])
-    flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    kinds, number = np.unique(flat, return_inverse=True)
-    holders = np.split(of[np.argsort(number, kind="stable")], np.cumsum(np.bincount(number, minlength=len(kinds)))[:-1])
-    held = np.split(number, np.cumsum(sizes)[:-1])
+    of = np.repeat(np.arange(len(sets)), sizes)
+    _, number, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # A set can only be linked through elements that another one has, and must have so many of them.
+    shared = often[number] > 1
+    enough = np.bincount(of[shared], minlength=len(sets)) >= similarity * sizes - 1e-9
+    of, number = of[shared & enough[of]], number[shared & enough[of]]
+    holders = of[np.argsort(number, kind="stable")]
+    ends = np.cumsum(np.bincount(number, minlength=len(often)))
+    held = np.split(number, np.cumsum(np.bincount(of, minlength=len(sets)))[:-1])
     open_, links = np.ones(len(sets), dtype=bool), []
     for root in range(len(sets)):
         todo = [root] if open_[root] else []
         open_[root] = False
         while todo and open_.any():
             x = todo.pop()
-            common = np.bincount(np.concatenate([holders[k] for k in held[x]]), minlength=len(sets))
-            near = np.flatnonzero(open_ & (common >= similarity * (sizes + sizes[x] - common))).tolist()
+            if not len(held[x]):
+                continue
+            common = np.bincount(np.concatenate([holders[a:b] for a, b in zip(ends[held[x] - 1] * (held[x] > 0), ends[held[x]], strict=True)]), minlength=len(sets))
+            near = np.flatnonzero(open_ & (common >= similarity * (sizes + sizes[x] - common) - 1e-9)).tolist()
             open_[near] = False
             links += [(x, y) for y in near]
             todo += near
     return links
 
 
-def small_links(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b) between all similar rows of small sets: exact, by a prefix filter on the rarest shingles.
+def block_links(crowded: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Verified links (a, b) among the nodes of each block: a spanning forest, so fewer than its nodes."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in _groups(batches, _BLOCK_KEY):
+            node, lists = table["node"].to_numpy(), table["shingles"].combine_chunks()
+            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            found = [(node[lo + x], node[lo + y]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True) for x, y in linked_sets([flat[at[k] : at[k + 1]] for k in range(lo, hi)], similarity)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    return _ordered(crowded.join(sets, "node")).mapInArrow(search, "a long, b long")
 
-    Equal sets are one node first. Of a set of n, any similar one shares a shingle of the n - ceil(similarity n) + 1 rarest.
+
+def merged_blocks(crowded: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Crowded blocks that share nodes as one, where that is within the limits of a block: copies crowd many shards together.
+
+    Each node of such a group (of four times the rows at most) then travels once; blocks of larger groups stay as they are.
     """
-    small = rows.where("small is not null").select("node", "small").dropDuplicates(["node"])
-    equal = small.groupBy("small").agg(F.min("node").alias("first"), F.count("*").alias("n"))
-    same = attach(small, equal.where("n > 1").select("small", "first"), ["small"], ["node"], how="inner").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    nodes = equal.select(F.col("first").alias("node"), F.explode("small").alias("shingle"))
-    often = nodes.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    ranked = attach(nodes, often, ["shingle"], ["node"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "shingle"))).alias("ranked"))
-    least = F.ceil(F.size("ranked") * similarity - 1e-9)
-    prefix = F.filter(F.slice("ranked", 1, (F.size("ranked") - least + 1).cast("int")), lambda x: x["n"] > 1)
-    dealt = ranked.select("node", F.transform("ranked", lambda x: x["shingle"]).alias("small"), F.explode(F.transform(prefix, lambda x: x["shingle"])).alias("shard"))
+    block = F.xxhash64(F.lit("block"), *_BLOCK_KEY)
+    groups = connected_components(crowded.select(block.alias("a"), F.col("node").alias("b"))).withColumnRenamed("comp", "group")
+    once = materialize(crowded.select("node").distinct().join(groups, "node").join(nodes.select("node", "size"), "node"), "crowds")
+    fits = once.groupBy("group").agg(F.count("*").alias("rows"), F.sum("size").alias("hashes")).where((F.col("rows") <= 4 * SHARD_ROWS) & (F.col("hashes") <= SHARD_HASHES)).select("group")
+    merged = once.join(fits, "group", "left_semi").select(F.col("group").alias("shard"), F.lit(0).alias("own"), F.lit(0).alias("other"), "node")
+    large = once.join(fits, "group", "left_anti").select("node")
+    return merged.unionByName(crowded.join(large, "node", "left_semi").select(*_BLOCK_KEY, "node"))
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = list(batches)
-        if not whole:
-            return
-        table = pa.Table.from_batches(whole).combine_chunks()
-        shard, node = table["shard"].to_numpy(), table["node"].to_numpy()
-        order = np.lexsort((node, shard))
-        sets, a, b = table["small"].combine_chunks(), [], []
-        at, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
-        cuts = np.flatnonzero(np.diff(shard[order])) + 1
-        for low, high in zip([0, *cuts], [*cuts, len(order)], strict=True):
-            if high - low > 1:
-                who = order[low:high]
-                for x, y in linked_sets([flat[at[k] : at[k + 1]] for k in who], similarity):
-                    a.append(node[who[x]])
-                    b.append(node[who[y]])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return dealt.repartition("shard").mapInArrow(search, "a long, b long").unionByName(same)
-
-
-def shingle_sets(docs: DataFrame, links: DataFrame, key: str, text: str, words: int = SHINGLE_WORDS) -> DataFrame:
-    """node and the set of word shingles of every linked node; only linked texts are read out."""
-    nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    linked = with_row_hash(docs.select(key, text), text).withColumn("node", F.xxhash64(key, ROW_HASH)).join(nodes.hint("shuffle_hash"), "node", "left_semi").select("node", text)
+
+def shingle_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, key: str, text: str, words: int = SHINGLE_WORDS) -> DataFrame:
+    """node and the set of word shingles of every wanted node, read from one row of each; other texts are not hashed again."""
+    one = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct(key, ROW_HASH)).alias("row")).select("node", F.col(f"row.{key}").alias(key), f"row.{ROW_HASH}")
+    linked = matching(docs.select(key, text), one.select(key, ROW_HASH).distinct(), key, text, "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [signed(np.unique(np.array(shingle_hashes(t, words), dtype=np.uint64))) for t in text_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+            found = [_shingle_set(t, words) for t in text_bytes(batch.column(0))]
+            nodes = [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in found]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([signed(s) for s in found], pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    return linked.mapInArrow(run, "node long, shingles array<long>")
+    # Rows repeated whole give a node twice.
+    return linked.select(text).mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
 def verified_links(links: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links whose sets have a Jaccard similarity of at least `similarity`."""
-    sets = sets.dropDuplicates(["node"])
-    both = links.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
+    """Links (a, b) whose sets have a Jaccard similarity of at least `similarity`."""
+    both = links.join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b").join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a")
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+    return both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, row hash, node and component_id of the rows that are in a group of near duplicates with another row.
+    """key, row hash and component_id of the rows that are in a group of near duplicates with another row.
 
-    A forest of each shard's links is verified first. Where a link of it fails, its two sides may still be joined by
-    another, so such shards are searched again for links between components, the nearest first, until all are tried.
+    Each shard has a vantage point, its least node; near nodes are linked to it, which joins most copies. A shard in which
+    components are left apart is searched for near pairs across them: few pairs are verified as they are, and of many
+    the sets are compared in their block, of which only a spanning forest leaves. So rows made grow with the input.
     """
+    with small_batches(docs.sparkSession):
+        return _similar_groups(docs, key, text)
+
+
+def _similar_groups(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = materialize(sketches(docs, key, text), "sketches")
-    links = materialize(sketch_links(rows), "sketch-links")
-    tried = links.select("a", "b").distinct()
-    sets = materialize(shingle_sets(docs, tried, key, text), "shingle-sets")
-    good = materialize(verified_links(tried, sets).unionByName(small_links(rows)), "verified")
+    nodes = materialize(rows.drop(key, ROW_HASH).dropDuplicates(["node"]), "nodes")
+    dealt = materialize(deal_nodes(nodes), "dealt")
+    shards = materialize(dealt.groupBy("shard").agg(F.count("*").alias("n"), F.min("node").alias("vantage")).where("n > 1"), "shards")
+    tried = materialize(vantage_links(dealt, shards, nodes), "vantage-links")
+    ends = lambda links: links.select(F.col("a").alias("node")).unionByName(links.where("b is not null").select(F.col("b").alias("node"))).distinct()
+    sets = materialize(shingle_sets(docs, rows, ends(tried), key, text), "shingle-sets")
+    good = materialize(verified_links(tried, sets), "verified")
     comps = connected_components(good)
-    of = lambda end: comps.withColumnsRenamed({"node": end, "comp": f"comp_{end}"})
-    apart = F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")
-    again = materialize(links.join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).select("shard").distinct(), "shards")
-    for offers in OFFERS:
-        if again.isEmpty():
-            break
-        dealt = _dealt(rows).join(again, "shard", "left_semi").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        found = materialize(cross_links(dealt, offers), "cross-links")
-        fresh = materialize(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "fresh-links")
-        good = good.unionByName(materialize(verified_links(fresh, sets), "verified"))
-        tried = tried.unionByName(fresh)
-        comps = connected_components(good)
-        again = found.where("more").select("shard").distinct()
-    named = rows.select(key, ROW_HASH, "node").join(comps, "node")
-    return named.join(named.groupBy("comp").agg(F.min(key).alias("component_id")), "comp").select(key, ROW_HASH, "node", "component_id")
+    found = materialize(cross_links(contested_blocks(dealt, shards, nodes, comps)), "cross-links")
+    if not found.isEmpty():
+        fresh = ends(found).join(sets, "node", "left_anti")
+        sets = sets.unionByName(materialize(shingle_sets(docs, rows, fresh, key, text), "shingle-sets"))
+        pairs = found.where("b is not null").select("a", "b").distinct()
+        crowded = merged_blocks(found.where("b is null").withColumnRenamed("a", "node").drop("b"), nodes)
+        comps = connected_components(good.unionByName(materialize(verified_links(pairs, sets).unionByName(block_links(crowded, sets)), "verified")))
+    named = rows.select(key, ROW_HASH, "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    groups = named.groupBy("comp").agg(F.min(key).alias("component_id"), F.count("*").alias("n")).where("n > 1")
+    return named.join(groups, "comp").select(key, ROW_HASH, "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document, that of the smallest key, of each group linked by five-word shingles at SIMILARITY; all columns kept.
 
-    Rows of that key in the group all stay: exact dedup is another operator.
+    Rows without words are in no group. Rows of that key in the group all stay: exact dedup is another operator.
     """
     groups = similar_groups(docs, key, text)
     lost = materialize(groups.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(key, ROW_HASH).distinct(), "near-copies")

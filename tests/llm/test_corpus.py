@@ -5,6 +5,7 @@ import hashlib
 import html
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -23,7 +24,7 @@ EDGE = [(1, "Some words here", "a"), (2, None, None), (3, "", "a"), (4, " \n\t "
 def edge(spark):
     """Nulls, empty and long texts, repeated rows, and columns named like those the operators make."""
     df = spark.createDataFrame(EDGE, "doc_id long, text string, source string")
-    return df.withColumns({c: F.lit("clash") for c in ("fp", "size", "component_id", "keep_id", "score", "piece", "length", "kept", "n_words", "target", "prob", "lang")})
+    return df.withColumns({c: F.lit("clash") for c in ("fp", "size", "component_id", "keep_id", "score", "piece", "length", "kept", "n_words", "target", "prob", "lang", "__hash", "__key", "__row_hash", "__copies", "__copy", "__rows", "__row", "__text", "doc", "id", "copies", "rows", "node", "left_id", "right_hash", "spans")})
 
 
 @pytest.fixture(scope="module")
@@ -73,7 +74,20 @@ def test_packing_plan_uses_every_piece_once():
         for x in parts:
             used[x] += times
     assert (used == counts).all()
-    assert n <= sum(packing._best_fit(counts).values()) * 1.01
+    assert n <= sum(packing._best_fit(counts).values())
+
+
+def test_packing_plan_beats_best_fit_decreasing():
+    """Short lengths of equal number: the program finds what best-fit decreasing misses; never is its plan the worse one."""
+    counts = np.zeros(2049, dtype=np.int64)
+    counts[100:256] = 1000
+    bound = -(-int((counts * np.arange(2049)).sum()) // 2048)
+    n, plain = (sum(x) for x in ([t for _, t in packing.plan_sequences(counts)], packing._best_fit(counts).values()))
+    assert bound <= n <= 1.005 * bound and n < plain
+    rng = np.random.default_rng(5)
+    for _ in range(3):
+        counts = np.bincount(rng.integers(1, 200, 500), minlength=201)
+        assert sum(t for _, t in packing.plan_sequences(counts)) <= sum(packing._best_fit(counts).values())
 
 
 @pytest.mark.parametrize("text", ["a<|endoftext|>b", "<|endoftext|><|endoftext|>", " <|endoftext|> 's", "<|endoftext", "\u00a0\u2003x \n\n y\r\n", "x" * 50_000, "naïve 123²  \u0301"])
@@ -134,12 +148,26 @@ def test_html_is_the_article(spark, data):
         ("<article><div class=ad>buy<div>now</div></div><p>x<br>y</p></article>", "x y"),
         ("<p>" + "word " * 300 + "</p>", ("word " * 300).strip()),
         ("plain text < 5 and > 3", "plain text < 5 and > 3"),
+        ('<p title="a<b">Hello', "Hello"),
+        ("<p title='a>b' class=c\">x</p>y", "x y"),
+        ('<article><div class="entry-header"><h1>The title</h1></div><p>b</p></article>', "The title b"),
+        ('<article><div class="share-price"><p>12 up</p></div><section class="notice-board"><p>n</p></section></article>', "12 up n"),
+        ("<article><p>See <a href=x>the whole long report here</a></p></article>", "See the whole long report here"),
+        ("<div class='site-footer'>f</div><div id='main-nav'>n</div><p>text</p>", "text"),
+        ("x<!-- never closed", "x"),
     ],
 )
 def test_html_cases(page, text):
     assert html_extract.extract_text(page or "") == text
 
 
+@pytest.mark.parametrize("page", ["<p " + 'a="b" ' * 10_000, "<a " * 50_000, '<p title="' * 20_000, "<!--" * 50_000, "</" * 100_000, "<script " * 20_000, "<p a='" + "b" * 100_000 + "<" * 50_000])
+def test_html_is_read_in_linear_time(page):
+    began = time.perf_counter()
+    html_extract.extract_text(page)
+    assert time.perf_counter() - began < 3
+
+
 def test_html_without_article_keeps_the_dense_block():
     body = "".join(f"<p>{'long sentence of the text ' * 10}</p>" for _ in range(4))
     page = f"<div><a href=a>Home</a> <a href=b>About</a></div><div class=sidebar>x</div>{body}<div class=footer>tiny</div>"
@@ -217,7 +245,7 @@ def test_lm_prefers_text_to_shuffled_text(spark):
     text = lambda: " ".join(f"a{x} b{x} c{x} d{x}" for x in rng.integers(0, 6, 60))
     rows = [(k, text()) for k in range(400)] + [(1000 + k, " ".join(rng.permutation(text().split()))) for k in range(40)] + [(2000, None), (2001, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in lm_score.score_documents(df, share=0.5, rounds=6).collect()}
+    got = {r.doc_id: r for r in lm_score.score_documents(df, rounds=2, epochs=6).collect()}
     held = [got[k].log_prob_per_token for k in range(400)]
     mixed = [got[1000 + k].log_prob_per_token for k in range(40)]
     assert np.mean(held) > np.mean(mixed) + 0.05
@@ -239,10 +267,35 @@ def test_lm_rare_words_have_their_own_share(spark, monkeypatch):
 
 def test_lm_trains_on_every_document(edge, docs):
     for df in (edge, docs):
-        rounds = sum(lm_score.in_round("doc_id", r, lm_score.ROUND_SHARE).cast("int") for r in range(lm_score.ROUNDS))
+        rounds = sum(lm_score.in_round("doc_id", r, lm_score.ROUNDS).cast("int") for r in range(lm_score.ROUNDS))
         assert {r[0] for r in df.select(rounds).collect()} == {1}
 
 
+def test_lm_scores_are_brute_force(spark, docs, monkeypatch):
+    """The network's own softmax of every token, word by word in double precision, and the shares of rare words from plain counts."""
+    monkeypatch.setattr(lm_score, "VOCABULARY", 300)
+    monkeypatch.setattr(lm_score, "HEAD_COUNTS", 350)
+    some = docs.where("doc_id < 60")
+    encoded, vocabulary, counts = lm_score.encode_documents(some)
+    net = lm_score.train_network(encoded, vocabulary)
+    got = {r.doc_id: r.log_prob for r in lm_score.score_with(encoded, counts, net).collect()}
+    texts = {r.doc_id: lm_score.tokens_of((r.text or "").encode()) for r in some.collect()}
+    seen = collections.Counter(w for t in texts.values() for w in t)
+    ranked = [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:300]]
+    place, rare = {w: k for k, w in enumerate(ranked)}, sum(n for w, n in seen.items() if w not in set(ranked))
+    soft = lambda z: z - z.max() - np.log(np.exp(z - z.max()).sum())
+    embed, w1, wc, ww = (getattr(net, n).astype(float) for n in ("embed", "w1", "wc", "ww"))
+    for k, words in texts.items():
+        ids = [0, 0, *(place[w] + 1 if w in place else 301 + xxhash.xxh32_intdigest(w) % 64 for w in words), 0, 0]
+        total = 0.0
+        for i, w in enumerate(words):
+            h = np.tanh(np.concatenate([embed[ids[i + j]] for j in (0, 1, 3, 4)]) @ w1 + net.b1)
+            c = place[w] // 128 if w in place else 3
+            total += soft(h @ wc + net.bc)[c]
+            total += soft(h @ ww[c] + net.bw[c])[place[w] % 128] if w in place else np.log(seen[w] / rare)
+        assert abs(total - got[k]) < 1e-3 * max(1, abs(total))
+
+
 def _brute_spans(text):
     out = []
     for kind, pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
@@ -265,12 +318,21 @@ def test_pii_base_is_the_patterns(docs):
 
 
 def test_pii_bootstraps_unseen_identifiers(spark, edge):
+    """An identifier of another shape is found in a context of seeds, if two patterns agree on it; a lone word is not enough."""
     rows = [(k, f"Please call me at +1 415 555 01{k:02d} today.") for k in range(10)] + [(50, "Please call me at 555-0199 today."), (51, "He ran at 555-0177 and left")]
-    got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"), least_confidence=0.05).collect()}
+    got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [x.kind for x in got[3].base] == ["phone"] and not got[51].spans
+    assert [(rows[10][1][x.s : x.e], x.kind) for x in got[50].spans] == [("555-0199", "phone")] and not got[50].base
     assert pii.find_pii(edge).count() == len(EDGE) and pii.find_pii(edge.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("text", ["x" * 1_000_000, "\u5b57" * 1_000_000, "9\n" * 300_000, "a@" * 300_000, "a" * 500_000 + "\u00e9" + "b" * 500_000 + "@c.de", "+1((" * 200_000, "1.2." * 200_000])
+def test_pii_reads_long_texts_in_linear_time(text):
+    began = time.perf_counter()
+    pii.occurrences(text)
+    assert time.perf_counter() - began < 20
+
+
 def test_pii_shared_contexts(spark):
     rows = [(k, f"card no. 4111 1111 1111 1111 and id-{k} ok") for k in range(5)]
     rows += [(10 + k, f"server 10.0.0.{k} down") for k in range(8)] + [(30, "server 10.0.0.300 down")]
@@ -301,6 +363,7 @@ def test_toxicity_learns_held_out_documents(spark, edge):
     k, text, _ = rows[300]
     assert {text[s.s : s.e] for s in got[k].spans} <= {"zorgon", "zorgous"} and got[k].spans
     assert toxicity.keep_clean(df.drop("toxic"), model).columns == ["doc_id", "text"]
+    assert toxicity.score_toxicity(edge, model, keep=("doc_id", "score")).columns == ["doc_id", "score", "spans"]
     scored = toxicity.score_toxicity(edge, model).collect()
     assert len(scored) == len(EDGE) and all(0 <= r.score < 0.5 for r in scored)
     none = toxicity.train_toxicity(edge, spark.createDataFrame([], "doc_id long, toxic int"))
@@ -322,6 +385,26 @@ def test_chain_marginals_match_plain_forward_backward():
     assert all(abs(p - want[k]) < 1e-9 for k, p in model.marginals(words))
 
 
+def test_toxicity_scores_match_plain_forward_backward():
+    """Long runs between informative tokens, and letters whose lower case is longer: scores and offsets are those of the whole chain."""
+    chain = {"emit": np.array([3.0, -0.5]), "bias": -2.0, "move": np.array([[1.3, 0.4], [0.7, 1.6]])}
+    model = toxicity.ToxicityModel(["=bad", "=meh"], chain)
+    for words in (["x"] * 700 + ["bad"] + ["x"] * 1500 + ["meh", "bad"], ["bad", "\u0130x"] * 3 + ["x"] * 5, ["x"] * 9):
+        e = np.array([[1.0, np.exp(-2.0 + {"bad": 3.0, "meh": -0.5}.get(w, 0.0))] for w in words])
+        alpha, beta = np.ones((len(words), 2)), np.ones((len(words), 2))
+        for k in range(len(words)):
+            alpha[k] = (alpha[k - 1] @ chain["move"] if k else np.full(2, 0.5)) * e[k]
+            alpha[k] /= alpha[k].sum()
+        for k in range(len(words) - 2, -1, -1):
+            beta[k] = chain["move"] @ (e[k + 1] * beta[k + 1])
+            beta[k] /= beta[k].sum()
+        p = (alpha * beta)[:, 1] / (alpha * beta).sum(axis=1)
+        want = sum(p[k] for k, w in enumerate(words) if w in ("bad", "meh"))
+        weight, found = model.weight(" ".join(words))
+        assert abs(weight - want) < 1e-9 and [k for k, _ in found] == [k for k, w in enumerate(words) if w in ("bad", "meh")]
+    assert toxicity.words_of("\u0130 bad") == ["i\u0307", "bad"]
+
+
 def _fingerprint(raw, words=3):
     w = raw.lower().split()
     shingles = [b" ".join(w[k : k + words]) for k in range(len(w) - words + 1)] if len(w) >= words else [b" ".join(w)] if w else []
@@ -359,17 +442,17 @@ def test_vantage_point_tree_finds_every_pair(spark, monkeypatch):
     near = base[:900] ^ (np.uint64(1) << rng.integers(0, 63, 900).astype(np.uint64))
     chain = base[:1] ^ np.array([sum(1 << b for b in range(n)) for n in range(40)], dtype=np.uint64)
     fps = np.unique(np.concatenate([base, near, chain]))
-    tree = simhash.build_tree(fps[:, None], 4)
+    tree = simhash.build_tree(fps, 4)
     pairs = {(a, b) for k in range(len(fps)) for a, b in ((k, k + 1 + int(j)) for j in np.flatnonzero(np.bitwise_count(fps[k + 1 :] ^ fps[k]) <= 2))}
     met = set()
-    for _, members, guests in simhash.route(tree, fps[:, None], 2):
+    for _, members, guests in simhash.route(tree, fps, 2):
         both = np.concatenate([members, guests])
         inside = set(both.tolist())
         own = set(members.tolist())
         met |= {p for p in pairs if p[0] in inside and p[1] in inside and (p[0] in own or p[1] in own)}
     assert met == pairs
     monkeypatch.setattr(simhash, "BLOCK", 64)
-    parent = simhash.link_shard(fps[:, None], np.arange(len(fps)), np.arange(0), 2)
+    parent = simhash.link_shard(fps, np.arange(len(fps)), np.arange(0), 2)
     want = _components(range(len(fps)), pairs)
     assert {k: int(parent[k]) for k in range(len(fps))} == want
 
@@ -385,10 +468,14 @@ def test_near_duplicate_stage_is_brute_force(spark, docs, edge):
     assert simhash.drop_near_duplicates(edge.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("offers", [(16, 256, 4096, None), (1, 2, None)])
-def test_near_duplicates_of_a_hub_are_all_found(spark, monkeypatch, offers):
-    """Variants that are near the hub, but hardly near each other: a failed link beside the true one must not hide it."""
-    monkeypatch.setattr(simhash, "OFFERS", offers)
+@pytest.mark.parametrize("limits", [(2048, 4 << 20), (16, 4 << 20), (2048, 3000)])
+def test_near_duplicates_of_a_hub_are_all_found(spark, monkeypatch, limits):
+    """Variants that are near the hub, but hardly near each other: a failed link beside the true one must not hide it.
+
+    The same where shards are larger than a block may be, by rows or by shingles.
+    """
+    monkeypatch.setattr(simhash, "SHARD_ROWS", limits[0])
+    monkeypatch.setattr(simhash, "SHARD_HASHES", limits[1])
     rng = np.random.default_rng(3)
     hub = [f"w{k}" for k in rng.integers(0, 5000, 150)]
     texts = [hub]
@@ -412,6 +499,19 @@ def test_near_duplicates_of_short_texts_are_all_found(spark):
     assert got == {k: k % 1000 for k, _ in rows}
 
 
+def test_near_duplicates_make_no_quadratic_rows(spark, monkeypatch):
+    """Texts that share a passage, similar at 0.65 to 0.8: near by fingerprint, none linked, and few rows made of them."""
+    rng = np.random.default_rng(9)
+    passage = [f"p{k}" for k in range(160)]
+    rows = [(k, " ".join(passage + [f"x{x}" for x in rng.integers(0, 1 << 40, 20)])) for k in range(300)]
+    found = []
+    keep = simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, name: found.append((name, keep(df, name))) or found[-1][1])
+    assert simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+    pairs = simhash.MIN_HASHES * (simhash.MIN_HASHES - 1) // 2
+    assert max(df.count() for name, df in found if name != "dealt" and not name.startswith("links")) <= 2 * pairs * len(rows)
+
+
 def test_linked_sets_are_brute_force():
     rng = np.random.default_rng(8)
     sets = [np.array(sorted(rng.choice(14, rng.integers(1, 12), replace=False))) for _ in range(300)]
