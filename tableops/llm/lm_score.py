@@ -1,15 +1,18 @@
 """Language-model scoring by masked pseudo-likelihood.
 
 Every token is hidden in turn and predicted from both sides: the embeddings of the WINDOW words before and
-after it go through one hidden layer to a distribution over word classes, and within its class a
-word has its share of the class's corpus count. A document's score is the sum of the log-probabilities of its
-tokens. Word counts come from all documents: those of the most frequent words go to every task, the others are
-joined to each document's counts of them. The network is trained in numpy on all documents, each in one of the
-rounds, in which every partition trains from the same weights and Spark averages what they end with, weighted by tokens.
-As context, words outside the vocabulary share RARE_BUCKETS embeddings.
+after it go through one hidden layer to a distribution over word classes, and from the same layer to a
+distribution over the words of the class. A document's score is the sum of the log-probabilities of its
+tokens. Classes are runs of frequency rank. Words outside the vocabulary are one class, in which each has its share of
+the class's corpus count; as context they share RARE_BUCKETS embeddings.
+
+Word counts come from all documents. Texts are encoded once; the counts of the HEAD_COUNTS most frequent words go to every
+task, those of others are joined to each document's counts of them. The network is trained in numpy on all
+documents, each in one of the rounds, in which every partition trains from the same weights and Spark averages what they
+end with, weighted by tokens.
 
 Defined results: null text counts as empty; no tokens score 0 in total and null a token; repeated rows are scored
-each for itself; without any words in the corpus all totals are 0.
+each for itself; without any words in the corpus nothing is trained and all totals are 0.
 """
 
 from __future__ import annotations
@@ -25,13 +28,14 @@ from pyspark.sql import functions as F
 
 from tableops.llm.common import ddl, materialize, text_bytes
 
-WINDOW, VOCABULARY, RARE_BUCKETS, CLASSES, WIDTH, HIDDEN = 2, 16_384, 64, 64, 16, 32
+WINDOW, VOCABULARY, RARE_BUCKETS, CLASS_WORDS, WIDTH, HIDDEN = 2, 16_384, 64, 128, 16, 32
+#: Words whose counts are sent to every task (some 100 bytes each); the others' are joined.
+HEAD_COUNTS = 1 << 18
 #: Rounds of averaging, step size, tokens of a minibatch.
-ROUNDS, STEP, MINIBATCH = 4, 0.05, 512
-#: Share of documents that a round trains on, each round the next share: together all of them.
-ROUND_SHARE = 1 / ROUNDS
+ROUNDS, STEP, MINIBATCH = 4, 1.0, 2048
 EDGE = 0  # the id beside the first and last word of a text
-_CHUNK = 32_768
+#: Distinct words that a task counts before it hands them on; tokens scored at a time.
+COUNTED_WORDS, _CHUNK = 300_000, 8192
 
 
 def tokens_of(raw: bytes) -> list[bytes]:
@@ -42,75 +46,123 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """word and n over all documents; each task adds up its own first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
         for batch in batches:
-            seen: Counter = Counter()
             for raw in text_bytes(batch.column(0)):
                 seen.update(tokens_of(raw))
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+                if len(seen) > COUNTED_WORDS:
+                    yield out()
+                    seen.clear()
+        yield out()
 
     return docs.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary:
-    """Ids of words, their classes, and the log of their share in the class.
-
-    The most frequent words have ids of their own; the rest share ids by hash. Classes are runs of frequency rank of
-    about equal mass, and one for all rare words; the share of a rare word is that of a count of one.
-    """
+    """Ids of the most frequent words, their classes, and counts: 1 is the most frequent word; rare words share ids by hash."""
 
     def __init__(self, words: list[tuple[bytes, int]], rare_tokens: int):
+        """words: the most frequent, in order, with counts, VOCABULARY at most; rare_tokens: tokens of all others."""
         self.ids = {w: k + 1 for k, (w, _) in enumerate(words)}
         self.first_rare = 1 + len(words)
         self.n_ids = self.first_rare + RARE_BUCKETS
-        counts = np.array([n for _, n in words], dtype=float)
-        total = max(counts.sum(), 1)
-        band = np.minimum((np.cumsum(counts) - counts / 2) / total * (CLASSES - 1), CLASSES - 2).astype(int) if len(words) else np.zeros(0, int)
-        mass = np.bincount(band, counts, CLASSES) if len(words) else np.zeros(CLASSES)
-        self.classes = np.concatenate([[CLASSES - 1], band, np.full(RARE_BUCKETS, CLASSES - 1)]).astype(np.int32)
-        rare = -np.log(max(rare_tokens, 1))
-        self.share = np.concatenate([[0.0], np.log(counts / mass[band]) if len(words) else [], np.full(RARE_BUCKETS, rare)]).astype(np.float32)
-        self.prior = np.log((mass + np.eye(CLASSES)[CLASSES - 1] * rare_tokens + 1) / (mass.sum() + rare_tokens + CLASSES)).astype(np.float32)
+        self.rare_class = -(-len(words) // CLASS_WORDS)
+        self.rare_tokens = rare_tokens
+        counts = np.zeros(self.rare_class * CLASS_WORDS)
+        counts[: len(words)] = [n for _, n in words]
+        by_class = counts.reshape(-1, CLASS_WORDS)
+        mass = np.append(by_class.sum(axis=1), rare_tokens)
+        self.class_prior = np.log((mass + 1) / (mass + 1).sum()).astype(np.float32)
+        # Places that no word has get no probability.
+        self.word_prior = np.where(by_class > 0, np.log(np.maximum(by_class, 1) / np.maximum(by_class.sum(axis=1, keepdims=True), 1)), -1e9).astype(np.float32)
 
     def encode(self, words: list[bytes]) -> np.ndarray:
         get, first, digest = self.ids.get, self.first_rare, xxhash.xxh32_intdigest
-        return np.array([get(w) or first + digest(w) % RARE_BUCKETS for w in words], dtype=np.int32)
+        return np.array([get(w) or first + digest(w) % RARE_BUCKETS for w in words], dtype=np.uint16)
+
+    def places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class of each token, and its place in the class (rare words: 0)."""
+        rank = ids.astype(np.int64) - 1
+        rare = ids >= self.first_rare
+        return np.where(rare, self.rare_class, rank // CLASS_WORDS), np.where(rare, 0, rank % CLASS_WORDS)
 
 
 class WindowNetwork:
-    """Weights: embeddings, context to hidden, hidden to classes; the class prior is the first bias."""
+    """Weights: embeddings, context to hidden, hidden to classes, hidden to words of each class; the first biases are corpus shares."""
 
-    NAMES = ("embed", "w1", "b1", "w2", "b2")
+    NAMES = ("embed", "w1", "b1", "wc", "bc", "ww", "bw")
 
     def __init__(self, vocabulary: Vocabulary, seed: int = 7):
         rng = np.random.default_rng(seed)
-        scale = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
+        scale = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[-2])).astype(np.float32)
+        n = vocabulary.rare_class
+        self.vocabulary = vocabulary
         self.embed = (rng.standard_normal((vocabulary.n_ids, WIDTH)) * 0.1).astype(np.float32)
         self.w1, self.b1 = scale(2 * WINDOW * WIDTH, HIDDEN), np.zeros(HIDDEN, np.float32)
-        self.w2, self.b2 = scale(HIDDEN, CLASSES) * 0.1, vocabulary.prior.copy()
+        self.wc, self.bc = scale(HIDDEN, n + 1) * np.float32(0.1), vocabulary.class_prior.copy()
+        self.ww, self.bw = np.zeros((n, HIDDEN, CLASS_WORDS), np.float32), vocabulary.word_prior.copy()
 
-    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = self.embed[context].reshape(len(context), -1)
-        h = np.tanh(x @ self.w1 + self.b1)
-        z = h @ self.w2 + self.b2
+        return x, np.tanh(x @ self.w1 + self.b1)
+
+    def _by_class(self, of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each class of the vocabulary among the tokens, and its tokens."""
+        order = np.argsort(of, kind="stable")
+        ordered = of[order]
+        cuts = np.flatnonzero(np.diff(ordered)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(of)], strict=True):
+            if b > a and ordered[a] != self.vocabulary.rare_class:
+                yield int(ordered[a]), order[a:b]
+
+    def log_probs(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Log-probability of each token in its context; of a rare word that of one with a count of one."""
+        _, h = self._hidden(context)
+        of, place = self.vocabulary.places(token)
+        z = h @ self.wc + self.bc
         z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return x, h, z
-
-    def train(self, context: np.ndarray, target: np.ndarray, step: float) -> None:
-        x, h, z = self.forward(context)
-        d = np.exp(z)
-        d[np.arange(len(target)), target] -= 1
-        d /= len(target)
-        dh = (d @ self.w2.T) * (1 - h * h)
+        out = z[np.arange(len(of)), of] - np.log(np.exp(z).sum(axis=1))
+        for c, who in self._by_class(of):
+            z = h[who] @ self.ww[c] + self.bw[c]
+            z -= z.max(axis=1, keepdims=True)
+            out[who] += z[np.arange(len(who)), place[who]] - np.log(np.exp(z).sum(axis=1))
+        out[of == self.vocabulary.rare_class] -= np.log(max(self.vocabulary.rare_tokens, 1))
+        return out
+
+    def train(self, context: np.ndarray, token: np.ndarray, step: float) -> None:
+        """One step along the gradient of the mean log-probability of the tokens."""
+        x, h = self._hidden(context)
+        of, place = self.vocabulary.places(token)
+        d = h @ self.wc + self.bc
+        d -= d.max(axis=1, keepdims=True)
+        np.exp(d, out=d)
+        d /= d.sum(axis=1, keepdims=True)
+        d[np.arange(len(of)), of] -= 1
+        d /= len(of)
+        dh = d @ self.wc.T
+        self.wc -= step * (h.T @ d)
+        self.bc -= step * d.sum(axis=0)
+        for c, who in self._by_class(of):
+            hc = h[who]
+            d = hc @ self.ww[c] + self.bw[c]
+            d -= d.max(axis=1, keepdims=True)
+            np.exp(d, out=d)
+            d /= d.sum(axis=1, keepdims=True)
+            d[np.arange(len(who)), place[who]] -= 1
+            d /= len(of)
+            dh[who] += d @ self.ww[c].T
+            # A class meets few of a batch's tokens: its own weights take longer steps.
+            lift = step * min(8.0, len(of) / len(who))
+            self.ww[c] -= lift * (hc.T @ d)
+            self.bw[c] -= lift * d.sum(axis=0)
+        dh *= 1 - h * h
         dx = (dh @ self.w1.T).reshape(-1, WIDTH)
-        lift = step * 20
-        self.w2 -= lift * (h.T @ d)
-        self.b2 -= lift * d.sum(axis=0)
-        self.w1 -= lift * (x.T @ dh)
-        self.b1 -= lift * dh.sum(axis=0)
+        self.w1 -= step * (x.T @ dh)
+        self.b1 -= step * dh.sum(axis=0)
         # Single numbers are added several times faster than rows.
         at = context.reshape(-1, 1).astype(np.int64) * WIDTH + np.arange(WIDTH)
-        np.add.at(self.embed.reshape(-1), at.ravel(), -lift * dx.ravel())
+        np.add.at(self.embed.reshape(-1), at.ravel(), -20 * step * dx.ravel())
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n in self.NAMES]).astype(np.float32)
@@ -125,7 +177,7 @@ class WindowNetwork:
 
 def _windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Context ids, token ids and text numbers of all tokens; edges part the texts."""
-    edge = np.full(WINDOW, EDGE, np.int32)
+    edge = np.full(WINDOW, EDGE, np.uint16)
     flat = np.concatenate([edge, *(part for t in texts for part in (t, edge))])
     lengths = np.array([len(t) for t in texts])
     first = np.concatenate([[0], np.cumsum(lengths + WINDOW)[:-1]]) + WINDOW
@@ -134,43 +186,71 @@ def _windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return context, flat[at], np.repeat(np.arange(len(texts)), lengths)
 
 
-def build_vocabulary(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, DataFrame]:
-    """The vocabulary, and the counts (word, n) of all words."""
+def _decoded(ids: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint16) for x in ids.to_pylist()]
+
+
+def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, Vocabulary, DataFrame]:
+    """Rows (key, row, n_tokens, ids, lift, rare), the vocabulary, and the counts of all words.
+
+    lift is the sum of log counts of a row's words outside the vocabulary but among the HEAD_COUNTS most frequent; rare has
+    the other words and how often each stands there.
+    """
     counts = materialize(count_words(docs, text), "word-counts")
-    top = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
+    top = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(HEAD_COUNTS).collect()]
     tokens = counts.agg(F.sum("n")).first()[0] or 0
-    return Vocabulary(top, tokens - sum(n for _, n in top)), counts
+    vocabulary = Vocabulary(top[:VOCABULARY], tokens - sum(n for _, n in top[:VOCABULARY]))
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, {w: float(np.log(n)) for w, n in top[VOCABULARY:]}))
+    kept = docs.select(key, F.monotonically_increasing_id().alias("row"), text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, logs = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                n, ids, lifts, rare = [], [], [], []
+                for raw in text_bytes(part.column(2)):
+                    tokens = tokens_of(raw)
+                    own = words.encode(tokens)
+                    seldom = [tokens[k] for k in np.flatnonzero(own >= words.first_rare)]
+                    n.append(len(tokens))
+                    ids.append(own.tobytes())
+                    lifts.append(sum(logs.get(w, 0.0) for w in seldom))
+                    rare.append(Counter(w for w in seldom if w not in logs))
+                cuts = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
+                pairs = pa.StructArray.from_arrays([pa.array([w for r in rare for w in r], pa.binary()), pa.array([x for r in rare for x in r.values()], pa.int32())], names=["word", "times"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(lifts, pa.float64()), pa.ListArray.from_arrays(cuts, pairs)], names=[key, "row", "n_tokens", "ids", "lift", "rare"])
+
+    schema = ddl(kept.select(key, "row"), "n_tokens long", "ids binary", "lift double", "rare array<struct<word:binary,times:int>>")
+    return materialize(kept.mapInArrow(run, schema), "encoded"), vocabulary, counts
 
 
-def in_round(key: str, r: int, share: float):
-    """Whether a row is trained on in round r; consecutive rounds take consecutive shares of the ids' hashes."""
-    parts = 1_000_000
-    low, high = round(r * share * parts), round((r + 1) * share * parts)
-    return F.pmod(F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(parts)) - low, F.lit(parts)) < high - low
+def in_round(key: str, r: int, rounds: int):
+    """Whether a row is trained on in round r: each row in one of them, by the hash of its id."""
+    return F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(rounds)) == r
 
 
-def train_network(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", share: float = ROUND_SHARE, rounds: int = ROUNDS) -> WindowNetwork:
-    """The network after `rounds` of local training and averaging; what reaches the driver is one set of weights a round."""
-    spark = docs.sparkSession
+def train_network(encoded: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", rounds: int = ROUNDS, epochs: int = 1) -> WindowNetwork:
+    """The network after `epochs` over all documents, `rounds` of local training and averaging each; the driver gets one set of weights a round."""
+    spark = encoded.sparkSession
     network = WindowNetwork(vocabulary)
     blocks = 64
 
-    for r in range(rounds):
+    for r in range(rounds * epochs):
         shared = spark.sparkContext.broadcast((vocabulary, network.flat()))
-        step = STEP / (1 + r)
+        step = STEP / (1 + r / epochs)
 
         def learn(batches: Iterator[pa.RecordBatch], shared=shared, step=step) -> Iterator[pa.RecordBatch]:
             words, start = shared.value
             own, n, rng = WindowNetwork(words), 0, np.random.default_rng(5)
             own.load(start)
             for batch in batches:
-                for at in range(0, batch.num_rows, 64):
-                    texts = [words.encode(tokens_of(t)) for t in text_bytes(batch.column(0).slice(at, 64))]
-                    context, token, _ = _windows(texts)
+                for at in range(0, batch.num_rows, 256):
+                    context, token, _ = _windows(_decoded(batch.column(0).slice(at, 256)))
                     order = rng.permutation(len(token))
                     for k in range(0, len(order), MINIBATCH):
                         part = order[k : k + MINIBATCH]
-                        own.train(context[part], words.classes[token[part]], step * min(1.0, len(part) / MINIBATCH))
+                        own.train(context[part], token[part], step * min(1.0, len(part) / MINIBATCH))
                     n += len(token)
             if n:
                 parts = np.array_split(own.flat(), blocks)
@@ -183,45 +263,36 @@ def train_network(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id",
             return pa.table({"block": table["block"][:1], "weights": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())})
 
         # Each block gathers one slice of weights from each task, never whole networks.
-        rows = docs.where(in_round(key, r, share)).select(text).mapInArrow(learn, "block int, n double, weights binary").groupBy("block").applyInArrow(average, "block int, weights binary").collect()
+        rows = encoded.where(in_round(key, r % rounds, rounds)).select("ids").mapInArrow(learn, "block int, n double, weights binary").groupBy("block").applyInArrow(average, "block int, weights binary").collect()
         if rows:
             network.load(np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(rows, key=lambda r: r["block"])]))
     return network
 
 
-def score_with(docs: DataFrame, vocabulary: Vocabulary, counts: DataFrame, network: WindowNetwork, key: str = "doc_id", text: str = "text") -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, network))  # of fixed size: VOCABULARY words
-    kept = docs.select(key, F.monotonically_increasing_id().alias("__row"), text)
+def score_with(encoded: DataFrame, counts: DataFrame, network: WindowNetwork, key: str = "doc_id") -> DataFrame:
+    """key, n_tokens, log_prob and log_prob_per_token of every encoded row."""
+    shared = encoded.sparkSession.sparkContext.broadcast(network)  # of fixed size: VOCABULARY words
+    kept = encoded.select(key, "row", "n_tokens", "lift", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, net = shared.value
+        net = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                tokens = [tokens_of(t) for t in text_bytes(part.column(2))]
-                texts = [words.encode(t) for t in tokens]
-                context, token, owner = _windows(texts)
-                total = np.zeros(len(texts))
+                context, token, owner = _windows(_decoded(part.column(4)))
+                total = part.column(3).to_numpy(zero_copy_only=False).copy()
                 for k in range(0, len(token), _CHUNK):
-                    z = net.forward(context[k : k + _CHUNK])[2]
-                    t = token[k : k + _CHUNK]
-                    total += np.bincount(owner[k : k + _CHUNK], z[np.arange(len(t)), words.classes[t]] + words.share[t], len(texts))
-                n = np.array([len(t) for t in texts], dtype=np.int64)
-                rare = [Counter(map(t.__getitem__, np.flatnonzero(ids >= words.first_rare).tolist())) for t, ids in zip(tokens, texts, strict=True)]
-                cuts = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
-                pairs = pa.StructArray.from_arrays([pa.array([w for r in rare for w in r], pa.binary()), pa.array([x for r in rare for x in r.values()], pa.int32())], names=["word", "times"])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(total), pa.ListArray.from_arrays(cuts, pairs)], names=[key, "__row", "n_tokens", "log_prob", "rare"])
+                    total += np.bincount(owner[k : k + _CHUNK], net.log_probs(context[k : k + _CHUNK], token[k : k + _CHUNK]), part.num_rows)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(total)], names=[key, "row", "n_tokens", "log_prob"])
 
-    schema = ddl(kept.select(key, "__row"), "n_tokens long", "log_prob double", "rare array<struct<word:binary,times:int>>")
-    scored = materialize(kept.mapInArrow(run, schema), "network-scores")
+    scored = kept.mapInArrow(run, ddl(kept.select(key, "row", "n_tokens"), "log_prob double"))
     # A rare word's share is n of the rare class's tokens; the network's pass counted 1 of them.
-    lifts = scored.select("__row", F.inline("rare")).join(counts.where("n > 1"), "word").groupBy("__row").agg(F.sum(F.col("times") * F.log("n")).alias("__lift"))
-    total = F.col("log_prob") + F.coalesce("__lift", F.lit(0.0))
-    whole = scored.drop("rare").join(lifts, "__row", "left").withColumn("log_prob", total)
+    lifts = encoded.select("row", F.inline("rare")).join(counts.where("n > 1"), "word").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("more"))
+    whole = scored.join(lifts, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
     return whole.select(key, "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("log_prob_per_token"))
 
 
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **training) -> DataFrame:
     """key, n_tokens, log_prob (sum over tokens) and log_prob_per_token of every row of docs."""
-    vocabulary, counts = build_vocabulary(docs, text)
-    return score_with(docs, vocabulary, counts, train_network(docs, vocabulary, key, text, **training), key, text)
+    encoded, vocabulary, counts = encode_documents(docs, key, text)
+    return score_with(encoded, counts, train_network(encoded, vocabulary, key, **training), key)
