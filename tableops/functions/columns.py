@@ -75,15 +75,24 @@ def with_audit_columns(df: DataFrame, at: Column | None = None) -> DataFrame:
 
 
 def row_hash(columns: Sequence[str], bits: int = 512, legacy: bool = False) -> Column:
-    """SHA-2 of a row. Columns are parted, and null is told from empty; legacy joins them bare, null as empty."""
+    """SHA-2 of a row: of each value with its length before it, so that no separator in a value can move it; null has a mark of its own.
+
+    legacy joins the values bare, null as empty.
+    """
     if legacy:
         return F.sha2(F.concat(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), bits)
-    return F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns)), bits)
+    return F.sha2(_measured(columns), bits)
+
+
+def _measured(columns: Sequence[str]) -> Column:
+    """Values as text, each after its length; null is `n`, which no length is."""
+    texts = [F.col(c).cast("string") for c in columns]
+    return F.concat(*(F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("n")) for t in texts))
 
 
 def hash_key(columns: Sequence[str]) -> Column:
-    """A surrogate key that the same values always get."""
-    return F.md5(F.concat_ws("-", *(F.col(c).cast("string") for c in columns)))
+    """A surrogate key that the same values always get, nulls among them: ('a', null) and (null, 'a') differ."""
+    return F.md5(_measured(columns))
 
 
 def uuid_key() -> Column:

@@ -96,8 +96,10 @@ def top_n_global(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
 
 
 def latest_per(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The last row of each key in the order given; the remaining columns break ties, so that the winner is certain."""
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*")
+    ranked = F.struct(F.struct(*order).alias("order"), F.struct(*rest).alias("r"))
+    return df.groupBy(*keys).agg(F.max(ranked).alias("m")).select(*keys, "m.r.*")
 
 
 def bin_rows(df: DataFrame, order: Sequence[str], column: str, size: int) -> DataFrame:
@@ -145,9 +147,12 @@ def run_state(log: DataFrame) -> DataFrame:
 
 def mark_stale(runs: DataFrame) -> DataFrame:
     """Runs that never ended and are older than the newest running one of their process become STALE, ended when that began."""
-    newest = F.max(F.when(F.col("status") == "RUNNING", F.col("started"))).over(Window.partitionBy("process"))
+    # Aggregated before it is joined, so that the runs of one process need not meet in one task.
+    newest_of = runs.where("status = 'RUNNING'").groupBy(F.col("process").alias("__process")).agg(F.max("started").alias("__newest"))
+    newest = F.col("__newest")
     stale = (F.col("started") < newest) & (~F.col("status").isin("SUCCESS", "FAIL", "STALE") | F.col("ended").isNull())
-    return runs.withColumn("__newest", newest).withColumns({"status": F.when(stale, "STALE").otherwise(F.col("status")), "ended": F.when(stale, F.col("__newest")).otherwise(F.col("ended"))}).drop("__newest")
+    joined = runs.join(newest_of, F.col("process").eqNullSafe(F.col("__process")), "left")
+    return joined.withColumns({"status": F.when(stale, "STALE").otherwise(F.col("status")), "ended": F.when(stale, newest).otherwise(F.col("ended"))}).select(*runs.columns)
 
 
 def last_success_watermark(runs: DataFrame, processes: DataFrame, default: str = "1900-01-01 00:00:00") -> DataFrame:

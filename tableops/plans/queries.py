@@ -297,7 +297,7 @@ def default_watermark(spark, d):
 @query(f"""WITH {STAR} SELECT CAST(strptime(CAST(date_key AS VARCHAR), '%Y%m%d') AS DATE) AS order_date, round(avg(l_extendedprice) + 1e-7, 4) AS avg_price,
     round(max(l_extendedprice * l_quantity), 2) AS max_value FROM star WHERE date_key BETWEEN 19970101 AND 19970630 GROUP BY 1""")
 def date_key_agg(spark, d):
-    s = star(spark, d).where("o_orderdate >= TIMESTAMP_NTZ '1997-01-01' AND date_key BETWEEN 19970101 AND 19970630")
+    s = star(spark, d).where("o_orderdate >= TIMESTAMP_NTZ '1997-01-01' AND o_orderdate < TIMESTAMP_NTZ '1997-07-01' AND date_key BETWEEN 19970101 AND 19970630")
     return s.groupBy(C.date_key_to_date("date_key").alias("order_date")).agg(F.round(F.avg("l_extendedprice") + 1e-7, 4).alias("avg_price"), F.round(F.max(F.col("l_extendedprice") * F.col("l_quantity")), 2).alias("max_value"))
 
 
@@ -321,9 +321,10 @@ def left_enrich(spark, d):
     return table(spark, d, "customer").join(per, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).cast("long").alias("n_orders"))
 
 
-@query("SELECT DISTINCT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT DISTINCT o_custkey AS c_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def anti_join_new_keys(spark, d):
-    return table(spark, d, "customer").select("c_custkey").distinct().join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    known = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct().join(known, "c_custkey", "left_anti")
 
 
 @query("WITH a AS (SELECT user_id, event_type FROM events), b AS (SELECT user_id, event_type FROM events WHERE event_id % 3 = 0) SELECT user_id, event_type FROM a JOIN b USING (user_id, event_type)")
@@ -629,8 +630,7 @@ def table_extent(spark, d):
 
 @query("SELECT conv_id, string_agg(rtrim(text), ' | ' ORDER BY turn) AS texts FROM conversations GROUP BY conv_id")
 def ordered_string_agg(spark, d):
-    table(spark, d, "conversations").createOrReplaceTempView("__conversations")
-    return spark.sql("SELECT conv_id, listagg(rtrim(text), ' | ') WITHIN GROUP (ORDER BY turn) AS texts FROM __conversations GROUP BY conv_id")
+    return spark.sql("SELECT conv_id, listagg(rtrim(text), ' | ') WITHIN GROUP (ORDER BY turn) AS texts FROM {turns} GROUP BY conv_id", turns=table(spark, d, "conversations"))
 
 
 @query("SELECT DISTINCT user_id, event_type AS name FROM events")
@@ -765,7 +765,7 @@ def identity_resume(spark, d):
     return A.resume_identity(table(spark, d, "customer").select(F.col("c_custkey").alias("id")), table(spark, d, "supplier").select("s_name"), "id", ["s_name"])
 
 
-@query("SELECT event_id, md5(user_id || '-' || event_type) AS hash_key FROM events")
+@query("SELECT event_id, md5(length(CAST(user_id AS VARCHAR)) || ':' || user_id || length(event_type) || ':' || event_type) AS hash_key FROM events")
 def hash_key(spark, d):
     return events(spark, d).select("event_id", C.hash_key(["user_id", "event_type"]).alias("hash_key"))
 

@@ -9,11 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder path below spark.checkpoint.dir, or below a local one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder path below spark.checkpoint.dir, or on a local master below a local one where that is unset (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

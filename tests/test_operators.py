@@ -80,6 +80,33 @@ def test_row_hash_parts_columns_and_tells_null_from_empty(spark):
     assert df.select(C.row_hash(["x", "y"], legacy=True)).distinct().count() == 2
 
 
+def test_keys_and_hashes_tell_nulls_and_separators_apart(spark):
+    df = spark.createDataFrame([("a", None), (None, "a"), ("a", ""), ("a\x1fb", "c"), ("a", "b\x1fc"), ("\x00", "n"), (None, "n"), ("1:a", ""), ("n", None)], "x string, y string")
+    assert df.select(C.row_hash(["x", "y"])).distinct().count() == df.select(C.hash_key(["x", "y"])).distinct().count() == 9
+
+
+def test_latest_row_of_equal_order_is_certain(spark):
+    df = spark.createDataFrame([(1, 5, "a"), (1, 5, "b"), (2, 1, None)], "k int, t int, v string")
+    assert rows(A.latest_per(df.repartition(3), ["k"], ["t"])) == [(1, 5, "b"), (2, 1, None)]
+
+
+def test_both_date_bounds_reach_the_scan(spark, data):
+    from tableops.plans.queries import QUERIES
+
+    plan = QUERIES["date_key_agg"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(o_orderdate" in plan and "LessThan(o_orderdate" in plan
+
+
+def test_entry_without_the_corpus_libraries(tmp_path):
+    """A missing library of the corpus operators takes only their queries away."""
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['tiktoken'] = None; import __spark_entry__ as e; print(len(e.queries()) > 100, any(n.startswith('op1_') for n in e.queries()))"
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, cwd=str(__import__("pathlib").Path(__file__).resolve().parents[1]))
+    assert said.stdout.split() == ["True", "False"], said.stderr[-500:]
+
+
 def test_compare_counts_duplicates_as_a_join_would(spark):
     a = spark.createDataFrame([(1,), (1,), (2,)], "x int")
     b = spark.createDataFrame([(1,), (1,), (3,)], "x int")
