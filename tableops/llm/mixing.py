@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tableops.llm.common import ROW_HASH, ddl, matching, materialize, text_bytes, with_row_hash
+from tableops.llm.common import ROW_HASH, ddl, frugal, matching, materialize, text_bytes, with_row_hash
 
 WEIGHTS, SHARE, MAX_REPEATS = (3.0, 1.0, 2.0), 1.5, 2.0
 #: Documents that one task moves at a time.
@@ -40,7 +40,7 @@ def word_sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(t.split()) for t in text_bytes(batch.column(3))], pa.int64())], names=[key, ROW_HASH, "source", "size"])
 
     kept = with_row_hash(docs.select(key, F.col(source).cast("string").alias("source"), F.col(text).alias("__text")), "__text").select(key, ROW_HASH, "source", "__text")
-    return kept.mapInArrow(run, ddl(kept.drop("__text"), "size long"))
+    return kept.mapInArrow(frugal(run), ddl(kept.drop("__text"), "size long"))
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_repeats: float = MAX_REPEATS) -> DataFrame:

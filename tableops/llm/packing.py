@@ -29,7 +29,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tableops.llm.common import materialize, texts_of
+from tableops.llm.common import frugal, materialize, texts_of
 
 CAPACITY, END_ID = 2048, 0
 #: Rounds of pricing, passes of pricing and rounding, and the least lengths that the program places, one try each: shorter pieces fill gaps.
@@ -88,7 +88,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", t
                     columns.append(pa.array(ids, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=[key, "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
-    return kept.mapInArrow(run, fields)
+    return kept.mapInArrow(frugal(run), fields)
 
 
 def _knapsack(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableops.llm.common import ROW_HASH, attach, ddl, discard, matching, materialize, signed, small_batches, text_bytes, with_row_hash
+from tableops.llm.common import ROW_HASH, attach, ddl, discard, frugal, matching, materialize, signed, small_batches, text_bytes, with_row_hash
 
 SEED = 42
 #: Members of a shard aimed at, fingerprints compared directly, and rows the splitting thresholds are taken from.
@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 #: Near duplicates by similarity: words of a shingle, words of a fingerprint, min-hashes, search radius in bits.
 SHINGLE_WORDS, FINGERPRINT_WORDS, MIN_HASHES, RADIUS, SIMILARITY = 5, 4, 8, 64, 0.8
 #: Rows, and hashes in their shingle sets, that are compared in one task; larger shards are dealt as pairs of blocks.
-SHARD_ROWS, SHARD_HASHES = 2048, 4 << 20
+SHARD_ROWS, SHARD_HASHES = 2048, 2 << 20
 #: Sets of at most so many shingles are compared whatever their fingerprints: few shingles make those differ in many bits.
 SMALL_SET = 40
 #: Odd multipliers that make further hashes of a shingle from its first.
@@ -289,7 +289,7 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
             )
 
     kept = with_row_hash(docs.select(key, text), text).select(key, ROW_HASH, text)
-    return kept.mapInArrow(run, ddl(kept.select(key, ROW_HASH), "node long", "size long", *(f"{f} long" for f in _FP), "mins array<long>", "small array<long>"))
+    return kept.mapInArrow(frugal(run), ddl(kept.select(key, ROW_HASH), "node long", "size long", *(f"{f} long" for f in _FP), "mins array<long>", "small array<long>"))
 
 
 def _rarest(nodes: DataFrame, similarity: float) -> DataFrame:
@@ -427,7 +427,7 @@ def cross_links(blocks: DataFrame) -> DataFrame:
                 at = pa.array(np.concatenate(where))
                 yield pa.RecordBatch.from_arrays([*(table[c].combine_chunks().take(at) for c in _BLOCK_KEY), pa.array(np.concatenate(first)), pa.concat_arrays(second)], names=[*_BLOCK_KEY, "a", "b"])
 
-    return _ordered(blocks).mapInArrow(search, "shard long, own int, other int, a long, b long")
+    return _ordered(blocks).mapInArrow(frugal(search), "shard long, own int, other int, a long, b long")
 
 
 def linked_sets(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
@@ -436,8 +436,9 @@ def linked_sets(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[
     Each set looks only for those that no other has reached, so a cluster of near copies costs about one look each.
     """
     sizes = np.array([len(s) for s in sets])
-    of = np.repeat(np.arange(len(sets)), sizes)
+    of = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
     _, number, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = number.astype(np.int32)
     # A set can only be linked through elements that another one has, and must have so many of them.
     shared = often[number] > 1
     enough = np.bincount(of[shared], minlength=len(sets)) >= similarity * sizes - 1e-9
@@ -471,7 +472,7 @@ def block_links(crowded: DataFrame, sets: DataFrame, similarity: float = SIMILAR
             found = [(node[lo + x], node[lo + y]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True) for x, y in linked_sets([flat[at[k] : at[k + 1]] for k in range(lo, hi)], similarity)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
-    return _ordered(crowded.join(sets, "node")).mapInArrow(search, "a long, b long")
+    return _ordered(crowded.join(sets, "node")).mapInArrow(frugal(search), "a long, b long")
 
 
 def merged_blocks(crowded: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -500,7 +501,7 @@ def shingle_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, key: str,
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([signed(s) for s in found], pa.list_(pa.int64()))], names=["node", "shingles"])
 
     # Rows repeated whole give a node twice.
-    return linked.select(text).mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+    return linked.select(text).mapInArrow(frugal(run), "node long, shingles array<long>").dropDuplicates(["node"])
 
 
 def verified_links(links: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableops.llm.common import ddl, materialize, texts_of
+from tableops.llm.common import ddl, frugal, materialize, texts_of
 
 #: Labelled documents the model is fitted on (the least by hash of their ids), and features kept.
 SAMPLE_DOCS, MAX_FEATURES = 20_000, 4_000
@@ -291,7 +291,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", ke
                 spans.append([{"s": m.start(), "e": m.end()} for k, m in enumerate(_TOKEN.finditer(text)) if k in toxic] if toxic else [])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array(spans, span)], names=[*keep, "score", "spans"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(frugal(run), schema)
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, text: str = "text", least: float = 0.5) -> DataFrame:
@@ -305,4 +305,4 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, text: str = "text", least:
             clean = [tagger.score(tagger.weight(t)[0]) < least for t in texts_of(batch.column(at))]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
