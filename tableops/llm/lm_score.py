@@ -30,7 +30,7 @@ from tableops.llm.common import ddl, materialize, text_bytes
 
 WINDOW, VOCABULARY, RARE_BUCKETS, CLASS_WORDS, WIDTH, HIDDEN = 2, 16_384, 64, 128, 16, 32
 #: Words whose counts are sent to every task (some 100 bytes each); the others' are joined.
-HEAD_COUNTS = 1 << 18
+HEAD_COUNTS = 1 << 16
 #: Rounds of averaging, step size, tokens of a minibatch.
 ROUNDS, STEP, MINIBATCH = 4, 1.0, 2048
 EDGE = 0  # the id beside the first and last word of a text
@@ -197,10 +197,12 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     the other words and how often each stands there.
     """
     counts = materialize(count_words(docs, text), "word-counts")
-    top = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(HEAD_COUNTS).collect()]
+    top = counts.orderBy(F.desc("n"), "word").limit(HEAD_COUNTS).toArrow()  # columns, not Row objects: the driver is small
+    words, times = top["word"].to_pylist(), top["n"].to_pylist()
     tokens = counts.agg(F.sum("n")).first()[0] or 0
-    vocabulary = Vocabulary(top[:VOCABULARY], tokens - sum(n for _, n in top[:VOCABULARY]))
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, {w: float(np.log(n)) for w, n in top[VOCABULARY:]}))
+    vocabulary = Vocabulary(list(zip(words, times, strict=True))[:VOCABULARY], tokens - sum(times[:VOCABULARY]))
+    logs = dict(zip(words[VOCABULARY:], np.log(times[VOCABULARY:]).tolist(), strict=True))
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, logs))
     kept = docs.select(key, F.monotonically_increasing_id().alias("row"), text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
