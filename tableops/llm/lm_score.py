@@ -31,11 +31,11 @@ from tableops.llm.common import ddl, materialize, text_bytes
 WINDOW, VOCABULARY, RARE_BUCKETS, CLASS_WORDS, WIDTH, HIDDEN = 2, 16_384, 64, 128, 16, 32
 #: Words whose counts are sent to every task (some 100 bytes each); the others' are joined.
 HEAD_COUNTS = 1 << 16
-#: Rounds of averaging, step size, tokens of a minibatch.
-ROUNDS, STEP, MINIBATCH = 4, 1.0, 2048
+#: Rounds of averaging, step size, tokens of a minibatch; how much longer the steps of a class's weights may be, and those of embeddings are.
+ROUNDS, STEP, MINIBATCH, LIFT, EMBED_LIFT = 4, 1.5, 4096, 32.0, 80.0
 EDGE = 0  # the id beside the first and last word of a text
 #: Distinct words that a task counts before it hands them on; tokens scored at a time.
-COUNTED_WORDS, _CHUNK = 300_000, 8192
+COUNTED_WORDS, _CHUNK = 300_000, 16_384
 
 
 def tokens_of(raw: bytes) -> list[bytes]:
@@ -107,14 +107,13 @@ class WindowNetwork:
         x = self.embed[context].reshape(len(context), -1)
         return x, np.tanh(x @ self.w1 + self.b1)
 
-    def _by_class(self, of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Each class of the vocabulary among the tokens, and its tokens."""
+    def _by_class(self, of: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """The tokens in order of class, and each class of the vocabulary with its slice of that order."""
         order = np.argsort(of, kind="stable")
         ordered = of[order]
-        cuts = np.flatnonzero(np.diff(ordered)) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(of)], strict=True):
-            if b > a and ordered[a] != self.vocabulary.rare_class:
-                yield int(ordered[a]), order[a:b]
+        cuts = [0, *(np.flatnonzero(np.diff(ordered)) + 1).tolist(), len(of)]
+        classes = [(int(ordered[a]), a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+        return order, [x for x in classes if x[0] != self.vocabulary.rare_class]
 
     def log_probs(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Log-probability of each token in its context; of a rare word that of one with a count of one."""
@@ -123,10 +122,14 @@ class WindowNetwork:
         z = h @ self.wc + self.bc
         z -= z.max(axis=1, keepdims=True)
         out = z[np.arange(len(of)), of] - np.log(np.exp(z).sum(axis=1))
-        for c, who in self._by_class(of):
-            z = h[who] @ self.ww[c] + self.bw[c]
+        order, classes = self._by_class(of)
+        h, place, inside, rows = h[order], place[order], np.zeros(len(of), np.float32), np.arange(len(of))
+        for c, a, b in classes:
+            z = h[a:b] @ self.ww[c]
+            z += self.bw[c]
             z -= z.max(axis=1, keepdims=True)
-            out[who] += z[np.arange(len(who)), place[who]] - np.log(np.exp(z).sum(axis=1))
+            inside[a:b] = z[rows[: b - a], place[a:b]] - np.log(np.exp(z, out=z).sum(axis=1))
+        out[order] += inside
         out[of == self.vocabulary.rare_class] -= np.log(max(self.vocabulary.rare_tokens, 1))
         return out
 
@@ -143,26 +146,29 @@ class WindowNetwork:
         dh = d @ self.wc.T
         self.wc -= step * (h.T @ d)
         self.bc -= step * d.sum(axis=0)
-        for c, who in self._by_class(of):
-            hc = h[who]
-            d = hc @ self.ww[c] + self.bw[c]
+        order, classes = self._by_class(of)
+        ordered, place, inside, rows = h[order], place[order], np.zeros_like(h), np.arange(len(of))
+        for c, a, b in classes:
+            d = ordered[a:b] @ self.ww[c]
+            d += self.bw[c]
             d -= d.max(axis=1, keepdims=True)
             np.exp(d, out=d)
             d /= d.sum(axis=1, keepdims=True)
-            d[np.arange(len(who)), place[who]] -= 1
+            d[rows[: b - a], place[a:b]] -= 1
             d /= len(of)
-            dh[who] += d @ self.ww[c].T
+            np.matmul(d, self.ww[c].T, out=inside[a:b])
             # A class meets few of a batch's tokens: its own weights take longer steps.
-            lift = step * min(8.0, len(of) / len(who))
-            self.ww[c] -= lift * (hc.T @ d)
-            self.bw[c] -= lift * d.sum(axis=0)
+            d *= np.float32(step * min(LIFT, len(of) / (b - a)))
+            self.ww[c] -= ordered[a:b].T @ d
+            self.bw[c] -= d.sum(axis=0)
+        dh[order] += inside
         dh *= 1 - h * h
         dx = (dh @ self.w1.T).reshape(-1, WIDTH)
         self.w1 -= step * (x.T @ dh)
         self.b1 -= step * dh.sum(axis=0)
         # Single numbers are added several times faster than rows.
         at = context.reshape(-1, 1).astype(np.int64) * WIDTH + np.arange(WIDTH)
-        np.add.at(self.embed.reshape(-1), at.ravel(), -20 * step * dx.ravel())
+        np.add.at(self.embed.reshape(-1), at.ravel(), -EMBED_LIFT * step * dx.ravel())
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n in self.NAMES]).astype(np.float32)
