@@ -107,68 +107,73 @@ class WindowNetwork:
         x = self.embed[context].reshape(len(context), -1)
         return x, np.tanh(x @ self.w1 + self.b1)
 
-    def _by_class(self, of: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-        """The tokens in order of class, and each class of the vocabulary with its slice of that order."""
-        order = np.argsort(of, kind="stable")
-        ordered = of[order]
-        cuts = [0, *(np.flatnonzero(np.diff(ordered)) + 1).tolist(), len(of)]
-        classes = [(int(ordered[a]), a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
-        return order, [x for x in classes if x[0] != self.vocabulary.rare_class]
+    def _by_class(self, context: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """The order of tokens by class; contexts, classes and places in it; each class of the vocabulary with its slice."""
+        of, place = self.vocabulary.places(token)
+        order = np.argsort(of.astype(np.int16), kind="stable")
+        of = of[order]
+        cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+        classes = [(int(of[a]), a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+        return order, context[order], of, place[order], [x for x in classes if x[0] != self.vocabulary.rare_class]
+
+    @staticmethod
+    def _exponentials(h: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """z = h @ w + b, its exp, and the row sums of that; shifted by the row's maximum only where a sum would leave the range of floats."""
+        z = h @ w
+        z += b
+        with np.errstate(over="ignore"):
+            e = np.exp(z)
+        sums = e.sum(axis=1)
+        if not (sums.min() > 1e-20 and sums.max() < 1e20):
+            z -= z.max(axis=1, keepdims=True)
+            e = np.exp(z)
+            sums = e.sum(axis=1)
+        return z, e, sums
 
     def log_probs(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Log-probability of each token in its context; of a rare word that of one with a count of one."""
+        order, context, of, place, classes = self._by_class(context, token)
         _, h = self._hidden(context)
-        of, place = self.vocabulary.places(token)
-        z = h @ self.wc + self.bc
-        z -= z.max(axis=1, keepdims=True)
-        out = z[np.arange(len(of)), of] - np.log(np.exp(z).sum(axis=1))
-        order, classes = self._by_class(of)
-        h, place, inside, rows = h[order], place[order], np.zeros(len(of), np.float32), np.arange(len(of))
+        rows = np.arange(len(of))
+        z, _, sums = self._exponentials(h, self.wc, self.bc)
+        found = z[rows, of] - np.log(sums)
         for c, a, b in classes:
-            z = h[a:b] @ self.ww[c]
-            z += self.bw[c]
-            z -= z.max(axis=1, keepdims=True)
-            inside[a:b] = z[rows[: b - a], place[a:b]] - np.log(np.exp(z, out=z).sum(axis=1))
-        out[order] += inside
-        out[of == self.vocabulary.rare_class] -= np.log(max(self.vocabulary.rare_tokens, 1))
+            z, _, sums = self._exponentials(h[a:b], self.ww[c], self.bw[c])
+            found[a:b] += z[rows[: b - a], place[a:b]] - np.log(sums)
+        found[of == self.vocabulary.rare_class] -= np.log(max(self.vocabulary.rare_tokens, 1))
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def train(self, context: np.ndarray, token: np.ndarray, step: float) -> None:
         """One step along the gradient of the mean log-probability of the tokens."""
+        _, context, of, place, classes = self._by_class(context, token)
         x, h = self._hidden(context)
-        of, place = self.vocabulary.places(token)
-        d = h @ self.wc + self.bc
-        d -= d.max(axis=1, keepdims=True)
-        np.exp(d, out=d)
-        d /= d.sum(axis=1, keepdims=True)
-        d[np.arange(len(of)), of] -= 1
-        d /= len(of)
+        rows, share = np.arange(len(of)), np.float32(1 / max(len(of), 1))
+        _, d, sums = self._exponentials(h, self.wc, self.bc)
+        d *= (share / sums)[:, None]
+        d[rows, of] -= share
         dh = d @ self.wc.T
         self.wc -= step * (h.T @ d)
         self.bc -= step * d.sum(axis=0)
-        order, classes = self._by_class(of)
-        ordered, place, inside, rows = h[order], place[order], np.zeros_like(h), np.arange(len(of))
         for c, a, b in classes:
-            d = ordered[a:b] @ self.ww[c]
-            d += self.bw[c]
-            d -= d.max(axis=1, keepdims=True)
-            np.exp(d, out=d)
-            d /= d.sum(axis=1, keepdims=True)
-            d[rows[: b - a], place[a:b]] -= 1
-            d /= len(of)
-            np.matmul(d, self.ww[c].T, out=inside[a:b])
+            _, d, sums = self._exponentials(h[a:b], self.ww[c], self.bw[c])
+            d *= (share / sums)[:, None]
+            d[rows[: b - a], place[a:b]] -= share
+            dh[a:b] += d @ self.ww[c].T
             # A class meets few of a batch's tokens: its own weights take longer steps.
-            d *= np.float32(step * min(LIFT, len(of) / (b - a)))
-            self.ww[c] -= ordered[a:b].T @ d
-            self.bw[c] -= d.sum(axis=0)
-        dh[order] += inside
+            longer = np.float32(step * min(LIFT, len(of) / (b - a)))
+            self.ww[c] -= (h[a:b] * longer).T @ d
+            self.bw[c] -= longer * d.sum(axis=0)
         dh *= 1 - h * h
         dx = (dh @ self.w1.T).reshape(-1, WIDTH)
         self.w1 -= step * (x.T @ dh)
         self.b1 -= step * dh.sum(axis=0)
-        # Single numbers are added several times faster than rows.
-        at = context.reshape(-1, 1).astype(np.int64) * WIDTH + np.arange(WIDTH)
-        np.add.at(self.embed.reshape(-1), at.ravel(), -EMBED_LIFT * step * dx.ravel())
+        # The gradients of equal words are added up first.
+        ids = context.ravel()
+        order = np.argsort(ids, kind="stable")
+        first = np.flatnonzero(np.diff(ids[order], prepend=-1))
+        self.embed[ids[order[first]]] -= np.float32(EMBED_LIFT * step) * np.add.reduceat(dx[order], first, axis=0)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n in self.NAMES]).astype(np.float32)
