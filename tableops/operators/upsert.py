@@ -69,6 +69,32 @@ def apply_changes(target: DataFrame, feed: DataFrame, keys: Sequence[str], seque
     return out if delete_when is None else out.join(gone.select(*keys), list(keys), "left_anti").select(*columns)
 
 
+def apply_changes_versions(target: DataFrame, feed: DataFrame, keys: Sequence[str], sequence: str, delete_when: Column | None = None) -> DataFrame:
+    """A versioned target after a change feed: each change opens a version from its sequence value on, a delete only closes one.
+
+    target has those columns of the feed that are kept, and _start, _end, _is_current. Closed versions pass through.
+    Changes that alter nothing, deletes of keys without a current version, and changes not after the start of the key's
+    current version are left out; equal sequence values of a key go by their other columns. Null keys count as one key.
+    """
+    columns = target.columns
+    data = [c for c in columns if c not in ("_start", "_end", "_is_current")]
+    compare = [c for c in data if c not in keys]
+    kinds = dict(target.dtypes)
+    gone = F.lit(False) if delete_when is None else F.coalesce(delete_when, F.lit(False))
+    changes = feed.select(*(F.col(c).cast(kinds[c]).alias(c) for c in data), F.col(sequence).cast(kinds["_start"]).alias("_start"), gone.alias("__gone"), F.lit(False).alias("__old"))
+    current = target.where("_is_current").select(*data, "_start", F.lit(False).alias("__gone"), F.lit(True).alias("__old"))
+    of_key = Window.partitionBy(*keys)
+    order = of_key.orderBy("_start", F.desc("__old"), "__gone", *compare)
+    since = F.max(F.when(F.col("__old"), F.col("_start"))).over(of_key)
+    rows = current.unionByName(changes).withColumn("__since", since).where(F.col("__old") | F.col("__since").isNull() | (F.col("_start") > F.col("__since")))
+    moved = F.coalesce(F.lag("__gone").over(order), F.lit(True)) != F.col("__gone")
+    for c in compare:
+        moved = moved | (~F.col("__gone") & ~F.col(c).eqNullSafe(F.lag(c).over(order)))
+    end = F.lead("_start").over(order)
+    open_rows = rows.withColumn("__moved", moved).where("__moved").withColumn("_end", end).where("NOT __gone")
+    return target.where("NOT _is_current").unionByName(open_rows.withColumn("_is_current", F.col("_end").isNull()).select(*columns))
+
+
 def _differs(compare: Sequence[str], a: str, b: str) -> Column:
     out = F.lit(False)
     for c in compare:

@@ -447,9 +447,19 @@ def scd2_from_history(spark, d):
     return _history(spark, d)
 
 
-@query(f"WITH {_HISTORY} SELECT {_VERSION} FROM history")
+_CHANGED = f"""{_HISTORY.replace("FROM events)", "FROM events WHERE ts < TIMESTAMP '2024-01-15')", 1)},
+  late AS (SELECT user_id, event_type, CAST(floor(value / 50) AS BIGINT) AS band, ts FROM events WHERE ts >= TIMESTAMP '2024-01-15'),
+  changes AS (SELECT user_id, event_type, band, _start, false AS gone FROM history WHERE _is_current UNION ALL SELECT user_id, event_type, band, ts, band = 0 FROM late),
+  steps AS (SELECT *, coalesce(lag(gone) OVER w, true) <> gone OR (NOT gone AND band IS DISTINCT FROM lag(band) OVER w) AS is_new FROM changes WINDOW w AS (PARTITION BY user_id, event_type ORDER BY _start)),
+  ends AS (SELECT *, lead(_start) OVER (PARTITION BY user_id, event_type ORDER BY _start) AS _end FROM steps WHERE is_new),
+  changed AS (SELECT {_VERSION} FROM history WHERE NOT _is_current UNION ALL SELECT user_id, event_type, band, _start, _end, _end IS NULL FROM ends WHERE NOT gone)"""
+
+
+@query(f"WITH {_CHANGED} SELECT {_VERSION} FROM changed")
 def apply_changes_scd2(spark, d):
-    return _history(spark, d)
+    feed = keyed(spark, d).where("ts >= TIMESTAMP_NTZ '2024-01-15'")
+    old = _history(spark, d, "ts < TIMESTAMP_NTZ '2024-01-15'")
+    return U.apply_changes_versions(old, feed, ["user_id", "event_type"], "ts", delete_when=F.col("band") == 0)
 
 
 _MERGED = f"""{_HISTORY.replace("FROM events)", "FROM events WHERE ts < TIMESTAMP '2024-01-15')", 1)},
