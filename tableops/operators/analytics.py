@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tableops.functions.columns import ntz
@@ -186,8 +186,13 @@ def zorder_write(df: DataFrame, path: str, columns: Sequence[str], files: int, b
     marked.repartitionByRange(files, "__z").sortWithinPartitions("__z").drop("__z", *(f"__b_{c}" for c in columns)).write.mode("overwrite").parquet(path)
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the files at path, summed by Spark from their listing; contents are not read."""
+    return spark.read.format("binaryFile").load(path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
 def compact(df: DataFrame, path: str, total_bytes: int, target_bytes: int = 128 << 20) -> int:
-    """Rewrites df as files of about the target size; returns their number."""
+    """Rewrites df, stored in total_bytes (see stored_bytes), as files of about the target size; returns their number."""
     files = max(1, -(-total_bytes // target_bytes))
     df.repartition(files).write.mode("overwrite").parquet(path)
     return files

@@ -808,7 +808,7 @@ def run_metrics_latest(spark, d):
 @query("SELECT count(*) AS n_rows, 1 AS n_files FROM events")
 def compact_rowcount(spark, d):
     path = work_dir(spark, "compacted")
-    A.compact(events(spark, d), path, total_bytes=1 << 20)
+    A.compact(events(spark, d), path, A.stored_bytes(spark, f"{d}/events.parquet"))
     back = spark.read.parquet(path)
     return back.agg(F.count("*").alias("n_rows"), F.countDistinct("_metadata.file_path").cast("int").alias("n_files"))
 

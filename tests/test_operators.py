@@ -220,3 +220,12 @@ def test_changes_of_versions(spark):
     want = [("a", 0, 1, 5, False), ("a", 1, 5, 7, False), ("a", 3, 7, None, True), ("b", 2, 5, 8, False), ("b", 2, 9, None, True), ("d", 9, 1, 3, False), ("d", None, 4, None, True)]
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
     assert U.apply_changes_versions(old.limit(0), feed.limit(0), ["k"], "at").count() == 0
+
+
+def test_compact_sizes_files_by_what_is_stored(spark, tmp_path):
+    path = str(tmp_path / "many")
+    spark.range(20_000).repartition(12).write.parquet(path)
+    total = A.stored_bytes(spark, path)
+    assert total == sum(p.stat().st_size for p in (tmp_path / "many").glob("*.parquet"))
+    files = A.compact(spark.read.parquet(path), str(tmp_path / "few"), total, target_bytes=total // 3 + 1)
+    assert files == 3 == len(list((tmp_path / "few").glob("*.parquet"))) and spark.read.parquet(str(tmp_path / "few")).distinct().count() == 20_000
