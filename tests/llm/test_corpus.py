@@ -94,7 +94,28 @@ def test_packing_plan_beats_best_fit_decreasing():
 def test_tokens_are_those_of_the_file(text):
     from tokenizers import Tokenizer
 
-    assert packing._encoding(TOKENS).encode(text, allowed_special="all") == Tokenizer.from_file(TOKENS).encode(text, add_special_tokens=False).ids
+    assert packing.token_ids(TOKENS)(text) == Tokenizer.from_file(TOKENS).encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", [" " * 3_000_000, "\n" * 3_000_000, " " * 3_000_000 + "a", "b" + "\n" * 3_000_000 + "a c", "x" * 3_000_000])
+def test_very_long_white_space_is_packed(spark, text):
+    """Ids are those of the file, and no row, however long, fails the query."""
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(TOKENS).encode(text, add_special_tokens=False).ids
+    assert packing.token_ids(TOKENS)(text) == want
+    docs = spark.createDataFrame([(1,), (2,)], "doc_id long").withColumn("text", F.when(F.col("doc_id") == 1, F.repeat(F.lit(text[:1]), len(text) - 1)).otherwise("a few words"))
+    got = packing.tokenize_pieces(docs, TOKENS).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    alone = Tokenizer.from_file(TOKENS).encode(text[:1] * (len(text) - 1), add_special_tokens=False).ids
+    assert {r.doc_id: r.n for r in got}[1] == len(alone) + 1
+
+
+def test_a_file_of_another_kind_is_run_as_it_is():
+    from tokenizers import Tokenizer
+
+    other = public_tokenizers.path("word_bpe_49k.json")
+    assert packing.token_ids(other)("Some  Words, 123") == Tokenizer.from_file(other).encode("Some  Words, 123", add_special_tokens=False).ids
+    packing.token_ids.cache_clear()
 
 
 def test_packing_edges(spark, edge):
