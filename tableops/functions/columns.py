@@ -81,10 +81,10 @@ def row_hash(columns: Sequence[str], bits: int = 512, legacy: bool = False) -> C
     """
     if legacy:
         return F.sha2(F.concat(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), bits)
-    return F.sha2(_measured(columns), bits)
+    return F.sha2(measured_text(columns), bits)
 
 
-def _measured(columns: Sequence[str]) -> Column:
+def measured_text(columns: Sequence[str]) -> Column:
     """Values as text, each after its length; null is `n`, which no length is."""
     texts = [F.col(c).cast("string") for c in columns]
     return F.concat(*(F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("n")) for t in texts))
@@ -92,7 +92,7 @@ def _measured(columns: Sequence[str]) -> Column:
 
 def hash_key(columns: Sequence[str]) -> Column:
     """A surrogate key that the same values always get, nulls among them: ('a', null) and (null, 'a') differ."""
-    return F.md5(_measured(columns))
+    return F.md5(measured_text(columns))
 
 
 def uuid_key() -> Column:

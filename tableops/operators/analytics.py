@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tableops.functions.columns import ntz
-from tableops.workdir import work_dir
+from tableops.workdir import delete_folder, move_files, work_dir
 
 
 def averages(columns: Sequence[str]) -> list[Column]:
@@ -198,6 +199,65 @@ def compact(df: DataFrame, path: str, total_bytes: int, target_bytes: int = 128
     return files
 
 
+#: Files that are packed into bins together: a group of a listing, in one task.
+LISTED = 10_000
+
+
+def plan_compaction(files: DataFrame, target_bytes: int = 128 << 20, small_share: float = 0.75) -> DataFrame:
+    """path and bin of the files (path, length) under small_share of the target: bins of at most the target, first-fit decreasing.
+
+    Files of one folder share bins; a large folder's listing is packed in groups of about LISTED. A bin of one file is left out.
+    """
+    small = files.where(F.col("length") < small_share * target_bytes).withColumn("folder", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
+    groups = small.groupBy("folder").agg((F.floor(F.count("*") / LISTED) + 1).alias("groups"))
+    dealt = small.join(groups, "folder").withColumn("part", F.pmod(F.xxhash64("path"), F.col("groups")))
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["length", "path"], ascending=[False, True])
+        room: list[int] = []
+        bins = []
+        for length in rows["length"]:
+            k = next((k for k, r in enumerate(room) if r >= length), len(room))
+            if k == len(room):
+                room.append(target_bytes)
+            room[k] -= length
+            bins.append(k)
+        rows = rows.assign(bin=bins)
+        return rows[rows.groupby("bin")["path"].transform("size") > 1][["path", "length", "folder", "part", "bin"]]
+
+    return dealt.groupBy("folder", "part").applyInPandas(pack, "path string, length long, folder string, part long, bin int")
+
+
+def compact_small(spark: SparkSession, path: str, target_bytes: int = 128 << 20, small_share: float = 0.75) -> int:
+    """Rewrites the small files of a Parquet folder as files of about the target size, and leaves the others as they are; returns the number of new files.
+
+    Rows of a bin go to one new file; large files are not read. New files are written beside the folder and moved in once they are
+    complete, then the old ones are deleted: a reader in between meets rows twice, so none should read meanwhile (or read a
+    StoredTable, whose merges do as much by their commits). Partition columns aren't known here: compact each such folder by itself.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select(F.col("_metadata.file_path").alias("path"), "length")
+    staged, plan_path = work_dir(spark, "compacting"), work_dir(spark, "plan")
+    plan_compaction(listed, target_bytes, small_share).write.parquet(plan_path)
+    plan = spark.read.parquet(plan_path).select("path", F.concat_ws("-", F.col("part").cast("string"), F.col("bin").cast("string")).alias("bin"))
+    bins = plan.select("bin").distinct().count()
+    if not bins:
+        return 0
+    # The size is in the listing, so that large files aren't opened; the join picks those that share a bin.
+    few = spark.read.parquet(path).where(F.col("_metadata.file_size") < int(small_share * target_bytes)).select("*", F.col("_metadata.file_path").alias("__path"))
+    named = few.join(plan.select(F.col("path").alias("__path"), F.col("bin").alias("__bin")), "__path").drop("__path")
+    named.repartition(bins, "__bin").write.partitionBy("__bin").option("maxRecordsPerFile", 0).parquet(staged)
+    old = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path", F.col("_metadata.file_path").alias("__path"))
+    gone = old.join(plan.select(F.col("path").alias("__path")), "__path", "left_semi").select("path")
+    gone_path = work_dir(spark, "gone")
+    gone.write.parquet(gone_path)
+    made = move_files(spark, f"{staged}/*/*.parquet", path)
+    for row in spark.read.parquet(gone_path).toLocalIterator():  # names only, a part of them at a time
+        delete_folder(spark, row["path"])
+    for folder in (staged, plan_path, gone_path):
+        delete_folder(spark, folder)
+    return made
+
+
 def write_with_bloom(df: DataFrame, path: str, columns: Sequence[str], distinct: int = 1_000_000) -> None:
     writer = df.write.mode("overwrite")
     for c in columns:

@@ -19,6 +19,17 @@ def dedup_latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ti
     return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
+def unique_keys(source: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """source, failing when it is read if a key without nulls occurs more than once."""
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    said = F.concat(F.lit("repeated source key: "), F.to_json(F.struct(*keys)))
+    first = F.when(F.col("__times") > 1, F.raise_error(said)).otherwise(F.col(keys[0]))
+    times = F.count(F.when(whole, 1)).over(Window.partitionBy(*keys))
+    return source.withColumn("__times", times).withColumn(keys[0], first).drop("__times")
+
+
 def upsert(
     target: DataFrame,
     source: DataFrame,
@@ -28,14 +39,17 @@ def upsert(
     faithful_on: bool = False,
     target_pred: Column | None = None,
     source_rows: int | None = None,
+    checked: bool = False,
 ) -> DataFrame:
     """Rows of source with a key in target update update_cols (all others by default); the rest are inserted.
 
     condition is SQL over t (target row) and s (source row) that a match must meet to update; with faithful_on
     it is part of the match itself, so that a row that fails it is inserted beside the old one. target_pred limits
-    the target rows that can match. Null keys match nothing. Source keys must be unique. With source_rows known and
-    small the source is broadcast, and the target is not shuffled.
+    the target rows that can match. Null keys match nothing. A repeated source key is an error, found in the source's own
+    shuffle, unless the caller has `checked` that there is none. With source_rows known and small the source is broadcast, and
+    the target is not shuffled.
     """
+    source = source if checked else unique_keys(source, keys)
     columns = target.columns
     update = [c for c in columns if c not in keys] if update_cols is None else list(update_cols)
     src = source.select(*(F.col(c).cast(target.schema[c].dataType).alias(c) for c in columns))
@@ -59,40 +73,107 @@ def upsert(
     return joined.select(*(x.alias(c) for c, x in merged.items())).unionByName(inserts)
 
 
-def apply_changes(target: DataFrame, feed: DataFrame, keys: Sequence[str], sequence: str, delete_when: Column | None = None, except_cols: Sequence[str] = ()) -> DataFrame:
-    """Target after a change feed: the last change of a key by sequence wins; a delete removes it."""
-    latest = dedup_latest(feed, keys, [F.col(sequence).desc()])
-    gone = latest.where(F.lit(False) if delete_when is None else F.coalesce(delete_when, F.lit(False)))
-    stay = latest if delete_when is None else latest.where(~F.coalesce(delete_when, F.lit(False)))
-    columns = [c for c in target.columns if c not in except_cols]
-    out = upsert(target.select(*columns), stay.select(*columns), keys)
-    return out if delete_when is None else out.join(gone.select(*keys), list(keys), "left_anti").select(*columns)
+def apply_changes(target: DataFrame, feed: DataFrame, keys: Sequence[str], sequence: str, delete_when: Column | None = None, except_cols: Sequence[str] = (), tombstones: bool = False) -> DataFrame:
+    """Target after a change feed: of the target's row and the changes of a key the last by sequence stands; a delete removes it.
+
+    An older change never wins over a newer row, if the target has the sequence column (else the feed always wins). Of equal
+    sequence values a delete wins, then the greater remaining columns, so that the parts of a feed may come in any order, and
+    repeatedly. With tombstones the result has `_deleted` and keeps deleted rows, and so must the target of the next call: only then
+    do changes older than a delete stay away. Null keys count as one key. Target and feed are each read and shuffled once.
+    """
+    columns = [c for c in target.columns if c not in except_cols and c != "_deleted"]
+    kinds = dict(target.dtypes)
+    gone = F.lit(False) if delete_when is None else F.coalesce(delete_when, F.lit(False))
+    old_gone = F.coalesce("_deleted", F.lit(False)) if "_deleted" in target.columns else F.lit(False)
+    moved = sequence in columns
+    order = [*([] if moved else ["__sequence"]), *columns, "_deleted"]
+    read = [F.col(c).cast(kinds[c]).alias(c) for c in columns]
+    changes = feed.select(*read, gone.alias("_deleted"), *([] if moved else [F.col(sequence).alias("__sequence")]))
+    by = sequence if moved else "__sequence"
+    rest = [c for c in order if c not in keys and c not in (by, "_deleted")]
+    latest = dedup_latest(changes, keys, [F.col(by).desc_nulls_last(), F.col("_deleted").desc(), *(F.col(c).desc_nulls_last() for c in rest)], tie=False)
+    row = F.struct(*columns, "_deleted")
+    t = target.select(*columns, old_gone.alias("_deleted")).select(row.alias("t"), *keys)
+    s = latest.select(row.alias("s"), *(F.col(k).alias(f"__{k}") for k in keys))
+    both = t.join(s, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "full")
+    place = lambda side: F.struct(*(F.col(f"{side}.{c}") for c in (sequence, "_deleted", *rest)))
+    newer = place("s") > place("t") if moved else F.lit(True)
+    stands = F.when(F.col("s").isNull(), F.col("t")).when(F.col("t").isNull() | newer, F.col("s")).otherwise(F.col("t"))
+    out = both.select(stands.alias("r")).select("r.*")
+    return out if tombstones else out.where("NOT _deleted").drop("_deleted")
+
+
+#: Columns that a versioned table has beside its data; one that keeps its change points also has _kind.
+VERSION = ("_start", "_end", "_is_current")
+
+
+def _spliced(points: DataFrame, data: Sequence[str], keys: Sequence[str], compare: Sequence[str]) -> DataFrame:
+    """Versions of keys from their change points (data, _start, __gone), with _kind: version, same (changes nothing) or delete.
+
+    Of points of one key and time one stands: a delete, else the greatest by its data. So the result depends on the set of
+    points alone, whatever the order or the number of calls that brought them together.
+    """
+    rest = [c for c in data if c not in keys]
+    one = F.row_number().over(Window.partitionBy(*keys, "_start").orderBy(F.desc("__gone"), *(F.col(c).desc_nulls_last() for c in rest)))
+    points = points.withColumn("__one", one).where("__one = 1").drop("__one")
+    order = Window.partitionBy(*keys).orderBy("_start")
+    after_gap = F.coalesce(F.lag("__gone").over(order), F.lit(True))
+    moved = F.lit(False)
+    for c in compare:
+        moved = moved | ~F.col(c).eqNullSafe(F.lag(c).over(order))
+    kind = F.when(F.col("__gone"), "delete").when(after_gap | moved, "version").otherwise("same")
+    shown = points.withColumn("_kind", kind).withColumn("__same", F.col("_kind") == "same")
+    end = F.when(F.col("_kind") == "version", F.lead("_start").over(Window.partitionBy(*keys, "__same").orderBy("_start")))
+    shown = shown.withColumn("_end", end)
+    return shown.select(*data, "_start", "_end", ((F.col("_kind") == "version") & F.col("_end").isNull()).alias("_is_current"), "_kind")
+
+
+def splice_changes(state: DataFrame, feed: DataFrame, keys: Sequence[str], sequence: str, compare: Sequence[str] | None = None, delete_when: Column | None = None) -> DataFrame:
+    """A versioned table that keeps its change points, after more of a feed, in whatever order its parts come.
+
+    state has the kept columns of the feed, _start, _end, _is_current and _kind; rows of kind `same` and `delete` are change points
+    that no reader sees (see scd2_versions). They are what makes a late change exact: it opens a version between two others,
+    cuts the earlier one short and ends where the next change begins, also where that one had changed nothing before. Late
+    deletes close. Changes that come again alter nothing. Null keys count as one key.
+    """
+    data = [c for c in state.columns if c not in (*VERSION, "_kind")]
+    kinds = dict(state.dtypes)
+    gone = F.lit(False) if delete_when is None else F.coalesce(delete_when, F.lit(False))
+    known = state.select(*data, "_start", (F.col("_kind") == "delete").alias("__gone"))
+    come = feed.select(*(F.col(c).cast(kinds[c]).alias(c) for c in data), F.col(sequence).cast(kinds["_start"]).alias("_start"), gone.alias("__gone"))
+    return _spliced(known.unionByName(come), data, keys, compare or [c for c in data if c not in keys])
+
+
+def scd2_versions(state: DataFrame) -> DataFrame:
+    """What readers see of a versioned table that keeps its change points."""
+    return state.where("_kind = 'version'").drop("_kind")
+
+
+def forget_points(state: DataFrame, before: Column) -> DataFrame:
+    """state without the change points that no change after `before` can make matter: those that changed nothing until then."""
+    return state.where(~((F.col("_kind") == "same") & (F.col("_start") <= before)))
 
 
 def apply_changes_versions(target: DataFrame, feed: DataFrame, keys: Sequence[str], sequence: str, delete_when: Column | None = None) -> DataFrame:
     """A versioned target after a change feed: each change opens a version from its sequence value on, a delete only closes one.
 
-    target has those columns of the feed that are kept, and _start, _end, _is_current. Closed versions pass through.
-    Changes that alter nothing, deletes of keys without a current version, and changes not after the start of the key's
-    current version are left out; equal sequence values of a key go by their other columns. Null keys count as one key.
+    target has those columns of the feed that are kept, and _start, _end, _is_current. A late change is spliced in between
+    the versions there are; changes that altered nothing are not kept in such a table, so for a feed in parts of any order
+    use splice_changes. Keys that the feed doesn't name pass through. Null keys count as one key.
     """
     columns = target.columns
-    data = [c for c in columns if c not in ("_start", "_end", "_is_current")]
-    compare = [c for c in data if c not in keys]
-    kinds = dict(target.dtypes)
-    gone = F.lit(False) if delete_when is None else F.coalesce(delete_when, F.lit(False))
-    changes = feed.select(*(F.col(c).cast(kinds[c]).alias(c) for c in data), F.col(sequence).cast(kinds["_start"]).alias("_start"), gone.alias("__gone"), F.lit(False).alias("__old"))
-    current = target.where("_is_current").select(*data, "_start", F.lit(False).alias("__gone"), F.lit(True).alias("__old"))
-    of_key = Window.partitionBy(*keys)
-    order = of_key.orderBy("_start", F.desc("__old"), "__gone", *compare)
-    since = F.max(F.when(F.col("__old"), F.col("_start"))).over(of_key)
-    rows = current.unionByName(changes).withColumn("__since", since).where(F.col("__old") | F.col("__since").isNull() | (F.col("_start") > F.col("__since")))
-    moved = F.coalesce(F.lag("__gone").over(order), F.lit(True)) != F.col("__gone")
-    for c in compare:
-        moved = moved | (~F.col("__gone") & ~F.col(c).eqNullSafe(F.lag(c).over(order)))
-    end = F.lead("_start").over(order)
-    open_rows = rows.withColumn("__moved", moved).where("__moved").withColumn("_end", end).where("NOT __gone")
-    return target.where("NOT _is_current").unionByName(open_rows.withColumn("_is_current", F.col("_end").isNull()).select(*columns))
+    data = [c for c in columns if c not in VERSION]
+    named = feed.select(*(F.col(k).alias(f"__{k}") for k in keys)).distinct()
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    # A version that ends before the next one starts was closed by a delete.
+    lead = F.lead("_start").over(Window.partitionBy(*keys).orderBy("_start"))
+    old = target.join(named, on, "left_semi").withColumn("__next", lead)
+    ends = F.when(F.col("_end").isNotNull() & (F.col("__next").isNull() | (F.col("__next") > F.col("_end"))), F.col("_end"))
+    marks = F.array(F.struct(F.col("_start").alias("at"), F.lit(False).alias("gone")), F.struct(ends.alias("at"), F.lit(True).alias("gone")))
+    points = old.withColumn("__point", F.explode(marks)).where("__point.at IS NOT NULL").select(*data, F.col("__point.at").alias("_start"), F.col("__point.gone").alias("_gone"))
+    state = points.select("*", F.lit(None).cast(dict(target.dtypes)["_end"]).alias("_end"), F.lit(False).alias("_is_current"), F.when(F.col("_gone"), "delete").otherwise("version").alias("_kind")).drop("_gone")
+    spliced = scd2_versions(splice_changes(state, feed, keys, sequence, delete_when=delete_when))
+    return target.join(named, on, "left_anti").unionByName(spliced.select(*columns))
 
 
 def _differs(compare: Sequence[str], a: str, b: str) -> Column:
@@ -114,7 +195,8 @@ def scd2_stage(updates: DataFrame, current: DataFrame, keys: Sequence[str], comp
 def scd2_merge(target: DataFrame, updates: DataFrame, keys: Sequence[str], compare: Sequence[str], effective: str) -> DataFrame:
     """Closes current versions whose compared columns change, and opens new ones; unchanged updates are ignored.
 
-    target has the columns of updates and _start, _end, _is_current. History passes through untouched.
+    target has the columns of updates and _start, _end, _is_current. History passes through untouched. Updates not after the
+    start of their key's current version come too late for this merge and are left out; splice_changes takes any order.
     """
     columns = target.columns
     data = [c for c in columns if c not in ("_start", "_end", "_is_current")]
@@ -131,8 +213,9 @@ def scd2_merge(target: DataFrame, updates: DataFrame, keys: Sequence[str], compa
     stays = version({x: F.col(f"c.{x}") for x in columns})
     closed = version({x: F.col(f"c.{x}") for x in columns} | {"_end": F.col(f"u.{effective}"), "_is_current": F.lit(False)})
     opened = version({x: F.col(f"u.{x}") for x in data} | {"_start": F.col(f"u.{effective}"), "_end": F.lit(None), "_is_current": F.lit(True)})
+    late = F.coalesce(F.col(f"u.{effective}") <= F.col("c._start"), F.lit(False))
     # A key without a current version is new; one whose compared columns differ closes a version and opens one.
-    rows = F.when(F.col("c").isNull(), F.array(opened)).when(F.col("u").isNull() | ~_differs(compare, "u", "c"), F.array(stays)).otherwise(F.array(closed, opened))
+    rows = F.when(F.col("c").isNull(), F.array(opened)).when(F.col("u").isNull() | ~_differs(compare, "u", "c") | late, F.array(stays)).otherwise(F.array(closed, opened))
     return history.select(*columns).unionByName(both.select(F.explode(rows).alias("r")).select("r.*"))
 
 
@@ -167,7 +250,7 @@ def high_watermark(df: DataFrame, column: str, default: str = "1900-01-01 00:00:
 def incremental_upsert(target: DataFrame, staging: DataFrame, keys: Sequence[str], processed: str) -> DataFrame:
     """Upserts the staging rows above the target's watermark, each key's newest; the watermark moves with updates too."""
     fresh = staging.where(F.col(processed) > high_watermark(target, processed))
-    return upsert(target, dedup_latest(fresh, keys, [F.col(processed).desc()]), keys)
+    return upsert(target, dedup_latest(fresh, keys, [F.col(processed).desc()]), keys, checked=True)
 
 
 def changed_only(df: DataFrame, changed_keys: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -12,6 +12,8 @@ from tableops.functions import columns as C
 from tableops.operators import analytics as A
 from tableops.operators import compare as J
 from tableops.operators import upsert as U
+from tableops.operators.stored import StoredTable, apply_feed
+from tableops.operators.views import GroupedView
 from tableops.plans.tables import DIRTY, KEYED, RUNS, STAR, dirty_events, events, keyed, runs_log, star, table
 from tableops.sources import files, sinks
 from tableops.streaming import streams as S
@@ -126,10 +128,11 @@ def stream_table_passthrough(spark, d):
     return spark.read.schema("event_id long, value double").parquet(dst)
 
 
-def _stream_source(spark: SparkSession, d: str, parts: int = 4) -> str:
-    """Events as files of a table, in order of time."""
+def _stream_source(spark: SparkSession, d: str, parts: int | None = None) -> str:
+    """Events as files of a table, in order of time: as many as Spark makes of them, or a given number."""
     path = work_dir(spark, "events-table")
-    events(spark, d).repartitionByRange(parts, "ts").sortWithinPartitions("ts").write.parquet(path)
+    ranged = events(spark, d).repartitionByRange(parts, "ts") if parts else events(spark, d).repartitionByRange("ts")
+    ranged.sortWithinPartitions("ts").write.parquet(path)
     return path
 
 
@@ -565,6 +568,17 @@ def compare_tables(spark, d):
     return J.compare_tables(*_old_new(spark, d))
 
 
+@query(_compare_sql("doc_id, text, lang"))
+def compare_checksums(spark, d):
+    """The numbers of compare_tables, with only the leaves of the checksum tree that differ read into the join."""
+    return J.compare_by_checksums(*_old_new(spark, d), ["doc_id"])
+
+
+@query(f"WITH {_OLD_NEW} SELECT o.* FROM old o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.doc_id = o.doc_id AND n.text = o.text AND n.lang = o.lang)")
+def unmatched_by_checksums(spark, d):
+    return J.unmatched_by_checksums(*_old_new(spark, d), ["doc_id"])
+
+
 @query(_compare_sql("text, lang"))
 def compare_tables_subset(spark, d):
     return J.compare_tables(*_old_new(spark, d), ["text", "lang"])
@@ -813,6 +827,17 @@ def compact_rowcount(spark, d):
     return back.agg(F.count("*").alias("n_rows"), F.countDistinct("_metadata.file_path").cast("int").alias("n_files"))
 
 
+@query("SELECT event_id, value FROM events")
+def compact_small_files(spark, d):
+    """A table of many small files and one large one, after the small ones were packed together: the same rows, the large file by its old name."""
+    path = work_dir(spark, "mixed")
+    e = events(spark, d).select("event_id", "value")
+    e.where("event_id % 3 > 0").coalesce(1).write.parquet(path)  # the large file that is to stay
+    e.where("event_id % 3 = 0").repartition(24, "event_id").write.mode("append").parquet(path)
+    A.compact_small(spark, path, target_bytes=int(A.stored_bytes(spark, path) * 0.7))
+    return spark.read.parquet(path)
+
+
 @query()
 def zorder_pruning(spark, d):
     """Files of a clustered table, with the range of both columns in each: narrow ranges are what pruning needs."""
@@ -887,7 +912,7 @@ def scalar_math(spark, d):
     FROM events, m GROUP BY 1, 2, top HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= top - INTERVAL 30 SECOND""")
 def stream_tumbling_avg(spark, d):
     dst = work_dir(spark, "tumbling")
-    stream = S.stream_files(spark, _stream_source(spark, d, 1), EVENT_SCHEMA, "parquet")
+    stream = S.stream_files(spark, _stream_source(spark, d), EVENT_SCHEMA, "parquet")
     found = S.tumbling_average(stream, "ts", ["value"], "1 hour", "30 seconds")
     S.run_available(found, work_dir(spark, "state"), dst)
     return rounded(spark.read.schema(found.schema).parquet(dst), "avg_value")
@@ -911,7 +936,7 @@ _DAILY_TOP = "date_trunc('day', ts)"
     SELECT {_DAILY_TOP} AS window_start, {_DAILY_TOP} + INTERVAL 1 DAY AS window_end, count(*) AS n FROM on_time, (SELECT max(ts) AS last FROM b WHERE early OR event_id % 10 <> 0) GROUP BY 1, 2, last
     HAVING {_DAILY_TOP} + INTERVAL 1 DAY <= last - INTERVAL 1 MINUTE""")
 def stream_late_drop(spark, d):
-    """Two ordered files; rows of the second that were moved back to the first day are late, and dropped."""
+    """Two ordered parts; rows of the second that were moved back to the first day are late, and dropped."""
     e = events(spark, d)
     first = e.agg(F.min("ts")).first()[0]
     cut = F.lit(first).cast("timestamp_ntz") + F.expr("INTERVAL '15' DAY")
@@ -919,49 +944,131 @@ def stream_late_drop(spark, d):
     late = F.when(F.col("event_id") % 10 == 0, F.lit(first).cast("timestamp_ntz")).otherwise(F.col("ts"))
     state = work_dir(spark, "state")
     for part in (e.where(F.col("ts") < cut), e.where(F.col("ts") >= cut).withColumn("ts", late)):
-        part.coalesce(1).write.mode("append").parquet(src)
+        part.write.mode("append").parquet(src)
         stream = S.tumbling_average(S.stream_files(spark, src, EVENT_SCHEMA, "parquet"), "ts", ["value"], "1 day", "1 minute")
         S.run_available(stream, state, dst)
     return spark.read.schema(stream.schema).parquet(dst).drop("avg_value")
 
 
-def _final(spark: SparkSession, d: str) -> S.VersionedTable:
-    schema = T.StructType([f for f in keyed(spark, d).schema.fields])
-    return S.VersionedTable(spark, work_dir(spark, "versions"), schema)
+KEY = ["user_id", "event_type"]
 
 
-def _keyed_stream(spark: SparkSession, d: str) -> DataFrame:
+def _by_ranges(spark: SparkSession, d: str, parts: list[str], run: Callable[[DataFrame], None]) -> None:
+    """Writes the keyed history part by part, each as the files that Spark makes of it, and runs a stream over the folder after each: a batch a part."""
     path = work_dir(spark, "keyed")
-    # One file a range of time, written one after the other, so that batches come in order.
-    for k in range(3):
-        keyed(spark, d).where(f"day(ts) > {10 * k} AND day(ts) <= {10 * k + 10 + k // 2}").coalesce(1).write.mode("append").parquet(path)
-    return S.stream_files(spark, path, keyed(spark, d).schema, "parquet", max_files=1)
+    for part in parts:
+        keyed(spark, d).where(part).write.mode("append").parquet(path)
+        run(S.stream_files(spark, path, keyed(spark, d).schema, "parquet"))
+
+
+IN_ORDER = [f"day(ts) > {10 * k} AND day(ts) <= {10 * k + 10 + k // 2}" for k in range(3)]
+OUT_OF_ORDER = ["event_id % 3 = 1", "event_id % 3 = 2", "event_id % 3 = 0"]
+_VERSION_FIELDS = [T.StructField("_start", T.TimestampNTZType()), T.StructField("_end", T.TimestampNTZType()), T.StructField("_is_current", T.BooleanType()), T.StructField("_kind", T.StringType())]
+
+
+def _stored(spark: SparkSession, schema: T.StructType, keys: list[str] = KEY, more: list[str] | None = None) -> StoredTable:
+    return StoredTable(spark, work_dir(spark, "stored"), schema, keys, buckets=16, row_keys=[*keys, *(more or [])])
 
 
 @query(f"WITH {KEYED} SELECT user_id, event_type, arg_max(band, ts) AS band, max(ts) AS ts, arg_max(event_id, ts) AS event_id FROM keyed GROUP BY 1, 2")
 def stream_upsert_final(spark, d):
-    out = _final(spark, d)
-    S.stream_upsert(_keyed_stream(spark, d), out, ["user_id", "event_type"], [F.desc("ts")], work_dir(spark, "state"))
+    out, state = _stored(spark, keyed(spark, d).schema), work_dir(spark, "state")
+    _by_ranges(spark, d, IN_ORDER, lambda stream: S.stream_upsert(stream, out, KEY, [F.desc("ts")], state))
+    return out.latest()
+
+
+@query(f"WITH {KEYED} SELECT user_id, event_type, arg_max(band, ts) AS band, max(ts) AS ts, arg_max(event_id, ts) AS event_id FROM keyed GROUP BY 1, 2")
+def stream_upsert_if_newer(spark, d):
+    """Parts of the history come out of order; the condition keeps older rows from overwriting newer ones."""
+    out, state = _stored(spark, keyed(spark, d).schema), work_dir(spark, "state")
+    _by_ranges(spark, d, OUT_OF_ORDER, lambda stream: S.stream_upsert(stream, out, KEY, [F.desc("ts")], state, condition="s.ts > t.ts"))
     return out.latest()
 
 
+@query(f"WITH {KEYED}, {_LAST} SELECT user_id, event_type, band, ts FROM last WHERE band <> 0")
+def scd1_out_of_order(spark, d):
+    """A feed with deletes whose parts come out of order: rows keep their sequence value, deleted ones as tombstones."""
+    schema = T.StructType([*keyed(spark, d).drop("event_id").schema.fields, T.StructField("_deleted", T.BooleanType())])
+    out, state = _stored(spark, schema), work_dir(spark, "state")
+    _by_ranges(spark, d, OUT_OF_ORDER, lambda stream: S.stream_changes(stream, out, KEY, "ts", state, F.col("band") == 0))
+    return out.latest().where("NOT _deleted").drop("_deleted")
+
+
 _BATCHES = """keyed AS (SELECT user_id, event_type, CAST(floor(value / 50) AS BIGINT) AS band, ts, event_id FROM events
     QUALIFY row_number() OVER (PARTITION BY user_id, event_type, CASE WHEN day(ts) <= 10 THEN 0 WHEN day(ts) <= 20 THEN 1 ELSE 2 END ORDER BY ts DESC) = 1)"""
 
 
+def _versioned(spark: SparkSession, d: str, parts: list[str], **options) -> DataFrame:
+    out, state = _stored(spark, T.StructType([*keyed(spark, d).schema.fields, *_VERSION_FIELDS]), more=["_start"]), work_dir(spark, "state")
+    _by_ranges(spark, d, parts, lambda stream: S.stream_scd2(stream, out, KEY, ["band"], "ts", state, **options))
+    return U.scd2_versions(out.latest()).drop("ts", "event_id")
+
+
 @query(f"WITH {_HISTORY.replace(KEYED, _BATCHES)} SELECT {_VERSION} FROM history")
 def stream_scd2_final(spark, d):
-    k = keyed(spark, d)
-    fields = [*k.schema.fields, T.StructField("_start", T.TimestampNTZType()), T.StructField("_end", T.TimestampNTZType()), T.StructField("_is_current", T.BooleanType())]
-    out = S.VersionedTable(spark, work_dir(spark, "versions"), T.StructType(fields))
-    S.stream_scd2(_keyed_stream(spark, d), out, ["user_id", "event_type"], ["band"], "ts", work_dir(spark, "state"))
-    return out.latest().drop("ts", "event_id")
+    return _versioned(spark, d, IN_ORDER)
+
+
+@query(f"""WITH {KEYED}, steps AS (SELECT *, coalesce(lag(band = 0) OVER w, true) <> (band = 0) OR (band <> 0 AND band IS DISTINCT FROM lag(band) OVER w) AS is_new FROM keyed WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts)),
+    ends AS (SELECT *, lead(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS _end FROM steps WHERE is_new)
+    SELECT user_id, event_type, band, ts AS _start, _end, _end IS NULL AS _is_current FROM ends WHERE band <> 0""")
+def scd2_out_of_order(spark, d):
+    """The whole history with deletes, its parts out of order, gives what one pass over it gives."""
+    return _versioned(spark, d, OUT_OF_ORDER, latest_only=False, delete_when=F.col("band") == 0)
+
+
+_ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
+_CHANGED_ORDERS = """changed AS (
+    SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice + CASE WHEN o_orderkey % 7 = 0 THEN 10 ELSE 0 END AS o_totalprice FROM orders WHERE o_orderkey % 10 <> 3)"""
+_FIRST_ORDERS = "first AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 10 <> 4)"
+
+
+def _stored_orders(spark: SparkSession, d: str) -> StoredTable:
+    """Version 0: nine tenths of orders. Version 1: a tenth deleted, a tenth inserted, and every seventh one's price changed."""
+    o = table(spark, d, "orders").select(*_ORDERS)
+    out = _stored(spark, o.schema, ["o_orderkey"])
+    out.merge(o.where("o_orderkey % 10 <> 4"), 0, lambda old, batch: U.upsert(old, batch, ["o_orderkey"]))
+    price = F.when(F.col("o_orderkey") % 7 == 0, F.col("o_totalprice") + 10).otherwise(F.col("o_totalprice"))
+    feed = o.where("o_orderkey % 10 IN (3, 4) OR o_orderkey % 7 = 0").withColumns({"o_totalprice": price, "at": F.lit(1)})
+    out.merge(feed, 1, lambda old, batch: U.apply_changes(old, batch, ["o_orderkey"], "at", delete_when=F.col("o_orderkey") % 10 == 3))
+    return out
+
+
+@query(f"""WITH {_FIRST_ORDERS}, {_CHANGED_ORDERS}
+    SELECT 'insert' AS _change_type, n.*, CAST(1 AS BIGINT) AS _commit_version FROM changed n WHERE o_orderkey NOT IN (SELECT o_orderkey FROM first)
+    UNION ALL SELECT 'delete', o.*, 1 FROM first o WHERE o_orderkey NOT IN (SELECT o_orderkey FROM changed)
+    UNION ALL SELECT 'update_preimage', o.*, 1 FROM first o JOIN changed n USING (o_orderkey) WHERE o.o_totalprice <> n.o_totalprice
+    UNION ALL SELECT 'update_postimage', n.*, 1 FROM first o JOIN changed n USING (o_orderkey) WHERE o.o_totalprice <> n.o_totalprice""")
+def stored_change_feed(spark, d):
+    """What version 1 changed, from the files that its merge wrote."""
+    return _stored_orders(spark, d).changes([1])
+
+
+@query(f"WITH {_CHANGED_ORDERS} SELECT * FROM changed")
+def change_feed_follower(spark, d):
+    """A copy of a stored table, kept by a stream over its change feed."""
+    source, copy, state = _stored_orders(spark, d), _stored(spark, table(spark, d, "orders").select(*_ORDERS).schema, ["o_orderkey"]), work_dir(spark, "state")
+    S.follow_changes(source, state, lambda changes, n: copy.merge(changes, n, lambda old, feed: apply_feed(old, feed, ["o_orderkey"])))
+    return copy.latest()
+
+
+@query(f"""WITH {_CHANGED_ORDERS} SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice) + 1e-7, 4) AS avg_price, min(o_totalprice) AS least, max(o_totalprice) AS greatest
+    FROM changed GROUP BY 1""")
+def view_refresh_incremental(spark, d):
+    """A view of version 0 moved to version 1 by the change feed: only groups that lost an extreme are read again."""
+    source = _stored_orders(spark, d)
+    view = GroupedView(["o_orderstatus"], sums=["o_totalprice"], extremes=["o_totalprice"])
+    before, kept = view.compute(source.read(0)), work_dir(spark, "view")
+    before.write.parquet(kept)
+    after = view.averages(view.refresh(spark.read.schema(before.schema).parquet(kept), source.changes([1]), source.read(1)))
+    total = F.round(F.col("sum_o_totalprice").cast("double"), 2).alias("total")
+    return after.select("o_orderstatus", "n", total, F.round(F.col("avg_o_totalprice") + 1e-7, 4).alias("avg_price"), F.col("least_o_totalprice").alias("least"), F.col("greatest_o_totalprice").alias("greatest"))
 
 
 @query("SELECT 4 AS n_batches, count(*) AS n_rows FROM events")
 def stream_rate_limited(spark, d):
     seen: list[int] = []
-    stream = S.stream_files(spark, _stream_source(spark, d), EVENT_SCHEMA, "parquet", max_files=1)
+    stream = S.stream_files(spark, _stream_source(spark, d, 4), EVENT_SCHEMA, "parquet", max_files=1)
     dst = work_dir(spark, "limited")
 
     def batch(df: DataFrame, n: int) -> None:

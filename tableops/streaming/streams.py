@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tableops.functions.columns import with_audit_columns
-from tableops.operators.upsert import dedup_latest, scd2_merge, upsert
+from tableops.operators.stored import StoredTable
+from tableops.operators.upsert import apply_changes, dedup_latest, scd2_merge, splice_changes, upsert
 from tableops.workdir import delete_folder, glob_paths
 
 
@@ -102,10 +103,52 @@ class VersionedTable:
     def latest(self) -> DataFrame:
         return self._read(self.versions())
 
+    def merge(self, batch: DataFrame, n: int, change: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        self.write(change(self.before(n), batch), n)
 
-def stream_upsert(stream: DataFrame, table: VersionedTable, keys: Sequence[str], order: Sequence[Column], checkpoint: str) -> None:
-    run_available(stream, checkpoint, batch=lambda df, n: table.write(upsert(table.before(n), dedup_latest(df, keys, order), keys), n))
 
+def stream_upsert(stream: DataFrame, table: StoredTable | VersionedTable, keys: Sequence[str], order: Sequence[Column], checkpoint: str, condition: str | None = None) -> None:
+    """Upserts each batch's first row of a key in the order given; condition is SQL over t and s that an update must meet (see upsert).
 
-def stream_scd2(stream: DataFrame, table: VersionedTable, keys: Sequence[str], compare: Sequence[str], effective: str, checkpoint: str) -> None:
-    run_available(stream, checkpoint, batch=lambda df, n: table.write(scd2_merge(table.before(n), df, keys, compare, effective), n))
+    A stored table is rewritten only in the buckets of the batch, and a batch known to be small is broadcast.
+    """
+
+    def change(old: DataFrame, batch: DataFrame) -> DataFrame:
+        rows = batch.count() if isinstance(table, StoredTable) else None  # of files just written: their footers tell
+        return upsert(old, dedup_latest(batch, keys, order), keys, condition=condition, source_rows=rows, checked=True)
+
+    run_available(stream, checkpoint, batch=lambda df, n: table.merge(df, n, change))
+
+
+def stream_changes(stream: DataFrame, table: StoredTable, keys: Sequence[str], sequence: str, checkpoint: str, delete_when: Column | None = None) -> None:
+    """Applies a change feed whose batches come in any order: the table keeps each row's sequence value, and deleted rows as tombstones (`_deleted`)."""
+    run_available(stream, checkpoint, batch=lambda df, n: table.merge(df, n, lambda old, feed: apply_changes(old, feed, keys, sequence, delete_when, tombstones=True)))
+
+
+def stream_scd2(stream: DataFrame, table: StoredTable | VersionedTable, keys: Sequence[str], compare: Sequence[str], effective: str, checkpoint: str, latest_only: bool = True, delete_when: Column | None = None) -> None:
+    """Versions of each key from a stream. A stored table, with _kind, takes batches in any order (see splice_changes).
+
+    latest_only keeps only each batch's last change of a key.
+    """
+
+    def change(old: DataFrame, batch: DataFrame) -> DataFrame:
+        if isinstance(table, VersionedTable):
+            return scd2_merge(old, batch, keys, compare, effective)
+        changes = dedup_latest(batch, keys, [F.col(effective).desc()]) if latest_only else batch
+        return splice_changes(old, changes, keys, effective, compare, delete_when)
+
+    run_available(stream, checkpoint, batch=lambda df, n: table.merge(df, n, change))
+
+
+def follow_changes(table: StoredTable, checkpoint: str, apply: Callable[[DataFrame, int], None], start: int = 0) -> None:
+    """Hands the change rows of each version of a table from `start` on to apply (rows, batch number), and remembers how far it came.
+
+    The stream is of commits, one row a version, so that it never meets the files of a version that isn't complete.
+    """
+
+    def batch(commits: DataFrame, n: int) -> None:
+        versions = sorted(row["version"] for row in commits.distinct().collect() if row["version"] >= start)
+        if versions:
+            apply(table.changes(versions), n)
+
+    run_available(stream_files(table.spark, f"{table.path}/commits", "version long", "parquet", "*.parquet"), checkpoint, batch=batch)

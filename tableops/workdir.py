@@ -34,3 +34,13 @@ def glob_paths(spark: SparkSession, pattern: str) -> list[str]:
     """Paths that match the pattern; none if the folders above don't exist."""
     system, jvm_path = _file_system(spark, pattern)
     return [str(status.getPath()) for status in system.globStatus(jvm_path) or []]
+
+
+def move_files(spark: SparkSession, pattern: str, folder: str) -> int:
+    """Moves the files that match into a folder of the same store, under new names; returns their number. Contents aren't copied."""
+    system, target = _file_system(spark, folder)
+    paths = glob_paths(spark, pattern)
+    for path in paths:
+        if not system.rename(spark._jvm.org.apache.hadoop.fs.Path(path), spark._jvm.org.apache.hadoop.fs.Path(target, f"compacted-{uuid.uuid4().hex}.parquet")):
+            raise RuntimeError(f"could not move {path}")
+    return len(paths)
