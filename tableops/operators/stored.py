@@ -11,21 +11,21 @@ from pyspark.sql import types as T
 from tableops.operators.upsert import apply_changes, change_feed
 from tableops.workdir import delete_folder, glob_paths, work_dir
 
-CHANGE = "_change_type string, _commit_version long"
+#: A commit has a row for each bucket, and one without a bucket.
+COMMIT = "bucket int, at long, version long"
 
 
 class StoredTable:
     """Rows in buckets by the hash of their keys; a version is a list of where each bucket was written last.
 
-    data/v=N/bucket=B   rows of bucket B, as version N wrote them
-    changes/v=N         what version N changed, as rows of a change feed
-    versions/v=N        for each bucket that has rows, the version that wrote it
-    commits/v=N         written last, once all the others are complete
+    data/version__=N/bucket__=B   rows of bucket B, as version N wrote them
+    changes/version__=N            what version N changed, as rows of a change feed
+    commits/version__=N            for each bucket that has rows, the version that wrote it; written last, once the others are complete
 
     A merge finds the buckets of its batch, reads and rewrites those alone, and lists the others where they were. A version
     that is there is never written again, so a replayed batch changes nothing; one that failed half way has no commit, and
     is overwritten. The lists hold at most one row a bucket, whatever the size of the table. The data of the newest `keep` versions stay;
-    changes stay until forget_changes.
+    lists and changes stay until forget_changes.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], buckets: int = 64, keep: int = 3, row_keys: Sequence[str] | None = None):
@@ -33,12 +33,13 @@ class StoredTable:
         self.spark, self.path, self.schema, self.keys = spark, path.rstrip("/"), schema, list(keys)
         self.buckets, self.keep, self.row_keys = buckets, keep, list(row_keys or keys)
 
-    def versions(self) -> list[int]:
-        return self._committed("versions")
+    def committed(self) -> list[int]:
+        """All versions whose changes can be read."""
+        return sorted(int(p.rsplit("/", 2)[1].removeprefix("version__=")) for p in glob_paths(self.spark, f"{self.path}/commits/version__=*/_SUCCESS"))
 
-    def _committed(self, part: str) -> list[int]:
-        of = lambda name: {int(p.rsplit("/", 2)[1].removeprefix("v=")) for p in glob_paths(self.spark, f"{self.path}/{name}/v=*/_SUCCESS")}
-        return sorted(of(part) & of("commits"))
+    def versions(self) -> list[int]:
+        """The versions whose rows can be read."""
+        return self.committed()[-self.keep :]
 
     def bucket_of(self) -> Column:
         return F.pmod(F.xxhash64(*(F.col(k).cast(self.schema[k].dataType) for k in self.keys)), F.lit(self.buckets)).cast("int")
@@ -47,15 +48,15 @@ class StoredTable:
         """bucket -> the version whose folder has its rows."""
         if version is None:
             return {}
-        listed = self.spark.read.schema("bucket int, at long").parquet(f"{self.path}/versions/v={version}")
-        return {row["bucket"]: row["at"] for row in listed.collect()}
+        listed = self.spark.read.schema(COMMIT).parquet(f"{self.path}/commits/version__={version}")
+        return {row["bucket"]: row["at"] for row in listed.where("bucket IS NOT NULL").collect()}
 
     def _rows(self, places: dict[int, int]) -> DataFrame:
         if not places:
             return self.spark.createDataFrame([], self.schema)
-        whole = T.StructType([*self.schema.fields, T.StructField("v", T.LongType()), T.StructField("bucket", T.IntegerType())])
+        whole = T.StructType([*self.schema.fields, T.StructField("version__", T.LongType()), T.StructField("bucket__", T.IntegerType())])
         reader = self.spark.read.schema(whole).option("basePath", f"{self.path}/data")
-        return reader.parquet(*(f"{self.path}/data/v={at}/bucket={b}" for b, at in sorted(places.items()))).select(*self.schema.names)
+        return reader.parquet(*(f"{self.path}/data/version__={at}/bucket__={b}" for b, at in sorted(places.items()))).select(*self.schema.names)
 
     def read(self, version: int | None = None) -> DataFrame:
         """The newest version, or an earlier one that is still kept."""
@@ -80,44 +81,38 @@ class StoredTable:
         touched = {row["__bucket"] for row in staged.select("__bucket").distinct().collect()}  # at most one row a bucket
         places = self.places(there[-1] if there else None)
         old = self._rows({b: at for b, at in places.items() if b in touched})
-        made = change(old, staged.drop("__bucket")).select(*self.schema.names).withColumn("bucket", self.bucket_of())
+        made = change(old, staged.drop("__bucket")).select(*self.schema.names).withColumn("bucket__", self.bucket_of())
         # A large bucket is written by several tasks, small ones share one.
-        made.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/v={version}")
-        written = {int(p.rsplit("=", 1)[1]) for p in glob_paths(self.spark, f"{self.path}/data/v={version}/bucket=*")}
+        made.hint("rebalance", F.col("bucket__")).write.mode("overwrite").partitionBy("bucket__").parquet(f"{self.path}/data/version__={version}")
+        written = {int(p.rsplit("=", 1)[1]) for p in glob_paths(self.spark, f"{self.path}/data/version__={version}/bucket__=*")}
         new = {b: at for b, at in places.items() if b not in touched} | {b: version for b in written}
         feed = change_feed(old, self._rows({b: version for b in written}), self.row_keys).withColumn("_commit_version", F.lit(version).cast("long"))
-        feed.write.mode("overwrite").parquet(f"{self.path}/changes/v={version}")
-        listed = self.spark.createDataFrame(list(new.items()), "bucket int, at long")
-        listed.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/versions/v={version}")
-        self.spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/v={version}")
+        feed.write.mode("overwrite").parquet(f"{self.path}/changes/version__={version}")
+        rows = [F.struct(F.lit(b).cast("int").alias("bucket"), F.lit(at).cast("long").alias("at"), F.lit(version).cast("long").alias("version")) for b, at in [(None, None), *sorted(new.items())]]
+        self.spark.range(1, numPartitions=1).select(F.inline(F.array(*rows))).write.mode("overwrite").parquet(f"{self.path}/commits/version__={version}")
         delete_folder(self.spark, staged_path)
-        self._vacuum([*there, version][-self.keep :])
+        self._vacuum([*there, version][-self.keep :], {version: new})
 
-    def _vacuum(self, kept: list[int]) -> None:
-        """Deletes lists of older versions, and folders of buckets that no kept list names."""
-        named = {(at, b) for version in kept for b, at in self.places(version).items()}
-        for path in glob_paths(self.spark, f"{self.path}/data/v=*/bucket=*"):
+    def _vacuum(self, kept: list[int], known: dict[int, dict[int, int]]) -> None:
+        """Deletes folders of buckets that no kept version names."""
+        named = {(at, b) for version in kept for b, at in (known.get(version) or self.places(version)).items()}
+        for path in glob_paths(self.spark, f"{self.path}/data/version__=*/bucket__=*"):
             at, bucket = (int(x.rsplit("=", 1)[1]) for x in path.rsplit("/", 2)[1:])
             if at <= kept[-1] and (at, bucket) not in named:
                 delete_folder(self.spark, path)
-        for path in glob_paths(self.spark, f"{self.path}/versions/v=*"):
-            if int(path.rsplit("=", 1)[1]) < kept[0]:
-                delete_folder(self.spark, path)
-
-    def change_versions(self) -> list[int]:
-        return self._committed("changes")
 
     def changes(self, versions: Iterable[int]) -> DataFrame:
         """Change rows of versions, from their own files: insert, update_preimage, update_postimage, delete."""
         fields = T.StructType([T.StructField("_change_type", T.StringType()), *self.schema.fields, T.StructField("_commit_version", T.LongType())])
-        paths = [f"{self.path}/changes/v={v}" for v in versions]
+        paths = [f"{self.path}/changes/version__={v}" for v in versions]
         return self.spark.read.schema(fields).parquet(*paths) if paths else self.spark.createDataFrame([], fields)
 
     def forget_changes(self, before: int) -> None:
         """Deletes the change rows of versions under `before`, which no reader needs any more."""
-        for version in self.change_versions():
+        for version in self.committed()[: -self.keep]:
             if version < before:
-                delete_folder(self.spark, f"{self.path}/changes/v={version}")
+                delete_folder(self.spark, f"{self.path}/commits/version__={version}")
+                delete_folder(self.spark, f"{self.path}/changes/version__={version}")
 
 
 def apply_feed(target: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -829,12 +829,13 @@ def compact_rowcount(spark, d):
 
 @query("SELECT event_id, value FROM events")
 def compact_small_files(spark, d):
-    """A table of many small files and one large one, after the small ones were packed together: the same rows, the large file by its old name."""
+    """A table of large files and many small ones, after the small ones were packed together: the same rows."""
     path = work_dir(spark, "mixed")
     e = events(spark, d).select("event_id", "value")
-    e.where("event_id % 3 > 0").coalesce(1).write.parquet(path)  # the large file that is to stay
+    e.where("event_id % 3 > 0").write.parquet(path)
+    target = files.list_files(spark, path).where("path LIKE '%.parquet'").agg(F.min("length")).first()[0]  # so that those files stay
     e.where("event_id % 3 = 0").repartition(24, "event_id").write.mode("append").parquet(path)
-    A.compact_small(spark, path, target_bytes=int(A.stored_bytes(spark, path) * 0.7))
+    A.compact_small(spark, path, target)
     return spark.read.parquet(path)
 
 

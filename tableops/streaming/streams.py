@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tableops.functions.columns import with_audit_columns
-from tableops.operators.stored import StoredTable
+from tableops.operators.stored import COMMIT, StoredTable
 from tableops.operators.upsert import apply_changes, dedup_latest, scd2_merge, splice_changes, upsert
 from tableops.workdir import delete_folder, glob_paths
 
@@ -147,8 +147,8 @@ def follow_changes(table: StoredTable, checkpoint: str, apply: Callable[[DataFra
     """
 
     def batch(commits: DataFrame, n: int) -> None:
-        versions = sorted(row["version"] for row in commits.distinct().collect() if row["version"] >= start)
+        versions = sorted(row["version"] for row in commits.where("bucket IS NULL").select("version").collect() if row["version"] >= start)
         if versions:
             apply(table.changes(versions), n)
 
-    run_available(stream_files(table.spark, f"{table.path}/commits", "version long", "parquet", "*.parquet"), checkpoint, batch=batch)
+    run_available(stream_files(table.spark, f"{table.path}/commits", COMMIT, "parquet", "*.parquet"), checkpoint, batch=batch)

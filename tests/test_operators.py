@@ -212,12 +212,12 @@ def test_dropped_tables_are_gone_and_dropping_repeats(spark):
 
 
 def test_changes_of_versions(spark):
-    """Opens, closes, deletes and opens again; late and unchanged rows are left out."""
+    """Opens, closes, deletes and opens again; a late change is spliced in, one that alters nothing left out."""
     version = "k string, v int, _start int, _end int, _is_current boolean"
     old = spark.createDataFrame([("a", 0, 1, 5, False), ("a", 1, 5, None, True), ("b", 2, 5, None, True), ("d", 9, 1, 3, False)], version)
     feed = spark.createDataFrame([("a", 1, 6, "u"), ("a", 3, 7, "u"), ("a", 4, 2, "u"), ("b", None, 8, "d"), ("b", 2, 9, "u"), ("c", 1, 1, "d"), ("d", None, 4, "u")], "k string, v int, at int, op string")
     got = U.apply_changes_versions(old, feed, ["k"], "at", delete_when=F.col("op") == "d")
-    want = [("a", 0, 1, 5, False), ("a", 1, 5, 7, False), ("a", 3, 7, None, True), ("b", 2, 5, 8, False), ("b", 2, 9, None, True), ("d", 9, 1, 3, False), ("d", None, 4, None, True)]
+    want = [("a", 0, 1, 2, False), ("a", 4, 2, 5, False), ("a", 1, 5, 7, False), ("a", 3, 7, None, True), ("b", 2, 5, 8, False), ("b", 2, 9, None, True), ("d", 9, 1, 3, False), ("d", None, 4, None, True)]
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
     assert U.apply_changes_versions(old.limit(0), feed.limit(0), ["k"], "at").count() == 0
 
