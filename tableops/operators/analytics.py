@@ -37,26 +37,58 @@ def moving_average(df: DataFrame, order: Sequence[str], columns: Sequence[str],
     return df.withColumns({f"ma_{c}": F.avg(c).over(w) for c in columns})
 
 
-def assign_sequence(df: DataFrame, order: Sequence[str], start: int = 1, name: str = "seq", partitions: int | None = None) -> DataFrame:
-    """df numbered without gaps from start, in order; no task sees more than its range of rows.
+def _ranged(df: DataFrame, order: Sequence[Column | str], partitions: int | None, name: str, sort: bool = True) -> DataFrame:
+    """df dealt by range and written with __range, one sorted file a range; rows of equal order values are dealt by their hash.
 
-    Rows are dealt by range and written, so that ranges cannot differ between counting and numbering; one count a
-    range comes to the driver.
+    Written, so that ranges can't differ between a first and a second pass over them.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = work_dir(spark, "ranged")
-    w = Window.partitionBy("__range").orderBy(*order)
-    ranged = df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id())
-    ranged.write.parquet(path)
-    stored = spark.read.parquet(path)
-    total, offsets = start - 1, []
+    path = work_dir(spark, name)
+    columns = [F.col(c) if isinstance(c, str) else c for c in order]
+    hashed = df.withColumn("__hash", F.xxhash64(*df.columns))
+    dealt = hashed.repartitionByRange(n, *columns, "__hash").withColumn("__range", F.spark_partition_id())
+    (dealt.sortWithinPartitions(*columns, "__hash") if sort else dealt).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def assign_sequence(df: DataFrame, order: Sequence[str], start: int = 1, name: str = "seq", partitions: int | None = None) -> DataFrame:
+    """df numbered without gaps from start, in order; no task sees more than its range of rows, however many have the same order value.
+
+    One shuffle: ranges are written in order, and a row's number is its place in its file after the rows of the ranges before;
+    one count a range comes to the driver. Rows of equal order are numbered by their hash. Runs when it is called.
+    """
+    spark = df.sparkSession
+    stored = _ranged(df, order, partitions, "ranged")
+    total, offsets = start, []
     for row in stored.groupBy("__range").count().orderBy("__range").collect():
         offsets.append((row["__range"], total))
         total += row["count"]
     before = spark.createDataFrame(offsets, "__range int, __before long")
-    numbered = stored.join(F.broadcast(before), "__range").withColumn(name, F.row_number().over(w) + F.col("__before"))
-    return numbered.select(*df.columns, F.col(name).cast("long").alias(name))
+    placed = stored.select(*df.columns, "__range", F.col("_metadata.row_index").alias("__place"))
+    return placed.join(F.broadcast(before), "__range").select(*df.columns, (F.col("__before") + F.col("__place")).cast("long").alias(name))
+
+
+def running_sum(df: DataFrame, part: Sequence[str], order: Sequence[str], value: str, name: str = "running", ties: bool = True, descending: bool = False, partitions: int | None = None) -> DataFrame:
+    """df with the sum of value over the rows of its part up to the row in order, a hot part dealt over many tasks.
+
+    Two levels: rows are dealt by range of (part, order), the sums of a part in each range are added up over the ranges before (at
+    most one row a range), and rows are added up inside their range. With ties, rows of equal order all get the sum with all
+    of them, as a RANGE frame gives; these are added up first. Without, they follow each other by their hash. Runs when it is called.
+    """
+    by = [F.desc(c) if descending else F.col(c) for c in order]
+    summed = df.groupBy(*part, *order).agg(F.sum(value).alias("__v")) if ties else df.withColumn("__v", F.col(value))
+    stored = _ranged(summed, [*part, *by], partitions, "prefix", sort=False)
+    of_range = stored.groupBy("__range", *part).agg(F.sum("__v").alias("__t"))
+    before = F.sum("__t").over(Window.partitionBy(*part).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = of_range.select(F.col("__range").alias("__r"), *(F.col(c).alias(f"__{k}") for k, c in enumerate(part)), F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = F.sum("__v").over(Window.partitionBy("__range", *part).orderBy(*by, "__hash").rowsBetween(Window.unboundedPreceding, 0))
+    on = [F.col("__range") == F.col("__r"), *(F.col(c).eqNullSafe(F.col(f"__{k}")) for k, c in enumerate(part))]
+    rows = stored.withColumn("__inside", inside).join(offsets, on).withColumn(name, F.col("__inside") + F.col("__before"))
+    if not ties:
+        return rows.select(*df.columns, name)
+    found = rows.select(*(F.col(c).alias(f"__{k}") for k, c in enumerate([*part, *order])), name)
+    return df.join(found, [F.col(c).eqNullSafe(F.col(f"__{k}")) for k, c in enumerate([*part, *order])]).select(*df.columns, name)
 
 
 def resume_identity(existing: DataFrame, new: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
@@ -110,12 +142,23 @@ def bin_rows(df: DataFrame, order: Sequence[str], column: str, size: int) -> Dat
 
 
 def array_allocate(slots: DataFrame, names: DataFrame, parent: str, have: str, room: str, order: str, name: str) -> DataFrame:
-    """Adds new names to the slots of a parent by running count of free places: the k-th slot gets the next `room` names, last names first."""
-    running = F.sum(room).over(Window.partitionBy(parent).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    listed = names.groupBy(parent).agg(F.reverse(F.array_sort(F.collect_list(name))).alias("__new"))
-    given = F.slice("__new", F.col("__run") - F.col(room) + 1, F.col(room))
-    placed = slots.withColumn("__run", running).join(listed, parent, "left")
-    return placed.withColumn(have, F.array_union(have, F.coalesce(F.when(F.col(room) > 0, given), F.array().cast("array<string>")))).drop("__run", "__new")
+    """Adds new names to the slots of a parent by running count of free places: the k-th slot gets the next `room` names, last names first.
+
+    Names are numbered in their parent and slots' rooms added up, both by running_sum; a slot's places, as many as there are names
+    for, are then joined to the names of those numbers. No row holds more names than its slot gets. Rooms are not negative.
+    """
+    given = names.select(F.col(parent).alias("__parent"), F.col(name).alias("__name")).where(F.col("__name").isNotNull())
+    numbered = running_sum(given.withColumn("__one", F.lit(1)), ["__parent"], ["__name"], "__one", "__at", ties=False, descending=True)
+    there = given.groupBy("__parent").agg(F.count("*").alias("__n"))
+    placed = running_sum(slots, [parent], [order], room, "__run", ties=False)
+    last = F.least(F.col("__run"), F.col("__n"))
+    first = F.col("__run") - F.col(room) + 1
+    places = placed.where(F.col(room) > 0).join(there, F.col(parent) == F.col("__parent")).where(first <= last)
+    places = places.select(F.col("__parent"), "__run", F.explode(F.sequence(first, last)).alias("__at"))
+    taken = places.join(numbered.select("__parent", "__at", "__name"), ["__parent", "__at"])
+    held = taken.groupBy(F.col("__parent").alias("__p"), F.col("__run").alias("__end")).agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__name"))), lambda x: x["__name"]).alias("__new"))
+    out = placed.join(held, (F.col(parent) == F.col("__p")) & (F.col("__run") == F.col("__end")) & (F.col(room) > 0), "left")
+    return out.withColumn(have, F.array_union(have, F.coalesce("__new", F.array().cast("array<string>")))).select(*slots.columns)
 
 
 def column_profile(df: DataFrame, exact: bool = False) -> DataFrame:

@@ -740,10 +740,8 @@ def update_gap_by_hour(spark, d):
 
 @query("SELECT event_id, user_id, CAST(sum(event_id % 4) OVER (PARTITION BY user_id ORDER BY event_type) AS BIGINT) AS slots FROM events")
 def running_slots(spark, d):
-    from pyspark.sql import Window
-
-    running = F.sum(F.col("event_id") % 4).over(Window.partitionBy("user_id").orderBy("event_type"))
-    return events(spark, d).select("event_id", "user_id", running.cast("long").alias("slots"))
+    e = events(spark, d).select("event_id", "user_id", "event_type", (F.col("event_id") % 4).alias("room"))
+    return A.running_sum(e, ["user_id"], ["event_type"], "room", "slots").select("event_id", "user_id", "slots")
 
 
 @query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS seq FROM events")

@@ -229,3 +229,35 @@ def test_compact_sizes_files_by_what_is_stored(spark, tmp_path):
     assert total == sum(p.stat().st_size for p in (tmp_path / "many").glob("*.parquet"))
     files = A.compact(spark.read.parquet(path), str(tmp_path / "few"), total, target_bytes=total // 3 + 1)
     assert files == 3 == len(list((tmp_path / "few").glob("*.parquet"))) and spark.read.parquet(str(tmp_path / "few")).distinct().count() == 20_000
+
+
+def test_numbering_spreads_equal_values_and_shuffles_once(spark):
+    df = spark.range(20_000).select("id", F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(F.lit(7)).alias("v")).repartition(3)
+    dealt = A._ranged(df, ["v"], 8, "test")
+    most = max(r["count"] for r in dealt.groupBy("__range").count().collect())
+    assert most < 2 * 20_000 / 8  # 18,000 have the value 7
+    got = A.assign_sequence(df, ["v"], 1, partitions=8)
+    assert "Exchange rangepartitioning" not in got._jdf.queryExecution().executedPlan().toString() and "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    ordered = [(r.seq, r.v) for r in got.orderBy("seq").collect()]
+    assert [s for s, _ in ordered] == list(range(1, 20_001)) and [v for _, v in ordered] == sorted(v for _, v in ordered)
+    assert got.select("id").distinct().count() == 20_000
+
+
+def test_running_sums_of_a_hot_part(spark):
+    from pyspark.sql import Window
+
+    df = spark.range(3000).select("id", F.when(F.col("id") % 5 > 0, 1).when(F.col("id") % 2 == 0, F.col("id") % 7).alias("p"), (F.col("id") * 31 % 50).alias("o"), (F.col("id") % 9).alias("v")).repartition(4)
+    for ties, down in ((True, False), (True, True), (False, False)):
+        order = [F.desc("o") if down else F.col("o")] + ([] if ties else [F.col("id")])
+        plain = df.withColumn("running", F.sum("v").over(Window.partitionBy("p").orderBy(*order)))
+        got = A.running_sum(df, ["p"], ["o"] if ties else ["o", "id"], "v", ties=ties, descending=down, partitions=7)
+        assert rows(got) == rows(plain)
+    assert A.running_sum(df.limit(0), ["p"], ["o"], "v").count() == 0
+
+
+def test_slots_take_names_in_turn(spark):
+    slots = spark.createDataFrame([("a", 1, ["old"], 2), ("a", 2, [], 0), ("a", 3, [], 3), ("a", 4, [], 9), ("b", 1, ["x"], 1), ("c", 1, [], 2), (None, 1, [], 2)], "parent string, slot int, held array<string>, room int")
+    names = spark.createDataFrame([("a", n) for n in "mnopqr"] + [("b", "x"), ("b", "w"), ("d", "z"), (None, "y"), ("c", None)], "parent string, name string")
+    got = A.array_allocate(slots, names, "parent", "held", "room", "slot", "name")
+    want = [("a", 1, ["old", "r", "q"], 2), ("a", 2, [], 0), ("a", 3, ["p", "o", "n"], 3), ("a", 4, ["m"], 9), ("b", 1, ["x"], 1), ("c", 1, [], 2), (None, 1, [], 2)]
+    assert rows(got) == sorted(want, key=repr)
