@@ -12,6 +12,17 @@ from tableops.functions.columns import ntz
 from tableops.workdir import delete_folder, move_files, work_dir
 
 
+def star_join(fact: DataFrame, dims: Sequence[tuple[DataFrame, str, str]], where: Column | str | None = None, how: str = "inner") -> DataFrame:
+    """fact with its dimensions (frame, foreign key, its key), one after the other; a key of an earlier dimension may lead to a later one.
+
+    A condition over all columns is pushed to where its columns come from; Spark broadcasts what is small.
+    """
+    out = fact
+    for dim, foreign, key in dims:
+        out = out.join(dim, F.col(foreign) == F.col(key), how)
+    return out if where is None else out.where(where)
+
+
 def averages(columns: Sequence[str]) -> list[Column]:
     return [F.avg(c).alias(f"avg_{c}") for c in columns]
 
@@ -171,6 +182,40 @@ def column_profile(df: DataFrame, exact: bool = False) -> DataFrame:
     return df.agg(*aggs).select(F.explode(rows).alias("r")).select("r.*")
 
 
+PROFILE = "column_name string, n_rows long, n_nulls long, least_number double, greatest_number double, least_text string, greatest_text string, values binary, spread binary"
+
+
+def profile_state(df: DataFrame) -> DataFrame:
+    """What a part of a table adds to its profile: a row a column, with counts, extremes and sketches of distinct values and of quantiles.
+
+    States are stored and merged (merge_profiles), so that a table that grows is profiled by reading its new files alone. One pass.
+    """
+    aggs, rows = [F.count(F.lit(1)).alias("__n")], []
+    none = lambda kind: F.lit(None).cast(kind)
+    for k, (c, kind) in enumerate(df.dtypes):
+        number = kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")
+        value = F.col(f"`{c}`").cast("double" if number else "string")
+        aggs += [F.count(F.col(f"`{c}`")).alias(f"n{k}"), F.min(value).alias(f"a{k}"), F.max(value).alias(f"b{k}"), F.hll_sketch_agg(F.col(f"`{c}`").cast("string")).alias(f"d{k}")]
+        aggs += [F.kll_sketch_agg_double(value).alias(f"q{k}")] if number else []
+        pick = lambda name, when, kind: F.col(name) if when else none(kind)
+        fields = [F.lit(c), F.col("__n"), F.col("__n") - F.col(f"n{k}"), pick(f"a{k}", number, "double"), pick(f"b{k}", number, "double"), pick(f"a{k}", not number, "string"), pick(f"b{k}", not number, "string"), F.col(f"d{k}"), pick(f"q{k}", number, "binary")]
+        rows.append(F.struct(*(f.alias(name.split()[0]) for f, name in zip(fields, PROFILE.split(", "), strict=True))))
+    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+
+
+def merge_profiles(states: DataFrame) -> DataFrame:
+    """One state a column from those of any parts, in any order."""
+    total = [F.sum(c).alias(c) for c in ("n_rows", "n_nulls")] + [F.min(c).alias(c) for c in ("least_number", "least_text")] + [F.max(c).alias(c) for c in ("greatest_number", "greatest_text")]
+    merged = states.groupBy("column_name").agg(*total, F.hll_union_agg("values").alias("values"), F.kll_merge_agg_double("spread").alias("spread"))
+    return merged.select(*(c.split()[0] for c in PROFILE.split(", ")))
+
+
+def read_profile(state: DataFrame, quantiles: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """Counts, extremes, distinct values (within about 2 %) and quantiles (ranks within about 1.5 %) that a state tells."""
+    at = F.when(F.col("greatest_number").isNotNull(), F.array(*(F.kll_sketch_get_quantile_double("spread", F.lit(float(q))) for q in quantiles)))
+    return state.select("column_name", "n_rows", "n_nulls", F.hll_sketch_estimate("values").alias("n_distinct"), "least_number", "greatest_number", "least_text", "greatest_text", at.alias("quantiles"))
+
+
 def rank_layout_columns(usage: DataFrame, table: str, column: str, measures: Sequence[str]) -> DataFrame:
     """Columns of each table by the sum of their measures, each scaled to 0..1 in its table."""
     w = Window.partitionBy(table)

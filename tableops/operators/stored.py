@@ -1,4 +1,4 @@
-"""A stored table that a merge rewrites only where its batch touches it, and that tells what each version changed."""
+"""Stored tables: one that a merge rewrites only where its batch touches it and that tells what each version changed, and a log with snapshots."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableops.operators.upsert import apply_changes, change_feed
+from tableops.operators.upsert import apply_changes, as_of_version, change_feed
 from tableops.workdir import delete_folder, glob_paths, work_dir
 
 #: A commit has a row for each bucket, and one without a bucket.
@@ -115,6 +115,58 @@ class StoredTable:
                 delete_folder(self.spark, f"{self.path}/changes/version__={version}")
 
 
+class VersionLog:
+    """An append-only log of changes by version, with snapshots: a version is read from the nearest one before it and the changes after that.
+
+    log/version__=N         rows that version N sets, and `_deleted`
+    snapshots/version__=N   the table as it stood at version N
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str]):
+        self.spark, self.path, self.schema, self.keys = spark, path.rstrip("/"), schema, list(keys)
+
+    def _written(self, part: str) -> list[int]:
+        # Spark moves a version's folder here once its write has succeeded; a snapshot is whole when its mark is there.
+        found = glob_paths(self.spark, f"{self.path}/{part}/version__=*" + ("/_SUCCESS" if part == "snapshots" else ""))
+        return sorted(int(p.removesuffix("/_SUCCESS").rsplit("=", 1)[1]) for p in found)
+
+    def append(self, changes: DataFrame, version: int) -> None:
+        """Writes a version's changes, at most one a key; a repeated call writes the same again."""
+        self.append_all(changes.withColumn("_version", F.lit(version).cast("long")))
+
+    def append_all(self, changes: DataFrame) -> None:
+        """Writes several versions at once, told apart by _version; those that are there already are written again."""
+        rows = changes.select(*self.schema.names, "_deleted", F.col("_version").alias("version__"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version__").parquet(f"{self.path}/log")
+
+    def tail(self, after: int, version: int) -> DataFrame:
+        """Changes of the versions after one, up to another, with _version: no other file is listed or read."""
+        fields = T.StructType([*self.schema.fields, T.StructField("_deleted", T.BooleanType()), T.StructField("version__", T.LongType())])
+        paths = [f"{self.path}/log/version__={v}" for v in self._written("log") if after < v <= version]
+        if not paths:
+            return self.spark.createDataFrame([], fields).withColumnRenamed("version__", "_version")
+        return self.spark.read.schema(fields).option("basePath", f"{self.path}/log").parquet(*paths).withColumnRenamed("version__", "_version")
+
+    def as_of(self, version: int) -> DataFrame:
+        """The table as it stood at a version."""
+        start = max((v for v in self._written("snapshots") if v <= version), default=None)
+        tail = self.tail(-1 if start is None else start, version)
+        if start is None:
+            return as_of_version(tail, self.keys, version)
+        snapshot = self.spark.read.schema(self.schema).parquet(f"{self.path}/snapshots/version__={start}")
+        base = snapshot.withColumns({"_deleted": F.lit(False), "_version": F.lit(start).cast("long")})
+        return as_of_version(base.unionByName(tail), self.keys, version)
+
+    def snapshot(self, version: int) -> None:
+        """Writes a version whole, from the snapshot before it."""
+        self.as_of(version).write.mode("overwrite").parquet(f"{self.path}/snapshots/version__={version}")
+
+    def revert(self, version: int) -> DataFrame:
+        """Change rows that bring the newest version back to an earlier one."""
+        newest = max(self._written("log"), default=version)
+        return change_feed(self.as_of(newest), self.as_of(version), self.keys).where("_change_type <> 'update_preimage'")
+
+
 def apply_feed(target: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Target after the change rows of one or more versions: what a reader of the feed makes of its copy."""
     last = changes.where("_change_type <> 'update_preimage'")

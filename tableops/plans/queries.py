@@ -12,7 +12,7 @@ from tableops.functions import columns as C
 from tableops.operators import analytics as A
 from tableops.operators import compare as J
 from tableops.operators import upsert as U
-from tableops.operators.stored import StoredTable, apply_feed
+from tableops.operators.stored import StoredTable, VersionLog, apply_feed
 from tableops.operators.views import GroupedView
 from tableops.plans.tables import DIRTY, KEYED, RUNS, STAR, dirty_events, events, keyed, runs_log, star, table
 from tableops.sources import files, sinks
@@ -218,7 +218,9 @@ def export_manifest(spark, d):
     kind = F.regexp_extract("path", r"event_type=([^/]+)/", 1)
     target = dst if "://" in dst else f"file://{dst}"
     manifest = listed.select(F.regexp_replace("path", "^file:/+", "file:///").alias("source"), F.concat(F.lit(f"{target}/"), kind, F.lit("/"), F.element_at(F.split("path", "/"), -1)).alias("target"))
-    report = spark.createDataFrame(sinks.copy_files(manifest).collect(), "source string, target string, status string")
+    report_path = work_dir(spark, "report")
+    sinks.copy_files(manifest).write.parquet(report_path)  # copies once, and keeps a row a file
+    report = spark.read.parquet(report_path)
     counts = spark.read.option("recursiveFileLookup", "true").parquet(target).withColumn("event_type", F.regexp_extract("_metadata.file_path", r"/([a-z]+)/[^/]+$", 1)).groupBy("event_type").agg(F.count("*").alias("n"))
     done = report.select(F.regexp_extract("source", r"event_type=([^/]+)/", 1).alias("event_type"), "status").distinct()
     return done.join(counts, "event_type")
@@ -612,6 +614,18 @@ def as_of_version(spark, d):
     return U.as_of_version(_change_log(spark, d), ["user_id", "event_type"], 12)
 
 
+@query(f"WITH {_LOG} {_AT.format(where='WHERE v <= 12')}")
+def as_of_snapshot(spark, d):
+    """Version 12 of a log from the snapshot of version 10 and the changes after it."""
+    log = _change_log(spark, d)
+    kept = VersionLog(spark, work_dir(spark, "log"), log.drop("_version", "_deleted").schema, ["user_id", "event_type"])
+    for first, last in ((0, 10), (11, 30)):  # versions come in two loads, with a snapshot between them
+        kept.append_all(log.where(F.col("_version").between(first, last)))
+        if last == 10:
+            kept.snapshot(last)
+    return kept.as_of(12)
+
+
 @query(f"""WITH {_LOG}, old AS ({_AT.format(where='')}), new AS ({_AT.format(where='WHERE v <= 12')})
     SELECT 'insert' AS _change_type, n.* FROM new n LEFT JOIN old o USING (user_id, event_type) WHERE o.user_id IS NULL
     UNION ALL SELECT 'delete', o.* FROM old o LEFT JOIN new n USING (user_id, event_type) WHERE n.user_id IS NULL
@@ -854,6 +868,23 @@ def column_profile(spark, d):
     return A.column_profile(dirty_events(spark, d).select("event_id", "user_id", "event_type"), exact=True)
 
 
+@query("""SELECT c AS column_name, count(*) AS n_rows, count(*) - count(v) AS n_nulls, min(v) AS least, max(v) AS greatest, true AS distinct_near, true AS median_near
+    FROM (SELECT unnest(['event_id', 'user_id', 'value']) AS c, unnest([CAST(event_id AS DOUBLE), user_id, value]) AS v FROM events) GROUP BY 1""")
+def profile_by_parts(spark, d):
+    """A profile kept beside a growing table: a stream makes a state of each part's new files, and the states are merged."""
+    src, states, checkpoint = work_dir(spark, "growing"), work_dir(spark, "states"), work_dir(spark, "state")
+    e = events(spark, d).select("event_id", "user_id", "value")
+    for part in range(3):
+        e.where(F.col("event_id") % 3 == part).write.mode("append").parquet(src)
+        S.run_available(S.stream_table(spark, src, e.schema), checkpoint, batch=lambda df, n: A.profile_state(df).write.mode("overwrite").parquet(f"{states}/batch={n}"))
+    found = A.read_profile(A.merge_profiles(spark.read.schema(A.PROFILE).parquet(states)), [0.5])
+    exact = A.column_profile(e, exact=True).select("column_name", F.col("n_distinct").alias("exact"))
+    below = e.select(F.explode(F.create_map(*(x for c in e.columns for x in (F.lit(c), F.col(c).cast("double"))))).alias("column_name", "v"))
+    ranks = below.join(F.broadcast(found), "column_name").groupBy("column_name").agg(F.avg((F.col("v") <= F.col("quantiles")[0]).cast("double")).alias("rank"))
+    near = [(F.abs(F.col("n_distinct") / F.col("exact") - 1) < 0.05).alias("distinct_near"), (F.abs(F.col("rank") - 0.5) < 0.05).alias("median_near")]
+    return found.join(exact, "column_name").join(ranks, "column_name").select("column_name", "n_rows", "n_nulls", F.col("least_number").alias("least"), F.col("greatest_number").alias("greatest"), *near)
+
+
 @query("""WITH u AS (SELECT c_mktsegment AS tbl, c_nationkey AS col, count(*) AS usage, round(avg(c_acctbal) + 1e-7, 2) AS runtime FROM customer GROUP BY 1, 2),
     b AS (SELECT *, min(usage) OVER w AS u0, max(usage) OVER w AS u1, min(runtime) OVER w AS r0, max(runtime) OVER w AS r1 FROM u WINDOW w AS (PARTITION BY tbl)),
     s AS (SELECT tbl, col, usage, runtime, round((CASE WHEN u1 > u0 THEN (usage - u0) / (u1 - u0) ELSE 0.0 END) + (CASE WHEN r1 > r0 THEN (runtime - r0) / (r1 - r0) ELSE 0.0 END), 6) AS score FROM b)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tableops.operators.analytics import star_join
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -56,7 +58,7 @@ RUNS = """log AS (
 def star(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with their order and customer; date_key is the order date as yyyymmdd."""
     li, o, c = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "customer"))
-    joined = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"])
+    joined = star_join(li, [(o, "l_orderkey", "o_orderkey"), (c, "o_custkey", "c_custkey")])
     return joined.withColumn("date_key", F.date_format("o_orderdate", "yyyyMMdd").cast("int"))
 
 

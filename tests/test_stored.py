@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tableops.operators import analytics as A
 from tableops.operators import compare as J
 from tableops.operators import upsert as U
-from tableops.operators.stored import StoredTable, apply_feed
+from tableops.operators.stored import StoredTable, VersionLog, apply_feed
 from tableops.operators.views import GroupedView
 from tableops.sources.files import list_files
 from tableops.streaming import streams as S
@@ -303,3 +303,50 @@ def test_bins_hold_at_most_the_target(spark):
         sizes[r.folder, r.part, r.bin] += r.length
     assert len(got) >= len(small) - 2 * 2 and max(sizes.values()) <= 100 and {r.path for r in got} <= {p for p, _ in small}
     assert len(sizes) <= 1.15 * sum(n for _, n in small) / 100 + 2
+
+
+# Logs with snapshots, profiles in parts
+
+
+def test_a_version_is_read_from_the_nearest_snapshot(spark):
+    rng = random.Random(5)
+    log = VersionLog(spark, work_dir(spark, "log"), spark.createDataFrame([], "k int, v int").schema, ["k"])
+    tables, now = {}, {}
+    for n in range(9):
+        changes = {rng.randint(0, 9): (rng.randint(0, 99), rng.random() < 0.3) for _ in range(4)}
+        log.append(spark.createDataFrame([(k, v, gone) for k, (v, gone) in changes.items()], "k int, v int, _deleted boolean"), n)
+        now = {k: v for k, v in now.items() if k not in changes} | {k: v for k, (v, gone) in changes.items() if not gone}
+        tables[n] = sorted(now.items())
+        if n in (3, 6):
+            log.snapshot(n)
+    assert [rows(log.as_of(n)) for n in range(9)] == [tables[n] for n in range(9)]
+    read = {p.split("version__=")[1].split("/")[0] for p in log.as_of(8).inputFiles()}
+    assert read == {"6", "7", "8"}  # the snapshot, and the log after it
+    back = log.revert(2)
+    gone = {r.k for r in back.where("_change_type = 'delete'").collect()}
+    put_back = {r.k: r.v for r in back.where("_change_type <> 'delete'").collect()}
+    assert sorted(({k: v for k, v in tables[8] if k not in gone} | put_back).items()) == tables[2]
+
+
+def test_profile_of_parts_is_the_profile_of_the_whole(spark):
+    df = spark.range(30_000).select("id", (F.col("id") % 700).cast("string").alias("s"), F.when(F.col("id") % 3 > 0, F.col("id") * 0.5).alias("x"), F.lit(None).cast("double").alias("none"))
+    states = None
+    for part in range(3):
+        state = A.profile_state(df.where(F.col("id") % 3 == part))
+        states = state if states is None else states.unionByName(state)
+    got = {r.column_name: r for r in A.read_profile(A.merge_profiles(states)).collect()}
+    assert {c: (r.n_rows, r.n_nulls) for c, r in got.items()} == {"id": (30_000, 0), "s": (30_000, 0), "x": (30_000, 10_000), "none": (30_000, 30_000)}
+    assert (got["id"].least_number, got["id"].greatest_number, got["s"].least_text, got["s"].greatest_text) == (0, 29_999, "0", "99")
+    for c, n in (("id", 30_000), ("s", 700), ("x", 20_000)):
+        assert abs(got[c].n_distinct / n - 1) < 0.05
+    assert all(abs(q / 29_999 - share) < 0.02 for q, share in zip(got["id"].quantiles, (0.25, 0.5, 0.75), strict=True))
+    assert got["s"].quantiles is None and got["none"].quantiles is None and got["none"].n_distinct == 0
+    assert A.read_profile(A.merge_profiles(A.profile_state(df.limit(0)))).count() == 4
+
+
+def test_star_join_follows_keys_of_earlier_dimensions(spark):
+    fact = spark.createDataFrame([(1, 10), (2, 20), (3, None)], "f int, a int")
+    first, second = spark.createDataFrame([(10, 7), (20, 8)], "a_id int, b int"), spark.createDataFrame([(7, "x")], "b_id int, name string")
+    assert rows(A.star_join(fact, [(first, "a", "a_id"), (second, "b", "b_id")])) == [(1, 10, 10, 7, 7, "x")]
+    assert len(rows(A.star_join(fact, [(first, "a", "a_id"), (second, "b", "b_id")], how="left"))) == 3
+    assert rows(A.star_join(fact, [(first, "a", "a_id")], where="b = 8")) == [(2, 20, 20, 8)]
