@@ -839,14 +839,14 @@ def compact_rowcount(spark, d):
     return back.agg(F.count("*").alias("n_rows"), F.countDistinct("_metadata.file_path").cast("int").alias("n_files"))
 
 
-@query("SELECT event_id, value FROM events")
+@query("SELECT doc_id, text FROM documents")
 def compact_small_files(spark, d):
     """A table of large files and many small ones, after the small ones were packed together: the same rows."""
     path = work_dir(spark, "mixed")
-    e = events(spark, d).select("event_id", "value")
-    e.where("event_id % 3 > 0").write.parquet(path)
-    target = files.list_files(spark, path).where("path LIKE '%.parquet'").agg(F.min("length")).first()[0]  # so that those files stay
-    e.where("event_id % 3 = 0").repartition(24, "event_id").write.mode("append").parquet(path)
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs.where("doc_id % 3 > 0").write.parquet(path)
+    target = files.list_files(spark, path).where("path LIKE '%.parquet'").agg(F.max("length")).first()[0]
+    docs.where("doc_id % 3 = 0").repartition(48, "doc_id").write.mode("append").parquet(path)
     A.compact_small(spark, path, target)
     return spark.read.parquet(path)
 
@@ -1047,52 +1047,52 @@ def scd2_out_of_order(spark, d):
     return _versioned(spark, d, OUT_OF_ORDER, latest_only=False, delete_when=F.col("band") == 0)
 
 
-_ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
-_CHANGED_ORDERS = """changed AS (
-    SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice + CASE WHEN o_orderkey % 7 = 0 THEN 10 ELSE 0 END AS o_totalprice FROM orders WHERE o_orderkey % 10 <> 3)"""
-_FIRST_ORDERS = "first AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 10 <> 4)"
+_DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
+_FIRST_DOCS = f"first AS (SELECT {', '.join(_DOCUMENT)} FROM documents WHERE doc_id % 10 <> 4)"
+_CHANGED_DOCS = "changed AS (SELECT doc_id, text, lang, source, n_chars + CASE WHEN doc_id % 7 = 0 THEN 10 ELSE 0 END AS n_chars FROM documents WHERE doc_id % 10 <> 3)"
 
 
-def _stored_orders(spark: SparkSession, d: str) -> StoredTable:
-    """Version 0: nine tenths of orders. Version 1: a tenth deleted, a tenth inserted, and every seventh one's price changed."""
-    o = table(spark, d, "orders").select(*_ORDERS)
-    out = _stored(spark, o.schema, ["o_orderkey"])
-    out.merge(o.where("o_orderkey % 10 <> 4"), 0, lambda old, batch: U.upsert(old, batch, ["o_orderkey"]))
-    price = F.when(F.col("o_orderkey") % 7 == 0, F.col("o_totalprice") + 10).otherwise(F.col("o_totalprice"))
-    feed = o.where("o_orderkey % 10 IN (3, 4) OR o_orderkey % 7 = 0").withColumns({"o_totalprice": price, "at": F.lit(1)})
-    out.merge(feed, 1, lambda old, batch: U.apply_changes(old, batch, ["o_orderkey"], "at", delete_when=F.col("o_orderkey") % 10 == 3))
+def _stored_documents(spark: SparkSession, d: str) -> StoredTable:
+    """Version 0: nine tenths of documents. Version 1: a tenth deleted, a tenth inserted, and every seventh one's n_chars changed."""
+    docs = table(spark, d, "documents").select(*_DOCUMENT)
+    out = _stored(spark, docs.schema, ["doc_id"])
+    out.merge(docs.where("doc_id % 10 <> 4"), 0, lambda old, batch: U.upsert(old, batch, ["doc_id"]))
+    size = F.when(F.col("doc_id") % 7 == 0, F.col("n_chars") + 10).otherwise(F.col("n_chars"))
+    feed = docs.where("doc_id % 10 IN (3, 4) OR doc_id % 7 = 0").withColumns({"n_chars": size, "at": F.lit(1)})
+    out.merge(feed, 1, lambda old, batch: U.apply_changes(old, batch, ["doc_id"], "at", delete_when=F.col("doc_id") % 10 == 3))
     return out
 
 
-@query(f"""WITH {_FIRST_ORDERS}, {_CHANGED_ORDERS}
-    SELECT 'insert' AS _change_type, n.*, CAST(1 AS BIGINT) AS _commit_version FROM changed n WHERE o_orderkey NOT IN (SELECT o_orderkey FROM first)
-    UNION ALL SELECT 'delete', o.*, 1 FROM first o WHERE o_orderkey NOT IN (SELECT o_orderkey FROM changed)
-    UNION ALL SELECT 'update_preimage', o.*, 1 FROM first o JOIN changed n USING (o_orderkey) WHERE o.o_totalprice <> n.o_totalprice
-    UNION ALL SELECT 'update_postimage', n.*, 1 FROM first o JOIN changed n USING (o_orderkey) WHERE o.o_totalprice <> n.o_totalprice""")
+@query(f"""WITH {_FIRST_DOCS}, {_CHANGED_DOCS}
+    SELECT 'insert' AS _change_type, n.*, CAST(1 AS BIGINT) AS _commit_version FROM changed n WHERE doc_id NOT IN (SELECT doc_id FROM first)
+    UNION ALL SELECT 'delete', o.*, 1 FROM first o WHERE doc_id NOT IN (SELECT doc_id FROM changed)
+    UNION ALL SELECT 'update_preimage', o.*, 1 FROM first o JOIN changed n USING (doc_id) WHERE o.n_chars <> n.n_chars
+    UNION ALL SELECT 'update_postimage', n.*, 1 FROM first o JOIN changed n USING (doc_id) WHERE o.n_chars <> n.n_chars""")
 def stored_change_feed(spark, d):
     """What version 1 changed, from the files that its merge wrote."""
-    return _stored_orders(spark, d).changes([1])
+    return _stored_documents(spark, d).changes([1])
 
 
-@query(f"WITH {_CHANGED_ORDERS} SELECT * FROM changed")
+@query(f"WITH {_CHANGED_DOCS} SELECT * FROM changed")
 def change_feed_follower(spark, d):
     """A copy of a stored table, kept by a stream over its change feed."""
-    source, copy, state = _stored_orders(spark, d), _stored(spark, table(spark, d, "orders").select(*_ORDERS).schema, ["o_orderkey"]), work_dir(spark, "state")
-    S.follow_changes(source, state, lambda changes, n: copy.merge(changes, n, lambda old, feed: apply_feed(old, feed, ["o_orderkey"])))
+    source, state = _stored_documents(spark, d), work_dir(spark, "state")
+    copy = _stored(spark, source.schema, ["doc_id"])
+    S.follow_changes(source, state, lambda changes, n: copy.merge(changes, n, lambda old, feed: apply_feed(old, feed, ["doc_id"])))
     return copy.latest()
 
 
-@query(f"""WITH {_CHANGED_ORDERS} SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice) + 1e-7, 4) AS avg_price, min(o_totalprice) AS least, max(o_totalprice) AS greatest
-    FROM changed GROUP BY 1""")
+@query(f"""WITH {_CHANGED_DOCS} SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS total, round(avg(n_chars) + 1e-7, 4) AS avg_chars, min(n_chars) AS least, max(n_chars) AS greatest
+    FROM changed GROUP BY 1, 2""")
 def view_refresh_incremental(spark, d):
     """A view of version 0 moved to version 1 by the change feed: only groups that lost an extreme are read again."""
-    source = _stored_orders(spark, d)
-    view = GroupedView(["o_orderstatus"], sums=["o_totalprice"], extremes=["o_totalprice"])
+    source = _stored_documents(spark, d)
+    view = GroupedView(["lang", "source"], sums=["n_chars"], extremes=["n_chars"])
     before, kept = view.compute(source.read(0)), work_dir(spark, "view")
     before.write.parquet(kept)
     after = view.averages(view.refresh(spark.read.schema(before.schema).parquet(kept), source.changes([1]), source.read(1)))
-    total = F.round(F.col("sum_o_totalprice").cast("double"), 2).alias("total")
-    return after.select("o_orderstatus", "n", total, F.round(F.col("avg_o_totalprice") + 1e-7, 4).alias("avg_price"), F.col("least_o_totalprice").alias("least"), F.col("greatest_o_totalprice").alias("greatest"))
+    total = F.col("sum_n_chars").cast("long").alias("total")
+    return after.select("lang", "source", "n", total, F.round(F.col("avg_n_chars") + 1e-7, 4).alias("avg_chars"), F.col("least_n_chars").alias("least"), F.col("greatest_n_chars").alias("greatest"))
 
 
 @query("SELECT 4 AS n_batches, count(*) AS n_rows FROM events")
