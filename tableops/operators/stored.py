@@ -8,13 +8,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableops.operators.upsert import apply_changes, as_of_version, change_feed
+from tableops.operators.upsert import BROADCAST_ROWS, apply_changes, as_of_version, change_feed
 from tableops.workdir import delete_folder, glob_paths, work_dir
 
 #: A commit has a row for each bucket, and one without a bucket.
 COMMIT = "bucket int, at long, version long"
 
 
+#: Batches are broadcast only if their files, as stored, have at most so many bytes (and BROADCAST_ROWS rows).
+BROADCAST_BYTES = 16 << 20
+
+
+def few_rows(batch: DataFrame) -> int | None:
+    """The number of rows of a written batch if they are few and short enough to be broadcast, else None."""
+    files = batch.inputFiles()
+    if not files:
+        return 0
+    size = batch.sparkSession.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0]
+    rows = batch.count() if size <= BROADCAST_BYTES else None
+    return rows if rows is not None and rows <= BROADCAST_ROWS else None
+
+
 class StoredTable:
     """Rows in buckets by the hash of their keys; a version is a list of where each bucket was written last.
 
@@ -52,8 +66,8 @@ class StoredTable:
         return {row["bucket"]: row["at"] for row in listed.where("bucket IS NOT NULL").collect()}
 
     def _rows(self, places: dict[int, int]) -> DataFrame:
-        if not places:
-            return self.spark.createDataFrame([], self.schema)
+        if not places:  # an empty relation that the optimizer knows to be one, so that a first merge joins nothing
+            return self.spark.range(0).where("false").select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields))
         whole = T.StructType([*self.schema.fields, T.StructField("version__", T.LongType()), T.StructField("bucket__", T.IntegerType())])
         reader = self.spark.read.schema(whole).option("basePath", f"{self.path}/data")
         return reader.parquet(*(f"{self.path}/data/version__={at}/bucket__={b}" for b, at in sorted(places.items()))).select(*self.schema.names)
@@ -67,8 +81,11 @@ class StoredTable:
 
     latest = read
 
-    def merge(self, batch: DataFrame, version: int, change: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-        """Makes a version: change(rows of the buckets that batch has keys of, batch) gives those buckets' new rows."""
+    def merge(self, batch: DataFrame, version: int, change: Callable[[DataFrame, DataFrame], DataFrame], only_keys: bool = False) -> None:
+        """Makes a version: change(rows of the buckets that batch has keys of, batch) gives those buckets' new rows.
+
+        only_keys says that change leaves rows alone whose keys batch doesn't have: then the feed compares none but the others.
+        """
         there = self.versions()
         if version in there:
             return
@@ -86,8 +103,17 @@ class StoredTable:
         made.hint("rebalance", F.col("bucket__")).write.mode("overwrite").partitionBy("bucket__").parquet(f"{self.path}/data/version__={version}")
         written = {int(p.rsplit("=", 1)[1]) for p in glob_paths(self.spark, f"{self.path}/data/version__={version}/bucket__=*")}
         new = {b: at for b, at in places.items() if b not in touched} | {b: version for b in written}
-        feed = change_feed(old, self._rows({b: version for b in written}), self.row_keys).withColumn("_commit_version", F.lit(version).cast("long"))
-        feed.write.mode("overwrite").parquet(f"{self.path}/changes/version__={version}")
+        now = self._rows({b: version for b in written})
+        if not any(b in touched for b in places):
+            feed = now.select(F.lit("insert").alias("_change_type"), "*")
+        elif only_keys:
+            named = staged.select(*(F.col(k).cast(self.schema[k].dataType).alias(f"__{k}") for k in self.keys)).distinct()
+            named = F.broadcast(named) if staged.count() <= BROADCAST_ROWS else named
+            on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in self.keys]
+            feed = change_feed(old.join(named, on, "left_semi"), now.join(named, on, "left_semi"), self.row_keys)
+        else:
+            feed = change_feed(old, now, self.row_keys)
+        feed.withColumn("_commit_version", F.lit(version).cast("long")).write.mode("overwrite").parquet(f"{self.path}/changes/version__={version}")
         rows = [F.struct(F.lit(b).cast("int").alias("bucket"), F.lit(at).cast("long").alias("at"), F.lit(version).cast("long").alias("version")) for b, at in [(None, None), *sorted(new.items())]]
         self.spark.range(1, numPartitions=1).select(F.inline(F.array(*rows))).write.mode("overwrite").parquet(f"{self.path}/commits/version__={version}")
         delete_folder(self.spark, staged_path)
@@ -167,7 +193,7 @@ class VersionLog:
         return change_feed(self.as_of(newest), self.as_of(version), self.keys).where("_change_type <> 'update_preimage'")
 
 
-def apply_feed(target: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
+def apply_feed(target: DataFrame, changes: DataFrame, keys: Sequence[str], source_rows: int | None = None) -> DataFrame:
     """Target after the change rows of one or more versions: what a reader of the feed makes of its copy."""
     last = changes.where("_change_type <> 'update_preimage'")
-    return apply_changes(target, last, keys, "_commit_version", delete_when=F.col("_change_type") == "delete")
+    return apply_changes(target, last, keys, "_commit_version", delete_when=F.col("_change_type") == "delete", source_rows=source_rows)

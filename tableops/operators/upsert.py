@@ -73,13 +73,14 @@ def upsert(
     return joined.select(*(x.alias(c) for c, x in merged.items())).unionByName(inserts)
 
 
-def apply_changes(target: DataFrame, feed: DataFrame, keys: Sequence[str], sequence: str, delete_when: Column | None = None, except_cols: Sequence[str] = (), tombstones: bool = False) -> DataFrame:
+def apply_changes(target: DataFrame, feed: DataFrame, keys: Sequence[str], sequence: str, delete_when: Column | None = None, except_cols: Sequence[str] = (), tombstones: bool = False, source_rows: int | None = None) -> DataFrame:
     """Target after a change feed: of the target's row and the changes of a key the last by sequence stands; a delete removes it.
 
     An older change never wins over a newer row, if the target has the sequence column (else the feed always wins). Of equal
     sequence values a delete wins, then the greater remaining columns, so that the parts of a feed may come in any order, and
     repeatedly. With tombstones the result has `_deleted` and keeps deleted rows, and so must the target of the next call: only then
-    do changes older than a delete stay away. Null keys count as one key. Target and feed are each read and shuffled once.
+    do changes older than a delete stay away. Null keys count as one key. Target and feed are each read and shuffled once; with
+    source_rows, those of the feed, known and small, its changes are broadcast and the target is not shuffled.
     """
     columns = [c for c in target.columns if c not in except_cols and c != "_deleted"]
     kinds = dict(target.dtypes)
@@ -95,7 +96,13 @@ def apply_changes(target: DataFrame, feed: DataFrame, keys: Sequence[str], seque
     row = F.struct(*columns, "_deleted")
     t = target.select(*columns, old_gone.alias("_deleted")).select(row.alias("t"), *keys)
     s = latest.select(row.alias("s"), *(F.col(k).alias(f"__{k}") for k in keys))
-    both = t.join(s, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "full")
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    if source_rows is None or source_rows > BROADCAST_ROWS:
+        both = t.join(s, on, "full")
+    else:
+        met = t.join(F.broadcast(s), on, "left")
+        hit = met.where(F.col("s").isNotNull()).select(*keys).distinct()
+        both = met.select("t", "s").unionByName(s.join(F.broadcast(hit), on, "left_anti").select(F.lit(None).cast(t.schema["t"].dataType).alias("t"), "s"))
     place = lambda side: F.struct(*(F.col(f"{side}.{c}") for c in (sequence, "_deleted", *rest)))
     newer = place("s") > place("t") if moved else F.lit(True)
     stands = F.when(F.col("s").isNull(), F.col("t")).when(F.col("t").isNull() | newer, F.col("s")).otherwise(F.col("t"))

@@ -12,7 +12,7 @@ from tableops.functions import columns as C
 from tableops.operators import analytics as A
 from tableops.operators import compare as J
 from tableops.operators import upsert as U
-from tableops.operators.stored import StoredTable, VersionLog, apply_feed
+from tableops.operators.stored import StoredTable, VersionLog, apply_feed, few_rows
 from tableops.operators.views import GroupedView
 from tableops.plans.tables import DIRTY, KEYED, RUNS, STAR, dirty_events, events, keyed, runs_log, star, table
 from tableops.sources import files, sinks
@@ -1056,10 +1056,10 @@ def _stored_documents(spark: SparkSession, d: str) -> StoredTable:
     """Version 0: nine tenths of documents. Version 1: a tenth deleted, a tenth inserted, and every seventh one's n_chars changed."""
     docs = table(spark, d, "documents").select(*_DOCUMENT)
     out = _stored(spark, docs.schema, ["doc_id"])
-    out.merge(docs.where("doc_id % 10 <> 4"), 0, lambda old, batch: U.upsert(old, batch, ["doc_id"]))
+    out.merge(docs.where("doc_id % 10 <> 4"), 0, lambda old, batch: U.upsert(old, batch, ["doc_id"]), only_keys=True)
     size = F.when(F.col("doc_id") % 7 == 0, F.col("n_chars") + 10).otherwise(F.col("n_chars"))
     feed = docs.where("doc_id % 10 IN (3, 4) OR doc_id % 7 = 0").withColumns({"n_chars": size, "at": F.lit(1)})
-    out.merge(feed, 1, lambda old, batch: U.apply_changes(old, batch, ["doc_id"], "at", delete_when=F.col("doc_id") % 10 == 3))
+    out.merge(feed, 1, lambda old, batch: U.apply_changes(old, batch, ["doc_id"], "at", delete_when=F.col("doc_id") % 10 == 3, source_rows=few_rows(batch)), only_keys=True)
     return out
 
 
@@ -1078,7 +1078,7 @@ def change_feed_follower(spark, d):
     """A copy of a stored table, kept by a stream over its change feed."""
     source, state = _stored_documents(spark, d), work_dir(spark, "state")
     copy = _stored(spark, source.schema, ["doc_id"])
-    S.follow_changes(source, state, lambda changes, n: copy.merge(changes, n, lambda old, feed: apply_feed(old, feed, ["doc_id"])))
+    S.follow_changes(source, state, lambda changes, n: copy.merge(changes, n, lambda old, feed: apply_feed(old, feed, ["doc_id"], few_rows(feed)), only_keys=True))
     return copy.latest()
 
 

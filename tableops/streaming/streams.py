@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tableops.functions.columns import with_audit_columns
-from tableops.operators.stored import COMMIT, StoredTable
+from tableops.operators.stored import COMMIT, StoredTable, few_rows
 from tableops.operators.upsert import apply_changes, dedup_latest, scd2_merge, splice_changes, upsert
 from tableops.workdir import delete_folder, glob_paths
 
@@ -103,7 +103,7 @@ class VersionedTable:
     def latest(self) -> DataFrame:
         return self._read(self.versions())
 
-    def merge(self, batch: DataFrame, n: int, change: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    def merge(self, batch: DataFrame, n: int, change: Callable[[DataFrame, DataFrame], DataFrame], only_keys: bool = False) -> None:
         self.write(change(self.before(n), batch), n)
 
 
@@ -114,15 +114,15 @@ def stream_upsert(stream: DataFrame, table: StoredTable | VersionedTable, keys:
     """
 
     def change(old: DataFrame, batch: DataFrame) -> DataFrame:
-        rows = batch.count() if isinstance(table, StoredTable) else None  # of files just written: their footers tell
+        rows = few_rows(batch) if isinstance(table, StoredTable) else None
         return upsert(old, dedup_latest(batch, keys, order), keys, condition=condition, source_rows=rows, checked=True)
 
-    run_available(stream, checkpoint, batch=lambda df, n: table.merge(df, n, change))
+    run_available(stream, checkpoint, batch=lambda df, n: table.merge(df, n, change, only_keys=True))
 
 
 def stream_changes(stream: DataFrame, table: StoredTable, keys: Sequence[str], sequence: str, checkpoint: str, delete_when: Column | None = None) -> None:
     """Applies a change feed whose batches come in any order: the table keeps each row's sequence value, and deleted rows as tombstones (`_deleted`)."""
-    run_available(stream, checkpoint, batch=lambda df, n: table.merge(df, n, lambda old, feed: apply_changes(old, feed, keys, sequence, delete_when, tombstones=True)))
+    run_available(stream, checkpoint, batch=lambda df, n: table.merge(df, n, lambda old, feed: apply_changes(old, feed, keys, sequence, delete_when, tombstones=True, source_rows=few_rows(feed)), only_keys=True))
 
 
 def stream_scd2(stream: DataFrame, table: StoredTable | VersionedTable, keys: Sequence[str], compare: Sequence[str], effective: str, checkpoint: str, latest_only: bool = True, delete_when: Column | None = None) -> None:
@@ -137,7 +137,7 @@ def stream_scd2(stream: DataFrame, table: StoredTable | VersionedTable, keys: Se
         changes = dedup_latest(batch, keys, [F.col(effective).desc()]) if latest_only else batch
         return splice_changes(old, changes, keys, effective, compare, delete_when)
 
-    run_available(stream, checkpoint, batch=lambda df, n: table.merge(df, n, change))
+    run_available(stream, checkpoint, batch=lambda df, n: table.merge(df, n, change, only_keys=True))
 
 
 def follow_changes(table: StoredTable, checkpoint: str, apply: Callable[[DataFrame, int], None], start: int = 0) -> None:
