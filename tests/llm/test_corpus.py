@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -211,6 +212,44 @@ def test_html_drops_no_text(page, text):
     assert html_extract.extract_text(page) == text
 
 
+def _plain_page(page):
+    """The page with its article, menu and footer elements as div."""
+    return re.sub(r"<(/?)(?:article|nav|footer|header|aside)\b", r"<\1div", page)
+
+
+def test_html_blocks_decide_where_no_element_tells(data, monkeypatch):
+    """Surge and dive points bound the article on pages of div alone; one block over the whole page takes more."""
+    pages = [r.html for r in pq.read_table(f"{data.replace('0.001', '0.01')}/pages.parquet").to_pandas().itertuples()]
+    want = [html_extract.extract_text(p) for p in pages]
+    got = [html_extract.extract_text(_plain_page(p)) for p in pages]
+    assert sum(a == b for a, b in zip(want, got, strict=True)) >= 0.96 * len(pages)
+    monkeypatch.setattr(html_extract, "text_blocks", lambda n: [(0, len(n), int(n.sum()))])
+    one = [html_extract.extract_text(_plain_page(p)) for p in pages]
+    assert sum(a == b for a, b in zip(want, one, strict=True)) < 0.1 * len(pages)
+
+
+@pytest.mark.parametrize("name", ["comment-list", "user-comments", "reader-comments", "article-sidebar", "ad-slot", "adSlot", "related-posts", "cookie-notice", "cookie-banner", "notice", "notices", "userComments", "share", "newsletter-signup"])
+@pytest.mark.parametrize("around", ["article", "main", "div"])
+def test_html_drops_compound_boilerplate(name, around):
+    page = f"<{around}><p>{'text ' * 30}</p><div class='x {name}'><p>{'gone ' * 40}</p></div><p>end of it</p></{around}>"
+    assert html_extract.extract_text(page) == ("text " * 30 + "end of it" if around != "div" else ("text " * 30).strip())
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><div class='content with-sidebar'><p>body</p></div></article>", "body"),
+        ("<article><header class='entry-header'><h1>T</h1></header><div id=notice-board>n</div></article>", "T n"),
+        ("<div><h1>Title</h1></div><div>" + "long text " * 30 + "</div><div>Short.</div><div>" + "more text " * 30 + "</div><div>tail</div>", "Title " + "long text " * 30 + "Short. " + ("more text " * 30).strip()),
+        ("<div>" + "words " * 100 + "</div><div>\u00a9 2020 " + "someone " * 20 + "</div>", ("words " * 100).strip()),
+        ("<p>" + "words " * 100 + "</p><p>\u00a9 2020 someone</p>", "words " * 100 + "\u00a9 2020 someone"),
+        ("<article><a href=x>Teaser</a></article><div>" + "words " * 200 + "</div>", ("words " * 200).strip()),
+    ],
+)
+def test_html_regions(page, text):
+    assert html_extract.extract_text(page) == text
+
+
 def test_mixing_meets_targets(spark, docs, edge):
     got = mixing.mix_documents(docs).collect()
     sizes = {r.doc_id: len((r.text or "").encode().split()) for r in docs.collect()}
