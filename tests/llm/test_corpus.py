@@ -410,6 +410,50 @@ def test_pii_bootstraps_to_the_end(spark):
         pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"), rounds=2)
 
 
+PLANTED = {
+    "email": ("please write to {} for the details", lambda k: f"ann.{k}@mail{k % 3}.example.com", lambda k: f"bob{k}@intranet"),
+    "ip": ("the host {} went down again", lambda k: f"10.1.{k}.7", lambda k: f"10.1.7.{300 + k}"),
+    "card": ("card number {} expires next year", lambda k: _with_check_digit(f"41{k:013d}"), lambda k: f"4111-1111-{1000 + k}"),
+    "phone": ("call us at {} before noon", lambda k: f"+1 415 555 {1000 + k}", lambda k: f"555-{2000 + k}"),
+}
+
+
+def _with_check_digit(digits):
+    return next(digits + c for c in "0123456789" if pii.luhn(digits + c))
+
+
+def test_pii_finds_unseen_shapes_planted_in_documents(spark, data):
+    """In a copy of documents: identifiers of shapes that no base pattern takes, in contexts that base ones share, and the same in others."""
+    rng = np.random.default_rng(7)
+    texts = [r.text or "" for r in spark.read.parquet(f"{data.replace('0.001', '0.01')}/documents.parquet").collect()]
+    plain = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = set()
+    for kind, (sentence, seen, unseen) in PLANTED.items():
+        for k in range(24):
+            doc, token = int(rng.integers(len(texts))), seen(k) if k < 14 else unseen(k)
+            words = f"item {token} sold" if k >= 20 else sentence.format(token)
+            texts[doc] = f"{words}. {texts[doc]}" if k % 2 else f"{texts[doc]} {words}."
+            if 14 <= k < 20:
+                want.add((doc, kind, token))
+    got = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    added = {(r.doc_id, x.kind, texts[r.doc_id][x.s : x.e]) for r in got for x in set(r.spans) - set(r.base)}
+    before = sum(len(set(r.spans) - set(r.base)) for r in plain)
+    print(len(added & want), len(want), len(added), before)
+    assert len(added & want) >= 0.9 * len(want)
+    assert len(added & want) >= 0.95 * (len(added) - before)
+
+
+def test_pii_numbers_that_base_patterns_merge(spark):
+    """A phone number before other digits, and a card that stands elsewhere by itself, are found whole; a like number without a context is not."""
+    rows = [(k, f"w{'abcdefgh'[k]} +1 ({200 + k}) 555-{1000 + k} v{'abcdefgh'[k]}") for k in range(8)]
+    rows += [(10, "x +1 (843) 555-7672 170.106.47.218 y"), (11, "one 4111111111111111 two"), (12, "z 4111111111111111 4111111111111111 q"), (13, "at 843-7672 or so")]
+    got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = lambda k: [(dict(rows)[k][x.s : x.e], x.kind) for x in got[k].spans]
+    assert found(10) == [("+1 (843) 555-7672", "phone"), ("170.106.47.218", "ip")] and [x.kind for x in got[10].base] == ["ip"]
+    assert found(12) == [("4111111111111111", "card")] * 2 and not got[12].base
+    assert not found(13) and all(len(found(k)) == 1 for k in range(8))
+
+
 def test_toxicity_learns_held_out_documents(spark, edge):
     rng = np.random.default_rng(5)
     words = [f"w{x}" for x in range(300)]
