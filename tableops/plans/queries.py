@@ -15,7 +15,7 @@ from tableops.operators import upsert as U
 from tableops.operators.stored import StoredTable, VersionLog, apply_feed, few_rows
 from tableops.operators.views import GroupedView
 from tableops.plans.tables import DIRTY, KEYED, RUNS, STAR, dirty_events, events, keyed, runs_log, star, table
-from tableops.sources import files, sinks
+from tableops.sources import evolving, files, sinks
 from tableops.streaming import streams as S
 from tableops.workdir import work_dir
 
@@ -108,6 +108,23 @@ def rescue_bad_records(spark, d):
     return files.rescue_bad_records(df, "value", schema).drop("value")
 
 
+@query("""SELECT CASE WHEN doc_id % 14 <> 1 THEN doc_id END AS doc_id, CAST(n_chars AS DOUBLE) + doc_id % 2 * 0.5 AS n_chars,
+    CASE WHEN doc_id % 14 <> 1 THEN lang END AS lang,
+    CASE WHEN doc_id % 2 = 1 AND doc_id % 14 <> 1 THEN source END AS source,
+    CASE WHEN doc_id % 14 = 1 THEN '{"doc_id": "x' || doc_id || '", "n_chars": ' || n_chars || '.5}' END AS _rescued FROM documents""")
+def ingest_evolving(spark, d):
+    """Two runs over JSON lines: the second brings a new field, a wider type and ids that the hint refuses."""
+    src, out, state = (work_dir(spark, n) for n in ("evolving-json", "evolving", "evolving-state"))
+    docs, odd = table(spark, d, "documents"), F.col("doc_id") % 2 == 1
+    bad = F.concat(F.lit('{"doc_id": "x'), "doc_id", F.lit('", "n_chars": '), "n_chars", F.lit(".5}"))
+    first = docs.where(~odd).select(F.to_json(F.struct("doc_id", "n_chars", "lang")))
+    wide = F.to_json(F.struct("doc_id", (F.col("n_chars") + F.lit(0.5)).alias("n_chars"), "lang", "source"))
+    for lines in (first, docs.where(odd).select(F.when(F.col("doc_id") % 14 == 1, bad).otherwise(wide))):
+        lines.toDF("value").write.mode("append").text(src)
+        evolving.ingest_evolving(spark, src, out, state, {"doc_id": "bigint"})
+    return evolving.read_evolving(spark, out)
+
+
 @query("SELECT 'events.parquet' AS file_name, count(*) AS n FROM events UNION ALL SELECT 'orders.parquet', count(*) FROM orders")
 def file_row_counts(spark, d):
     name = lambda x: F.regexp_extract("file_path", r"([a-z]+\.parquet)(/[^/]*)?$", 1).alias("file_name")
