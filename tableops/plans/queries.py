@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,11 +12,13 @@ from pyspark.sql import types as T
 from tableops.functions import columns as C
 from tableops.operators import analytics as A
 from tableops.operators import compare as J
+from tableops.operators import reports as R
 from tableops.operators import upsert as U
 from tableops.operators.stored import StoredTable, VersionLog, apply_feed, few_rows
 from tableops.operators.views import GroupedView
 from tableops.plans.tables import DIRTY, KEYED, RUNS, STAR, dirty_events, events, keyed, runs_log, star, table
 from tableops.sources import evolving, files, sinks
+from tableops.streaming import run_log as L
 from tableops.streaming import streams as S
 from tableops.workdir import work_dir
 
@@ -305,8 +308,8 @@ def recent_window(spark, d):
 @query("""SELECT date_trunc('hour', ts) AS hour, round(avg(value) + 1e-7, 4) AS avg_value, count(*) AS n FROM events
     WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12' AND event_type = 'click' GROUP BY 1""")
 def pushdown_view(spark, d):
-    raw = events(spark, d).where("ts >= TIMESTAMP_NTZ '2024-01-10' AND ts < TIMESTAMP_NTZ '2024-01-12' AND event_type = 'click'")
-    return raw.groupBy(C.hour_of("ts").alias("hour")).agg(F.round(F.avg("value") + 1e-7, 4).alias("avg_value"), F.count("*").alias("n"))
+    chosen = "ts >= TIMESTAMP_NTZ '2024-01-10' AND ts < TIMESTAMP_NTZ '2024-01-12' AND event_type = 'click'"
+    return rounded(R.bucketed_view(events(spark, d), chosen, "ts", "hour", {"avg_value": F.avg("value"), "n": F.count("*")}, "hour"), "avg_value")
 
 
 @query("SELECT coalesce(max(ts) FILTER (event_type = 'none'), TIMESTAMP '1900-01-01') AS empty_mark, coalesce(max(ts), TIMESTAMP '1900-01-01') AS mark FROM events")
@@ -319,8 +322,8 @@ def default_watermark(spark, d):
 @query(f"""WITH {STAR} SELECT CAST(strptime(CAST(date_key AS VARCHAR), '%Y%m%d') AS DATE) AS order_date, round(avg(l_extendedprice) + 1e-7, 4) AS avg_price,
     round(max(l_extendedprice * l_quantity), 2) AS max_value FROM star WHERE date_key BETWEEN 19970101 AND 19970630 GROUP BY 1""")
 def date_key_agg(spark, d):
-    s = star(spark, d).where("o_orderdate >= TIMESTAMP_NTZ '1997-01-01' AND o_orderdate < TIMESTAMP_NTZ '1997-07-01' AND date_key BETWEEN 19970101 AND 19970630")
-    return s.groupBy(C.date_key_to_date("date_key").alias("order_date")).agg(F.round(F.avg("l_extendedprice") + 1e-7, 4).alias("avg_price"), F.round(F.max(F.col("l_extendedprice") * F.col("l_quantity")), 2).alias("max_value"))
+    aggs = {"avg_price": F.avg("l_extendedprice"), "max_value": F.round(F.max(F.col("l_extendedprice") * F.col("l_quantity")), 2)}
+    return rounded(R.date_key_report(star(spark, d), "date_key", 19970101, 19970630, aggs, "o_orderdate", "order_date"), "avg_price")
 
 
 # Joins
@@ -669,13 +672,13 @@ def _query_log(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_HASHED} SELECT query_hash, round(sum(value), 2) AS total, round(avg(value) + 1e-7, 4) AS average, count(*) AS n, count(DISTINCT CAST(ts AS DATE)) AS n_days,
     round(count(*) / count(DISTINCT CAST(ts AS DATE)) + 1e-7, 4) AS per_day FROM q WHERE ts >= TIMESTAMP '2024-01-08' GROUP BY 1""")
 def query_cost_report(spark, d):
-    days = F.countDistinct(F.to_date("ts"))
-    return _query_log(spark, d).where("ts >= TIMESTAMP_NTZ '2024-01-08'").groupBy("query_hash").agg(F.round(F.sum("value"), 2).alias("total"), F.round(F.avg("value") + 1e-7, 4).alias("average"), F.count("*").alias("n"), days.alias("n_days"), F.round(F.count("*") / days + 1e-7, 4).alias("per_day"))
+    report = R.cost_report(_query_log(spark, d), ["query_hash"], "ts", "value", "2024-01-08 00:00:00")
+    return rounded(report, "average", "per_day").withColumn("total", F.round("total", 2))
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, count(*) AS n, round(avg(value) + 1e-7, 4) AS avg_value FROM events GROUP BY 1")
 def runs_per_hour(spark, d):
-    return events(spark, d).groupBy(C.hour_of("ts").alias("hour")).agg(F.count("*").alias("n"), F.round(F.avg("value") + 1e-7, 4).alias("avg_value"))
+    return rounded(R.runs_per_hour(events(spark, d), "ts", "value"), "avg_value")
 
 
 @query("SELECT min(ts) AS least, max(ts) AS greatest, count(*) AS n_rows FROM events")
@@ -685,7 +688,7 @@ def table_extent(spark, d):
 
 @query("SELECT conv_id, string_agg(rtrim(text), ' | ' ORDER BY turn) AS texts FROM conversations GROUP BY conv_id")
 def ordered_string_agg(spark, d):
-    return spark.sql("SELECT conv_id, listagg(rtrim(text), ' | ') WITHIN GROUP (ORDER BY turn) AS texts FROM {turns} GROUP BY conv_id", turns=table(spark, d, "conversations"))
+    return R.ordered_string_agg(table(spark, d, "conversations"), ["conv_id"], ["turn"], "text", " | ")
 
 
 @query("SELECT DISTINCT user_id, event_type AS name FROM events")
@@ -696,8 +699,7 @@ def collect_explode(spark, d):
 
 @query("SELECT event_type AS process, date_trunc('hour', ts) AS hour, round(avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)) + 1e-7, 4) AS avg_k FROM events GROUP BY 1, 2")
 def json_metric_by_hour(spark, d):
-    k = F.get_json_object("props", "$.k").cast("double")
-    return events(spark, d).groupBy(F.col("event_type").alias("process"), C.hour_of("ts").alias("hour")).agg(F.round(F.avg(k) + 1e-7, 4).alias("avg_k"))
+    return rounded(R.json_metric_by_hour(events(spark, d).withColumnRenamed("event_type", "process"), ["process"], "ts", "props", "k"), "avg_k")
 
 
 @query("SELECT date_trunc('month', l_shipdate) AS bucket, count(l_shipdate) AS n_rows FROM lineitem GROUP BY 1")
@@ -761,12 +763,8 @@ def top10_customers(spark, d):
 @query("""WITH g AS (SELECT user_id, ts, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events WHERE event_type IN ('click', 'purchase'))
     SELECT user_id, date_trunc('day', ts) AS day, round(avg(gap), 3) AS avg_gap FROM g GROUP BY 1, 2""")
 def update_gap_by_hour(spark, d):
-    from pyspark.sql import Window
-
-    e = events(spark, d).where(F.col("event_type").isin("click", "purchase"))
-    secs = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    gaps = e.withColumn("gap", secs - F.lag(secs).over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
-    return gaps.groupBy("user_id", C.ntz(F.date_trunc("day", "ts")).alias("day")).agg(F.round(F.avg("gap"), 3).alias("avg_gap"))
+    gaps = R.table_update_gaps(events(spark, d), ["user_id"], ["ts", "event_id"], "ts", "event_type", ["click", "purchase"], "day")
+    return gaps.withColumn("avg_gap", F.round("avg_gap", 3))
 
 
 @query("SELECT event_id, user_id, CAST(sum(event_id % 4) OVER (PARTITION BY user_id ORDER BY event_type) AS BIGINT) AS slots FROM events")
@@ -835,6 +833,21 @@ def mark_stale(spark, d):
     return A.mark_stale(A.run_state(runs_log(spark, d))).drop("seconds")
 
 
+@query(f"""WITH {RUNS}, said AS (SELECT process, run_id, max(logged) AS last FROM log GROUP BY 1, 2), w AS (SELECT max(logged) - INTERVAL 1 HOUR AS mark FROM log),
+    g AS (SELECT process, run_id, started, last + INTERVAL 6 HOUR AS given_up, status = 'RUNNING' AND given_up < mark AS gone, CASE WHEN gone THEN 'STALE' ELSE status END AS status,
+      CASE WHEN gone THEN given_up ELSE ended END AS ended FROM runs JOIN said USING (process, run_id), w),
+    m AS (SELECT *, max(CASE WHEN status = 'RUNNING' THEN started END) OVER (PARTITION BY process) AS newest FROM g)
+    SELECT process, run_id, CASE WHEN started < newest AND status = 'RUNNING' THEN 'STALE' ELSE status END AS status, started, CASE WHEN started < newest AND status = 'RUNNING' THEN newest ELSE ended END AS ended FROM m""")
+def stream_run_log(spark, d):
+    """The run log followed as a stream that stops and starts again every ten days; runs silent for six hours are given up."""
+    log, src, checkpoint, wait = runs_log(spark, d), work_dir(spark, "run-log"), work_dir(spark, "state"), timedelta(hours=6)
+    out = StoredTable(spark, work_dir(spark, "runs"), L.run_table_schema(log.schema), L.KEYS, buckets=16)
+    for part in ("at < TIMESTAMP_NTZ '2024-01-11'", "at >= TIMESTAMP_NTZ '2024-01-11' AND at < TIMESTAMP_NTZ '2024-01-21'", "at >= TIMESTAMP_NTZ '2024-01-21'"):
+        log.where(part).write.mode("append").parquet(src)
+        L.follow_runs(S.stream_files(spark, src, log.schema, "parquet"), out, wait, "1 hour", checkpoint)
+    return L.followed_runs(out, wait)
+
+
 @query(f"""WITH {RUNS}, p AS (SELECT DISTINCT process FROM runs UNION ALL SELECT 'never') SELECT process, coalesce(max(started) FILTER (status = 'SUCCESS'), TIMESTAMP '1900-01-01') AS watermark
     FROM p LEFT JOIN runs USING (process) GROUP BY process""")
 def last_success_watermark(spark, d):
