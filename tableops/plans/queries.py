@@ -18,6 +18,7 @@ from tableops.operators.stored import StoredTable, VersionLog, apply_feed, few_r
 from tableops.operators.views import GroupedView
 from tableops.plans.tables import DIRTY, KEYED, RUNS, STAR, dirty_events, events, keyed, runs_log, star, table
 from tableops.sources import evolving, files, sinks
+from tableops.sources.skipping import RangeIndex
 from tableops.streaming import run_log as L
 from tableops.streaming import streams as S
 from tableops.workdir import work_dir
@@ -890,6 +891,17 @@ def zorder_pruning(spark, d):
     return by_file.agg(F.count("*").alias("n"), *(f(c).alias(f"{name}_{c}") for c in ("l_partkey", "l_suppkey") for name, f in (("least", F.min), ("greatest", F.max))))
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_partkey BETWEEN 20 AND 60 AND l_suppkey <= 50")
+def skipping_read(spark, d):
+    """A clustered table read through its index of file ranges: the first half is indexed, the second comes later and is indexed alone."""
+    path, li = work_dir(spark, "clustered"), table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    index = RangeIndex(spark, path, li.schema, work_dir(spark, "ranges"), ["l_partkey", "l_suppkey"])
+    for half in (0, 1):
+        A.zorder_write(li.where(F.col("l_orderkey") % 2 == half), f"{path}/half={half}", ["l_partkey", "l_suppkey"], files=16)
+        index.update()
+    return index.read({"l_partkey": (20, 60), "l_suppkey": (None, 50)})
+
+
 _PROFILE = "SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_nulls, count(DISTINCT {c}) AS n_distinct, CAST(min({c}) AS VARCHAR) AS least, CAST(max({c}) AS VARCHAR) AS greatest FROM dirty"
 
 
