@@ -2,24 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tableops.functions.columns import ntz
 from tableops.operators.analytics import mark_stale
 from tableops.operators.stored import StoredTable
-from tableops.streaming.streams import start_stream
+from tableops.streaming.streams import run_available
 
 KEYS = ["process", "run_id"]
 TIMES = ["status_at", "started", "ended", "timed_out"]
-PART = Row(*KEYS, "status", *TIMES)
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def run_table_schema(log: T.StructType) -> T.StructType:
@@ -37,74 +32,51 @@ def merge_parts(parts: DataFrame) -> DataFrame:
     )
 
 
-class RunWatch(StatefulProcessor):
-    """A run's state: while its newest row is RUNNING, the time of that row and a timer that fires `timeout` later.
+def run_parts(log: DataFrame) -> DataFrame:
+    """One row a run of what a log of (process, run_id, status, at) says of it: a part that merge_parts adds to others.
 
-    Only open runs are held. A run that ends is forgotten, and one whose timer fires is given up: what comes
-    of them later is merged in the table, where a logged end counts for more than a timer.
+    Rows without time or status say nothing and are left out.
     """
+    at, status = F.col("at"), F.col("status").cast("string")
+    said = log.where("at IS NOT NULL AND status IS NOT NULL").select(*KEYS, status.alias("status"), at.alias("status_at"), at.alias("started"), F.when(status != "RUNNING", at).alias("ended"), ntz(F.lit(None)).alias("timed_out"))
+    return merge_parts(said)
 
-    def __init__(self, timeout: timedelta):
-        self.timeout = timeout // timedelta(microseconds=1)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getValueState("open", "last long")
-
-    def _timer(self, last: int) -> int:
-        return (last + self.timeout) // 1000
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        seen = [(row["us"], row["status"]) for row in rows]
-        at, status = max(seen)
-        held = self.open.get()
-        if held is None or held[0] <= at:
-            if held is not None:
-                self.handle.deleteTimer(self._timer(held[0]))
-            if status == "RUNNING":
-                self.open.update((at,))
-                self.handle.registerTimer(self._timer(at))
-            elif held is not None:
-                self.open.clear()
-        ended = max((us for us, s in seen if s != "RUNNING"), default=None)
-        yield PART(*key, status, at, min(us for us, _ in seen), ended, None)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        held = self.open.get()
-        if held is not None:
-            self.open.clear()
-            yield PART(*key, None, None, None, None, held[0] + self.timeout)
-
-    def close(self) -> None:
-        pass
-
-
-def run_parts(log: DataFrame, timeout: timedelta, lateness: str) -> DataFrame:
-    """Parts of what is known of runs, from a stream of (process, run_id, status, at): see merge_parts.
-
-    State is kept by run, so that the runs of one busy process are spread over all tasks. Rows without time or status say
-    nothing and are left out; rows that are later than `lateness` are dropped, as by any watermark.
+
+def merge_log(table: StoredTable, log: DataFrame, version: int, timeout: timedelta, lateness: str) -> None:
+    """Makes a version of a stored table of runs from more of their log, by one grouping of both.
+
+    The watermark is `lateness` before the newest time met, which the table holds, so that a stream that starts again finds it
+    there. Rows not after it, as it stood before this log, are dropped. Open runs that said nothing for `timeout` before it, as
+    this log leaves it, are given up, whether the log names them or not. What comes of them later is merged, and a logged end
+    counts for more than a time-out.
     """
-    said = log.where("at IS NOT NULL AND status IS NOT NULL").withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", lateness)
-    rows = said.select(*KEYS, "at", F.unix_micros("at").alias("us"), F.col("status").cast("string").alias("status"))
-    out = T.StructType([T.StructField(f.name, T.LongType() if f.name in TIMES else f.dataType) for f in run_table_schema(log.schema).fields])
-    found = rows.groupBy(*KEYS).transformWithState(RunWatch(timeout), out, "Append", "EventTime")
-    return found.withColumns({c: ntz(F.timestamp_micros(c)) for c in TIMES})
+    if version in table.versions():
+        return
+    wait, late = F.make_dt_interval(secs=F.lit(timeout.total_seconds())), F.expr(f"INTERVAL {lateness}")
+    known = [v for v in table.versions() if v < version]
+    before = table.read(known[-1]) if known else None
+    met = before.agg(F.max("status_at")).first()[0] if known else None
+    fresh = log.where("at IS NOT NULL AND status IS NOT NULL")
+    if met is not None:
+        fresh = fresh.where(F.col("at") > F.lit(met) - late)
+    last = max((t for t in (met, fresh.agg(F.max("at")).first()[0]) if t is not None), default=None)
+    mark = F.lit(last).cast("timestamp_ntz") - late
+    overdue = (F.col("status") == "RUNNING") & (F.col("status_at") + wait < mark)
+    parts = run_parts(fresh)
+    if known:
+        # Runs that the table can give up are named by empty parts, so that their buckets are merged too.
+        silent = before.where(overdue & (F.col("timed_out").isNull() | (F.col("timed_out") < F.col("status_at") + wait)))
+        parts = parts.unionByName(silent.select(*KEYS, *(F.lit(None).cast(table.schema[c].dataType).alias(c) for c in ("status", *TIMES))))
+
+    def change(old: DataFrame, new: DataFrame) -> DataFrame:
+        return merge_parts(old.unionByName(new)).withColumn("timed_out", F.greatest("timed_out", F.when(overdue, F.col("status_at") + wait)))
+
+    table.merge(parts, version, change, only_keys=True)
 
 
 def follow_runs(log: DataFrame, table: StoredTable, timeout: timedelta, lateness: str, checkpoint: str) -> None:
-    """Brings a stored table of runs (keys process and run_id) up to date with all there is of a log, and waits for it.
-
-    Timers need the RocksDB store. A stream takes its settings when it starts, so the session's own is set back at once.
-    """
-    spark = table.spark
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
-    try:
-        running = start_stream(run_parts(log, timeout, lateness), checkpoint, batch=lambda df, n: table.merge(df, n, lambda old, parts: merge_parts(old.unionByName(parts)), only_keys=True))
-    finally:
-        spark.conf.set(PROVIDER, before)
-    running.awaitTermination()
+    """Brings a stored table of runs (keys process and run_id) up to date with all there is of a log, and waits for it."""
+    run_available(log, checkpoint, batch=lambda df, n: merge_log(table, df, n, timeout, lateness))
 
 
 def followed_runs(table: StoredTable, timeout: timedelta) -> DataFrame:

@@ -82,5 +82,22 @@ def test_given_up_runs_can_end_later(spark):
     assert table.read().where(F.col("run_id") == 1).select("timed_out").first()[0] == minute(0) + WAIT
 
 
+def test_runs_are_given_up_to_the_microsecond(spark):
+    """SQL compares whole times, so half a millisecond past the time-out counts."""
+    log = [("a", 1, "RUNNING", DAY), ("b", 2, "RUNNING", DAY + timedelta(minutes=40, microseconds=500))]
+    assert ("a", 1, "STALE", DAY, DAY + WAIT) in follow(spark, [log])[1]
+    log[1] = ("b", 2, "RUNNING", DAY + timedelta(minutes=40))
+    assert ("a", 1, "RUNNING", DAY, None) in follow(spark, [log])[1]
+
+
+def test_silent_runs_outside_a_batch_and_late_rows(spark):
+    first = [("a", k, "RUNNING", minute(0)) for k in range(40)]
+    table, rows = follow(spark, [first, [("z", 99, "RUNNING", minute(100))], [("a", 0, "SUCCESS", minute(60)), ("a", 1, "FAIL", minute(71))]])
+    assert sorted(r[1] for r in rows if r[2] == "STALE") == [0, *range(2, 40)]  # 60 is before the watermark, 70: too late
+    assert ("a", 1, "FAIL", minute(0), minute(71)) in rows
+    assert table.read().where("timed_out IS NULL").select("run_id").collect() == [(99,)]
+    assert table.changes([1]).where("_change_type = 'update_postimage'").count() == 40
+
+
 def test_empty_log(spark):
     assert follow(spark, [[]])[1] == set()
