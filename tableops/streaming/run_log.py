@@ -55,12 +55,13 @@ def merge_log(table: StoredTable, log: DataFrame, version: int, timeout: timedel
     wait, late = F.make_dt_interval(secs=F.lit(timeout.total_seconds())), F.expr(f"INTERVAL {lateness}")
     known = [v for v in table.versions() if v < version]
     before = table.read(known[-1]) if known else None
-    met = before.agg(F.max("status_at")).first()[0] if known else None
+    # As text, so that no time zone plays a part.
+    met = before.agg(F.max("status_at").cast("string")).first()[0] if known else None
     fresh = log.where("at IS NOT NULL AND status IS NOT NULL")
     if met is not None:
-        fresh = fresh.where(F.col("at") > F.lit(met) - late)
-    last = max((t for t in (met, fresh.agg(F.max("at")).first()[0]) if t is not None), default=None)
-    mark = F.lit(last).cast("timestamp_ntz") - late
+        fresh = fresh.where(F.col("at") > ntz(F.lit(met)) - late)
+    last = fresh.agg(F.greatest(F.max("at"), ntz(F.lit(met))).cast("string")).first()[0]
+    mark = ntz(F.lit(last)) - late
     overdue = (F.col("status") == "RUNNING") & (F.col("status_at") + wait < mark)
     parts = run_parts(fresh)
     if known:
