@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Keys, as hashes of 8 bytes, that are broadcast to tell rows that have them from others.
+NAMED_ROWS = 1 << 22
 #: A source is broadcast only when its rows, counted, are at most these.
 BROADCAST_ROWS = 100_000
 
@@ -19,12 +21,19 @@ def dedup_latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ti
     return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
-def unique_keys(source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """source, failing when it is read if a key without nulls occurs more than once."""
+def unique_keys(source: DataFrame, keys: Sequence[str], stable: bool = False) -> DataFrame:
+    """source, failing when it is read if a key without nulls occurs more than once.
+
+    A stable source is read from files, the same each time: then its keys are read first, and they alone are shuffled.
+    """
     whole = F.lit(True)
     for k in keys:
         whole = whole & F.col(k).isNotNull()
     said = F.concat(F.lit("repeated source key: "), F.to_json(F.struct(*keys)))
+    if stable:
+        times = source.where(whole).groupBy(*keys).count().where("count > 1").agg(F.min(said).alias("__said"))
+        met = F.when(F.col("__said").isNotNull(), F.raise_error(F.col("__said"))).otherwise(F.col(keys[0]))
+        return source.crossJoin(F.broadcast(times)).withColumn(keys[0], met).drop("__said")
     first = F.when(F.col("__times") > 1, F.raise_error(said)).otherwise(F.col(keys[0]))
     times = F.count(F.when(whole, 1)).over(Window.partitionBy(*keys))
     return source.withColumn("__times", times).withColumn(keys[0], first).drop("__times")
@@ -92,7 +101,8 @@ def apply_changes(target: DataFrame, feed: DataFrame, keys: Sequence[str], seque
     changes = feed.select(*read, gone.alias("_deleted"), *([] if moved else [F.col(sequence).alias("__sequence")]))
     by = sequence if moved else "__sequence"
     rest = [c for c in order if c not in keys and c not in (by, "_deleted")]
-    latest = dedup_latest(changes, keys, [F.col(by).desc_nulls_last(), F.col("_deleted").desc(), *(F.col(c).desc_nulls_last() for c in rest)], tie=False)
+    last = [F.col(by).desc_nulls_last(), F.col("_deleted").desc(), *(F.col(c).desc_nulls_last() for c in rest)]
+    latest = dedup_latest(changes, keys, last, tie=False)
     row = F.struct(*columns, "_deleted")
     t = target.select(*columns, old_gone.alias("_deleted")).select(row.alias("t"), *keys)
     s = latest.select(row.alias("s"), *(F.col(k).alias(f"__{k}") for k in keys))

@@ -36,6 +36,21 @@ def glob_paths(spark: SparkSession, pattern: str) -> list[str]:
     return [str(status.getPath()) for status in system.globStatus(jvm_path) or []]
 
 
+def file_sizes(spark: SparkSession, pattern: str) -> list[int]:
+    """Bytes of each path that matches the pattern."""
+    system, jvm_path = _file_system(spark, pattern)
+    return [status.getLen() for status in system.globStatus(jvm_path) or []]
+
+
+def move_folder(spark: SparkSession, path: str, folder: str) -> None:
+    """Moves a folder into another of the same store, which is made if it isn't there. Contents aren't copied."""
+    system, target = _file_system(spark, folder)
+    system.mkdirs(target)
+    # With its whole new name: some stores put a folder in the place of an empty one.
+    if not system.rename(spark._jvm.org.apache.hadoop.fs.Path(path), spark._jvm.org.apache.hadoop.fs.Path(target, path.rsplit("/", 1)[1])):
+        raise RuntimeError(f"could not move {path}")
+
+
 def move_files(spark: SparkSession, pattern: str, folder: str) -> int:
     """Moves the files that match into a folder of the same store, under new names; returns their number. Contents aren't copied."""
     system, target = _file_system(spark, folder)

@@ -199,6 +199,52 @@ def test_feed_from_files_is_the_difference_of_the_versions(spark):
     assert rows(apply_feed(table.read(0), table.changes([1, 2, 3]), ["k"])) == rows(table.read(3))
 
 
+def test_a_merge_hands_on_only_rows_that_its_batch_names(spark):
+    """The others are written as they are, without a shuffle, and stay; so do null keys, and files that are many and small are packed."""
+    table = new_table(spark, buckets=4, keep=2)
+    table.merge(spark.range(1000).selectExpr("int(id) AS k", "'old' AS v").unionByName(spark.createDataFrame([(None, "null")], "k int, v string")), 0, lambda old, new: U.upsert(old, new, ["k"]), only_keys=True)
+    want, met = {r.k: r.v for r in table.latest().collect()}, []
+    for n in range(1, 7):
+        feed = spark.createDataFrame([(k, f"v{n}", n, k == 5 * n) for k in range(5 * n, 5 * n + 5)] + [(None, f"null{n}", n, False), (-n, "new", n, False)], "k int, v string, at int, gone boolean")
+
+        def change(old, new):
+            met.append(old.count())
+            return U.apply_changes(old, new, ["k"], "at", F.col("gone"))
+
+        table.merge(feed, n, change, only_keys=True)
+        want = want | {r.k: r.v for r in feed.collect()}
+        want.pop(5 * n)
+        assert {r.k: r.v for r in table.latest().collect()} == want and table.latest().count() == len(want)
+        assert rows(table.changes([n])) == rows(U.change_feed(table.read(n - 1), table.read(n), ["k"]).withColumn("_commit_version", F.lit(n).cast("long")))
+    assert met == [6] * 6
+    assert len(files_of(table)) <= 4 * 5
+
+
+def test_inserts_are_not_written_twice_and_outlive_their_data(spark):
+    table = new_table(spark, buckets=4, keep=2)
+    inserts = [("insert", k, "a", 0) for k in range(9)]
+    table.merge(spark.range(9).selectExpr("int(id) AS k", "'a' AS v"), 0, lambda old, new: U.upsert(old, new, ["k"]), only_keys=True)
+    assert glob_paths(spark, f"{table.path}/changes/*") == [] and rows(table.changes([0])) == inserts
+    for n in range(1, 5):  # the last of these leave no bucket of version 0
+        table.merge(spark.range(n, n + 5).selectExpr("int(id) AS k", f"'{n}' AS v"), n, lambda old, new: U.upsert(old, new, ["k"]), only_keys=True)
+        assert rows(table.changes([0])) == inserts and table.changes(range(n + 1)).where("_change_type = 'insert'").count() == 9
+    assert glob_paths(spark, f"{table.path}/data/version__=0/bucket__=*") == []
+    table.forget_changes(3)
+    assert table.committed() == [3, 4] and glob_paths(spark, f"{table.path}/changes/version__=0*") == []
+
+
+def test_stable_batches_are_read_where_they_are(spark):
+    path = work_dir(spark, "stable")
+    spark.createDataFrame([(1, "a"), (2, "b"), (None, "n"), (None, "n")], "k int, v string").coalesce(1).write.parquet(path)
+    table, seen = new_table(spark, buckets=4), []
+    for n in range(2):
+        table.merge(spark.read.parquet(path), n, lambda old, new: seen.extend(new.inputFiles()) or U.upsert(old, U.unique_keys(new, ["k"], stable=True), ["k"], checked=True), only_keys=True, stable=True)
+    assert {p.rsplit("/", 2)[1] for p in seen} == {path.rsplit("/", 1)[1]}
+    assert rows(table.latest()) == sorted([(1, "a"), (2, "b"), *[(None, "n")] * 4], key=repr)
+    with pytest.raises(Exception, match="repeated source key"):
+        U.unique_keys(spark.read.parquet(path, path), ["k"], stable=True).collect()
+
+
 def test_a_follower_goes_on_where_it_stopped(spark):
     table, copy = new_table(spark, buckets=4, keep=2), new_table(spark, buckets=2)
     state, seen = work_dir(spark, "state"), []
