@@ -237,7 +237,7 @@ class VersionLog:
         return change_feed(self.as_of(newest), self.as_of(version), self.keys).where("_change_type <> 'update_preimage'")
 
 
-def apply_feed(target: DataFrame, changes: DataFrame, keys: Sequence[str], source_rows: int | None = None) -> DataFrame:
-    """Target after the change rows of one or more versions: what a reader of the feed makes of its copy."""
+def apply_feed(target: DataFrame, changes: DataFrame, keys: Sequence[str], source_rows: int | None = None, stable: bool = False) -> DataFrame:
+    """Target after the change rows of one or more versions: what a reader of the feed makes of its copy. For stable see apply_changes."""
     last = changes.where("_change_type <> 'update_preimage'")
-    return apply_changes(target, last, keys, "_commit_version", delete_when=F.col("_change_type") == "delete", source_rows=source_rows)
+    return apply_changes(target, last, keys, "_commit_version", delete_when=F.col("_change_type") == "delete", source_rows=source_rows, stable=stable)

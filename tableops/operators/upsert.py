@@ -21,6 +21,19 @@ def dedup_latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ti
     return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
+def dedup_repeated(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """As dedup_latest without ties, of rows read from files, the same each time: keys are read first, and only rows of repeated ones are shuffled.
+
+    Keys are told apart by hashes, so a row may be shuffled for nothing, but none is missed. Above NAMED_ROWS of them all rows are.
+    """
+    hashed = F.xxhash64(*keys)
+    many = df.groupBy(hashed.alias("__hash")).count().where("count > 1").select("__hash")
+    if many.count() > NAMED_ROWS:
+        return dedup_latest(df, keys, order, tie=False)
+    among = lambda how: df.withColumn("__hash", hashed).join(F.broadcast(many), "__hash", how).select(*df.columns)
+    return dedup_latest(among("left_semi"), keys, order, tie=False).unionByName(among("left_anti"))
+
+
 def unique_keys(source: DataFrame, keys: Sequence[str], stable: bool = False) -> DataFrame:
     """source, failing when it is read if a key without nulls occurs more than once.
 
@@ -82,14 +95,15 @@ def upsert(
     return joined.select(*(x.alias(c) for c, x in merged.items())).unionByName(inserts)
 
 
-def apply_changes(target: DataFrame, feed: DataFrame, keys: Sequence[str], sequence: str, delete_when: Column | None = None, except_cols: Sequence[str] = (), tombstones: bool = False, source_rows: int | None = None) -> DataFrame:
+def apply_changes(target: DataFrame, feed: DataFrame, keys: Sequence[str], sequence: str, delete_when: Column | None = None, except_cols: Sequence[str] = (), tombstones: bool = False, source_rows: int | None = None, stable: bool = False) -> DataFrame:
     """Target after a change feed: of the target's row and the changes of a key the last by sequence stands; a delete removes it.
 
     An older change never wins over a newer row, if the target has the sequence column (else the feed always wins). Of equal
     sequence values a delete wins, then the greater remaining columns, so that the parts of a feed may come in any order, and
     repeatedly. With tombstones the result has `_deleted` and keeps deleted rows, and so must the target of the next call: only then
     do changes older than a delete stay away. Null keys count as one key. Target and feed are each read and shuffled once; with
-    source_rows, those of the feed, known and small, its changes are broadcast and the target is not shuffled.
+    source_rows, those of the feed, known and small, its changes are broadcast and the target is not shuffled. Of a stable feed,
+    read from files and the same each time, only changes of keys that it repeats are shuffled to find the last.
     """
     columns = [c for c in target.columns if c not in except_cols and c != "_deleted"]
     kinds = dict(target.dtypes)
@@ -102,7 +116,7 @@ def apply_changes(target: DataFrame, feed: DataFrame, keys: Sequence[str], seque
     by = sequence if moved else "__sequence"
     rest = [c for c in order if c not in keys and c not in (by, "_deleted")]
     last = [F.col(by).desc_nulls_last(), F.col("_deleted").desc(), *(F.col(c).desc_nulls_last() for c in rest)]
-    latest = dedup_latest(changes, keys, last, tie=False)
+    latest = dedup_repeated(changes, keys, last) if stable else dedup_latest(changes, keys, last, tie=False)
     row = F.struct(*columns, "_deleted")
     t = target.select(*columns, old_gone.alias("_deleted")).select(row.alias("t"), *keys)
     s = latest.select(row.alias("s"), *(F.col(k).alias(f"__{k}") for k in keys))

@@ -1101,7 +1101,7 @@ def _stored_documents(spark: SparkSession, d: str) -> StoredTable:
     out.merge(docs.where("doc_id % 10 <> 4"), 0, lambda old, batch: U.upsert(old, U.unique_keys(batch, ["doc_id"], stable=True), ["doc_id"], checked=True), only_keys=True, stable=True)
     size = F.when(F.col("doc_id") % 7 == 0, F.col("n_chars") + 10).otherwise(F.col("n_chars"))
     feed = docs.where("doc_id % 10 IN (3, 4) OR doc_id % 7 = 0").withColumns({"n_chars": size, "at": F.lit(1)})
-    out.merge(feed, 1, lambda old, batch: U.apply_changes(old, batch, ["doc_id"], "at", delete_when=F.col("doc_id") % 10 == 3, source_rows=few_rows(batch)), only_keys=True, stable=True)
+    out.merge(feed, 1, lambda old, batch: U.apply_changes(old, batch, ["doc_id"], "at", delete_when=F.col("doc_id") % 10 == 3, source_rows=few_rows(batch), stable=True), only_keys=True, stable=True)
     return out
 
 
@@ -1120,7 +1120,7 @@ def change_feed_follower(spark, d):
     """A copy of a stored table, kept by a stream over its change feed."""
     source, state = _stored_documents(spark, d), work_dir(spark, "state")
     copy = _stored(spark, source.schema, ["doc_id"])
-    S.follow_changes(source, state, lambda changes, n: copy.merge(changes, n, lambda old, feed: apply_feed(old, feed, ["doc_id"], few_rows(feed)), only_keys=True, stable=True))
+    S.follow_changes(source, state, lambda changes, n: copy.merge(changes, n, lambda old, feed: apply_feed(old, feed, ["doc_id"], few_rows(feed), stable=True), only_keys=True, stable=True))
     return copy.latest()
 
 

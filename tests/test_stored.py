@@ -128,6 +128,17 @@ def test_repeated_source_keys_are_refused(spark):
     assert len(rows(U.upsert(t, spark.createDataFrame([(None, 1), (None, 2), (1, 5)], "k int, v int"), ["k"]))) == 4  # null keys match nothing
 
 
+def test_of_a_stable_feed_only_repeated_keys_are_shuffled(spark):
+    feed = spark.createDataFrame([(k, k % 3, at, at == 4 and k % 2 == 0) for k in range(100) for at in ((1,) if k > 5 else (1, 4, 2))] + [(None, 1, 1, False), (None, 2, 2, False)], CHANGE)
+    path = work_dir(spark, "feed")
+    feed.write.parquet(path)
+    table = spark.createDataFrame([(1, 9, 9), (3, 9, 0), (50, 9, 9), (200, 0, 0)], "k int, v int, at int")
+    stable, plain = (U.apply_changes(table, spark.read.parquet(path), ["k"], "at", F.col("gone"), stable=x) for x in (True, False))
+    assert rows(stable) == rows(plain)
+    windowed = U.dedup_repeated(spark.read.parquet(path), ["k"], [F.desc("at")])
+    assert windowed.count() == 101 and "LeftAnti" in windowed._jdf.queryExecution().optimizedPlan().toString()
+
+
 # Stored tables
 
 
