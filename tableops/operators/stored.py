@@ -19,7 +19,7 @@ COMMIT = "bucket int, at long, version long"
 #: Batches are broadcast only if their files, as stored, have at most so many bytes (and BROADCAST_ROWS rows).
 BROADCAST_BYTES = 16 << 20
 #: Buckets that hold more files than this on average, under this size, are written together again.
-LOOSE_FILES, LOOSE_BYTES = 4, 32 << 20
+LOOSE_FILES, LOOSE_BYTES = 4, 4 << 20
 
 
 def few_rows(batch: DataFrame) -> int | None:
