@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
@@ -356,6 +357,67 @@ def test_lm_scores_are_brute_force(spark, docs, monkeypatch):
         assert abs(total - got[k]) < 1e-3 * max(1, abs(total))
 
 
+def test_lm_words_are_those_of_every_slice(docs):
+    texts = [r.text for r in docs.limit(40).collect()] + ["  A\tb\x0bC\x1cd ", None, "", " \n", "\u00c9\u0085x\u3000Y", "z"]
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(texts, kind)
+        for at, n in ((0, 46), (3, 20), (37, 9), (42, 2)):
+            words, owner = lm_score.words_of(column.slice(at, n))
+            want = [(w, k) for k, t in enumerate(texts[at : at + n]) for w in lm_score.tokens_of((t or "").encode())]
+            assert list(zip(words.to_pylist(), owner.tolist(), strict=True)) == want
+
+
+def _lm_sample(seed=1, tokens=3000):
+    """A vocabulary of 700 words in 6 classes, contexts, and tokens of which few are of the later classes and some rare."""
+    rng = np.random.default_rng(seed)
+    vocabulary = lm_score.Vocabulary([(b"%d" % k, 2000 // (k + 1) + 1) for k in range(700)], 900)
+    return vocabulary, rng.integers(0, vocabulary.n_ids, (tokens, 4)).astype(np.uint16), np.minimum(rng.zipf(1.3, tokens), 750).astype(np.uint16), rng
+
+
+@pytest.mark.parametrize("size", [1, 150])
+def test_lm_step_is_the_gradient(size):
+    """One step against plain softmax gradients in double precision; with weights of 150 exponentials leave the range of floats."""
+    vocabulary, context, token, rng = _lm_sample()
+    net = lm_score.WindowNetwork(vocabulary)
+    net.words[:, : lm_score.HIDDEN] = rng.standard_normal((len(net.words), lm_score.HIDDEN)) * size / 8
+    net.classes[:, : lm_score.HIDDEN] *= size
+    old = {n: np.array(getattr(net, n), float) for n in ("embed", "w1", "b1", "wc", "bc", "ww", "bw")}
+    assert np.isfinite(net.log_probs(context, token)).all()
+    net.train(context, token, 0.5)
+    soft = lambda z: np.exp(z - z.max(axis=-1, keepdims=True)) / np.exp(z - z.max(axis=-1, keepdims=True)).sum(axis=-1, keepdims=True)
+    x = old["embed"][context].reshape(len(token), -1)
+    h = np.tanh(x @ old["w1"] + old["b1"])
+    of, place = np.where(token <= 700, (token.astype(int) - 1) // 128, 6), (token.astype(int) - 1) % 128
+    d = (soft(h @ old["wc"] + old["bc"]) - np.eye(7)[of]) / len(token)
+    want = old | {"wc": old["wc"] - 0.5 * h.T @ d, "bc": old["bc"] - 0.5 * d.sum(axis=0), "ww": old["ww"].copy(), "bw": old["bw"].copy()}
+    dh = d @ old["wc"].T
+    for c in set(of.tolist()) - {6}:
+        at = np.flatnonzero(of == c)
+        d = (soft(h[at] @ old["ww"][c] + old["bw"][c]) - np.eye(128)[place[at]]) / len(token)
+        dh[at] += d @ old["ww"][c].T
+        longer = 0.5 * min(lm_score.LIFT, len(token) / len(at))
+        want["ww"][c] -= longer * h[at].T @ d
+        want["bw"][c] -= longer * d.sum(axis=0)
+    dh *= 1 - h * h
+    want |= {"w1": old["w1"] - 0.5 * x.T @ dh, "b1": old["b1"] - 0.5 * dh.sum(axis=0), "embed": old["embed"].copy()}
+    np.add.at(want["embed"], context.ravel(), -0.5 * lm_score.EMBED_LIFT * (dh @ old["w1"].T).reshape(-1, lm_score.WIDTH))
+    for n, value in want.items():
+        assert np.abs(getattr(net, n) - value).max() < 1e-4 * max(1, np.abs(value[np.abs(value) < 1e6]).max()), n
+
+
+def test_lm_minibatches_meet_few_classes(monkeypatch):
+    """Every token once, in runs by class, so that a minibatch multiplies fewer and larger matrices; frequent classes are dealt evenly."""
+    monkeypatch.setattr(lm_score, "MINIBATCH", 1000)
+    vocabulary, _, _, rng = _lm_sample()
+    token = np.concatenate([rng.integers(1, 129, 16_000), rng.integers(129, 765, 4000)]).astype(np.uint16)
+    net = lm_score.WindowNetwork(vocabulary)
+    order = net.dealt(token, np.random.default_rng(2))
+    assert sorted(order.tolist()) == list(range(len(token))) and not len(net.dealt(token[:0], rng))
+    found = [token[order[k : k + 1000]] for k in range(0, len(token), 1000)]
+    assert np.mean([len(set(((t - 1) // 128).tolist())) for t in found]) < 5  # of 6; all 6 in a plain random order
+    assert all(600 <= np.count_nonzero(t <= 128) <= 1000 for t in found)
+
+
 def _brute_spans(text):
     out = []
     for kind, pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
